@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave import Network
+from trackweave.lineage import store
 from trackweave.operators import normalize_observations
 
 USERS_PER_DISTRICT = 50
 DISTRICTS = 40
 
+_antennas: dict[tuple[str, str], DataFrame] = {}
 _networks: dict[tuple[str, str], Network] = {}
 
 
@@ -70,6 +72,13 @@ def repeated_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_observations(raw_observations(spark, sf_dir).unionByName(again))
 
 
+def stored_antennas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _antennas:
+        _antennas[key] = store(antennas(spark, sf_dir))
+    return _antennas[key]
+
+
 def antennas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every antenna that saw an event, on a grid."""
     return (
@@ -97,13 +106,14 @@ def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return antennas(spark, sf_dir).filter("k < 96").select("cell_id", "coord_x", "coord_y")
+    known = stored_antennas(spark, sf_dir).filter("k < 96")
+    return known.select("cell_id", "coord_x", "coord_y")
 
 
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Antennas up to three grid steps apart; the distance is the ring order."""
     near = F.sequence(F.lit(-3), F.lit(3))
-    here = antennas(spark, sf_dir)
+    here = stored_antennas(spark, sf_dir)
     offsets = here.select("cell_id", "column", "line", F.explode(near).alias("dx")).select(
         "cell_id",
         (F.col("column") + F.col("dx")).alias("column"),

@@ -1,8 +1,10 @@
-"""Reliable checkpoints in a folder that every executor can reach."""
+"""Intermediate results in a folder that every executor can reach."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and continue from the stored rows."""
+    """Compute ``df`` once and go on from a checkpoint, which keeps its partitioning."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and go on from a table, whose size the optimizer knows."""
+    spark = df.sparkSession
+    path = os.path.join(shared_folder(spark), f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -20,14 +20,17 @@ def normalize_cells(raw: DataFrame) -> DataFrame:
 
 
 def number_cells(cells: DataFrame, one_partition_rows: int = ONE_PARTITION_ROWS) -> DataFrame:
-    """Give the cells numbers 1..N in the order of their ids.
+    """Give the cells numbers 1..N in the order of their ids; no id, no number.
 
     A table too large to sort in one task is sorted by ranges, numbered within
     each range and shifted by the rows in the ranges before it.
     """
-    order = [c for c in ["cell_id", "coord_x", "coord_y"] if c in cells.columns]
+    order = [
+        F.asc_nulls_last(c) for c in ["cell_id", "coord_x", "coord_y"] if c in cells.columns
+    ]
     if cells.count() <= one_partition_rows:
-        return cells.withColumn("cell_no", F.row_number().over(Window.orderBy(*order)))
+        number = F.row_number().over(Window.orderBy(*order))
+        return cells.withColumn("cell_no", F.when(F.col("cell_id").isNotNull(), number))
     ranged = cut_lineage(
         cells.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     )
@@ -41,7 +44,12 @@ def number_cells(cells: DataFrame, one_partition_rows: int = ONE_PARTITION_ROWS)
     return (
         ranged.withColumn("_within", within)
         .join(shifts, "_part")
-        .withColumn("cell_no", (F.col("_within") + F.col("_shift")).cast("int"))
+        .withColumn(
+            "cell_no",
+            F.when(
+                F.col("cell_id").isNotNull(), (F.col("_within") + F.col("_shift")).cast("int")
+            ),
+        )
         .drop("_part", "_within", "_shift")
     )
 

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut_lineage
+from ..lineage import cut_lineage, store
 from ..settings import STEPS_PER_CHECKPOINT
 from .dimensions import Dimension, lookup_join
 
@@ -100,7 +100,7 @@ def propagate_all(
         F.lit(True).alias("stays"),
     )
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = cut_lineage(
+    stored = store(
         matrix.select("from_no", "to_no", "prob", F.lit(False).alias("stays")).unionByName(stay)
     )
     moves = stored.repartition(width, "from_no").persist()

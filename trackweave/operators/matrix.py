@@ -32,19 +32,25 @@ def spread_pairs(counts: DataFrame, links: DataFrame | Dimension) -> DataFrame:
     The state of a row depends on its cell only, so pairs are counted by cell
     first and spread afterwards: origins, sum, destinations, sum. No step meets
     the product of two rings per pair, and its size follows the network, not
-    the number of observations.
+    the number of observations. Partitioned by origin once, both sums and a
+    later normalisation stay within their partitions.
     """
     links = measure(links)
-    for end in ("from_no", "to_no"):
-        ring = Dimension(links.df.withColumnRenamed("cell_no", end), links.rows)
-        ends = [c if c != end else "link_no" for c in ("from_no", "to_no")]
-        counts = (
-            lookup_join(counts, ring, [end])
-            .groupBy(*ends)
-            .agg(F.sum(F.col("weight") * F.col("prop")).alias("weight"))
-            .withColumnRenamed("link_no", end)
-        )
-    return counts
+    origins = Dimension(links.df.withColumnRenamed("cell_no", "from_no"), links.rows)
+    destinations = Dimension(links.df.withColumnRenamed("cell_no", "to_no"), links.rows)
+    share = F.sum(F.col("weight") * F.col("prop")).alias("weight")
+    from_spread = (
+        lookup_join(counts, origins, ["from_no"])
+        .select(F.col("link_no").alias("from_no"), "to_no", "weight", "prop")
+        .repartition("from_no")
+        .groupBy("from_no", "to_no")
+        .agg(share)
+    )
+    return (
+        lookup_join(from_spread, destinations, ["to_no"])
+        .groupBy("from_no", F.col("link_no").alias("to_no"))
+        .agg(share)
+    )
 
 
 def _both_ends(matrix: DataFrame, cells: Dimension, key: str, ends: tuple[str, str], names) -> DataFrame:

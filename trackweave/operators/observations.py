@@ -26,13 +26,16 @@ def dedup_observations(observations: DataFrame) -> DataFrame:
     """Keep one row per user and instant: the smallest coordinates win.
 
     An aggregate, not a window: copies already collapse before the shuffle, so a
-    huge group of copies costs one row per input task.
+    huge group of copies costs one row per input task. The weekday follows from
+    the time and is derived again rather than shuffled.
     """
     keys = ["user_id", "ts"]
     first = ["coord_x", "coord_y", "hour"]
-    rest = [c for c in observations.columns if c not in keys + first]
+    rest = [c for c in observations.columns if c not in [*keys, *first, "weekday"]]
     kept = observations.groupBy(*keys).agg(F.min(F.struct(*first, *rest)).alias("_row"))
-    return kept.select(*keys, "_row.*").select(*observations.columns)
+    return kept.select(*keys, weekday_number("ts").alias("weekday"), "_row.*").select(
+        *observations.columns
+    )
 
 
 def sort_observations(observations: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import epoch_second
-from ..lineage import cut_lineage
+from ..lineage import store
 from ..settings import HOT_USER_DAY_ROWS, OD_HORIZON_SECONDS
 from .dimensions import Dimension, join_null_safe, measure
 
@@ -30,15 +30,14 @@ def hot_user_days(rows: DataFrame, limit: int = HOT_USER_DAY_ROWS) -> Dimension
     Meant for the raw observations: it reads two columns, counts before the
     shuffle, and later steps only remove rows, so nothing hot is missed.
     """
-    hot = cut_lineage(
+    found = measure(
         _with_day(rows.select("user_id", "ts"))
         .groupBy(*USER_DAY)
         .count()
         .filter(F.col("count") > limit)
         .select(*USER_DAY)
     )
-    found = measure(hot)
-    return found if found.rows else None
+    return Dimension(store(found.df), found.rows) if found.rows else None
 
 
 def _split(rows: DataFrame, hot: Dimension) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import uniform
-from ..lineage import cut_lineage
+from ..lineage import cut_lineage, store
 from ..settings import STEPS_PER_CHECKPOINT
 from .dimensions import Dimension, lookup_join, measure
 from .matrix import count_pairs
@@ -96,7 +96,7 @@ def next_state_draw(
     walkers: DataFrame, cdf: DataFrame, step: int = 1, seed: int = 0
 ) -> DataFrame:
     """One draw for (user_id, cell_no): adds ``next_no``, null where nothing leads on."""
-    table = measure(cut_lineage(draw_table(cdf)))
+    table = measure(store(draw_table(cdf)))
     placed = lookup_join(walkers, _origins(table), ["cell_no"], "left")
     number = uniform(F.col("user_id"), F.lit(step), seed=seed)
     return _draw(placed, table, number).select(
@@ -115,7 +115,7 @@ def synthesize_walks(
 
     A walker in a cell without outgoing moves stops there.
     """
-    table = measure(cut_lineage(draw_table(transition_cdf(matrix))))
+    table = measure(store(draw_table(transition_cdf(matrix))))
     walkers = lookup_join(starts.select("user_id", "cell_no"), _origins(table), ["cell_no"], "left")
     walkers = walkers.withColumn("walk", F.array("cell_no"))
     for step in range(1, steps + 1):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..lineage import cut_lineage
+from ..lineage import store
 from ..operators.markov import chain_phases, initial_distribution
 from ..operators.trajectories import start_cells
 from .matrices import Slot, trajectory, transition_matrix
@@ -30,7 +30,7 @@ def slot_phases(
 
     Returns (phase, step, cell_no, p).
     """
-    start = cut_lineage(starting_distribution(observations, network, order, slots[0]))
+    start = store(starting_distribution(observations, network, order, slots[0]))
     phases = [
         (transition_matrix(observations, network, order, slot), n) for slot, n in zip(slots, rows)
     ]

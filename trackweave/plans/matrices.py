@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.cells import locate_observations
+from ..operators.dimensions import Dimension, lookup_join
 from ..operators.matrix import count_pairs, row_normalize, spread_pairs
 from ..operators.observations import dedup_observations, drop_incomplete, filter_time_slot
 from ..operators.pairs import (
@@ -49,8 +49,9 @@ def transition_pairs(
     # Rows without a user or time could only ever precede each other.
     timed = drop_incomplete(observations, ["user_id", "ts"])
     hot = None if hot_rows is None else hot_user_days(timed, hot_rows)
-    lagged = lag_state_by_day(trajectory(timed, network, order, slot), hot=hot)
-    return count_pairs(drop_incomplete(lagged), "prev_cell_no", "cell_no")
+    rows = trajectory(timed, network, order, slot).select("user_id", "ts", "hour", "cell_no")
+    lagged = drop_incomplete(lag_state_by_day(rows, hot=hot))
+    return count_pairs(lagged, "prev_cell_no", "cell_no")
 
 
 def transition_matrix(
@@ -79,9 +80,8 @@ def od_matrix(
 ) -> DataFrame:
     """Origin-destination matrix (from_no, to_no, weight, prob)."""
     hot = None if hot_rows is None else hot_user_days(observations, hot_rows)
-    trips = od_destination(
-        trajectory(observations, network, order, slot), horizon=horizon, hot=hot
-    )
+    rows = trajectory(observations, network, order, slot).select("user_id", "ts", "cell_no")
+    trips = od_destination(rows, horizon=horizon, hot=hot)
     return _finish(count_pairs(trips, "cell_no", "dest_cell_no"), network, order)
 
 
@@ -90,8 +90,9 @@ def transition_matrix_steps(rows: DataFrame, network: Network, order: int = 1) -
 
     Steps in unknown or ringless cells vanish before pairing.
     """
-    ringed = network.ringed_cells().df.select("cell_no")
-    kept = rows.join(F.broadcast(ringed) if network.cells.fits_broadcast else ringed, "cell_no", "left_semi")
+    ringed = network.ringed_cells()
+    known = Dimension(ringed.df.select("cell_no"), ringed.rows)
+    kept = lookup_join(rows, known, ["cell_no"], "left_semi")
     lagged = drop_incomplete(lag_state_by_step(kept))
     return _finish(count_pairs(lagged, "prev_cell_no", "cell_no"), network, order)
 
@@ -102,7 +103,6 @@ def transition_matrix_walks(walks: DataFrame, network: Network, order: int = 1)
     If every cell has a ring, neighbours in the list are the pairs and walks
     never move. Otherwise a vanished step makes its neighbours adjacent.
     """
-    ringless = network.cells.rows - network.ringed_cells().df.count()
-    if ringless:
+    if network.ringed_cells().rows < network.cells.rows:
         return transition_matrix_steps(walk_to_rows(walks), network, order)
     return _finish(count_walk_pairs(walks), network, order)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..lineage import cut_lineage
+from ..lineage import store
 from ..operators.cells import number_cells
 from ..operators.dimensions import Dimension, measure
 from ..operators.rings import (
@@ -23,27 +23,30 @@ class Network:
 
     def __init__(self, cells: DataFrame, adjacency: DataFrame | None = None) -> None:
         if "cell_no" not in cells.columns:
-            cells = number_cells(cells)
-        self.cells: Dimension = measure(cut_lineage(cells))
-        self.adjacency = None if adjacency is None else cut_lineage(adjacency)
+            cells = store(number_cells(store(cells)))
+        self.cells: Dimension = measure(cells)
+        self.adjacency = None if adjacency is None else store(adjacency)
         self._links: dict[int, Dimension] = {}
         self._states: dict[int, Dimension] = {}
+        self._ringed: Dimension | None = None
 
     def links(self, order: int) -> Dimension:
         """Ring distribution on cell numbers (cell_no, link_no, prop)."""
         if order not in self._links:
             spread = number_distribution(ring_distribution(self.adjacency, order), self.cells)
-            self._links[order] = measure(cut_lineage(spread))
+            self._links[order] = measure(store(spread))
         return self._links[order]
 
     def states(self, order: int) -> Dimension:
         """Ring states (cell_id, states)."""
         if order not in self._states:
             packed = states_from_distribution(ring_distribution(self.adjacency, order))
-            self._states[order] = measure(cut_lineage(packed))
+            self._states[order] = measure(store(packed))
         return self._states[order]
 
     def ringed_cells(self) -> Dimension:
         """The cells that have a ring."""
-        listed = self.adjacency.select("cell_id").distinct()
-        return Dimension(self.cells.df.join(listed, "cell_id", "left_semi"), self.cells.rows)
+        if self._ringed is None:
+            listed = self.adjacency.select("cell_id").distinct()
+            self._ringed = measure(store(self.cells.df.join(listed, "cell_id", "left_semi")))
+        return self._ringed

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..lineage import cut_lineage
+from ..lineage import store
 from ..operators.trajectories import start_cells
 from ..operators.walks import synthesize_walks
 from .matrices import Slot, trajectory, transition_matrix
@@ -22,4 +22,4 @@ def observed_walks(
     """One walk (user_id, walk) per user, from the user's first cell."""
     starts = start_cells(trajectory(observations, network, order, slot))
     matrix = transition_matrix(observations, network, order, slot)
-    return cut_lineage(synthesize_walks(starts, matrix, steps, seed))
+    return store(synthesize_walks(starts, matrix, steps, seed))

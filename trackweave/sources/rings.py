@@ -37,18 +37,19 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_ring_lines(lines: DataFrame) -> DataFrame:
-    """Records (ring_order, cell_id, n, members) from (ring_order, line_no, value).
+    """Records (ring_order, cell_id, n, members) from (ring_order, file, line_no, value).
 
-    Line 0 is a header. Blank member lines stay in place, so a cell without
+    Line 0 of a file is a header. Blank member lines stay in place, so a cell without
     neighbours does not shift the records after it.
     """
     body = lines.filter(F.col("line_no") > 0).select(
         "ring_order",
+        "file",
         F.floor((F.col("line_no") - 1) / 2).alias("_record"),
         ((F.col("line_no") - 1) % 2).alias("_half"),
         F.trim("value").alias("_text"),
     )
-    records = body.groupBy("ring_order", "_record").agg(
+    records = body.groupBy("ring_order", "file", "_record").agg(
         F.max(F.when(F.col("_half") == 0, F.col("_text"))).alias("_head"),
         F.max(F.when(F.col("_half") == 1, F.col("_text"))).alias("_tail"),
     )
