@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut_lineage, store
+from ..lineage import cut_lineage, loop_session, size_shuffles, store
 from ..settings import STEPS_PER_CHECKPOINT
 from .dimensions import Dimension, lookup_join
 
@@ -58,7 +58,7 @@ def to_vector(packed: DataFrame) -> DataFrame:
 
 
 def _block(first: DataFrame, moves: DataFrame, steps: int) -> DataFrame:
-    """Columns p_0..p_steps per cell, from p_0.
+    """Columns p_0..p_steps per cell (from_no), from p_0.
 
     Each step is a join on the origin and one sum per destination. The row that
     stays in its cell carries the earlier columns along, so that nothing is read
@@ -66,15 +66,12 @@ def _block(first: DataFrame, moves: DataFrame, steps: int) -> DataFrame:
     """
     frame = first
     for step in range(steps):
-        moved = F.sum(F.col(f"p_{step}") * F.col("prob")).alias(f"p_{step + 1}")
-        kept = [
-            F.sum(F.when(F.col("stays"), F.col(f"p_{k}"))).alias(f"p_{k}")
-            for k in range(step + 1)
-        ]
+        kept = [f"sum(if(stays, p_{k}, null)) AS p_{k}" for k in range(step + 1)]
+        moved = f"sum(p_{step} * prob) AS p_{step + 1}"
         frame = (
-            moves.join(frame.hint("shuffle_hash").withColumnRenamed("cell_no", "from_no"), "from_no")
-            .groupBy(F.col("to_no").alias("cell_no"))
-            .agg(*kept, moved)
+            moves.join(frame.hint("shuffle_hash"), "from_no")
+            .groupBy(F.col("to_no").alias("from_no"))
+            .agg(*[F.expr(text) for text in (*kept, moved)])
         )
     return frame
 
@@ -87,6 +84,10 @@ def propagate_all(
     A cell without outgoing moves passes nothing on, so its mass leaves.
     """
     spark = matrix.sparkSession
+    loop = loop_session(spark)
+    start = store(start.select("cell_no", F.col("p").cast("double")), loop)
+    matrix = store(matrix.select("from_no", "to_no", "prob", F.lit(False).alias("stays")), loop)
+    width = size_shuffles(loop, matrix.count())
     known = (
         start.select("cell_no")
         .union(matrix.select("from_no"))
@@ -99,16 +100,11 @@ def propagate_all(
         F.lit(0.0).alias("prob"),
         F.lit(True).alias("stays"),
     )
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = store(
-        matrix.select("from_no", "to_no", "prob", F.lit(False).alias("stays")).unionByName(stay)
-    )
-    moves = stored.repartition(width, "from_no").persist()
+    moves = matrix.unionByName(stay).repartition(width, "from_no").persist()
     frame = cut_lineage(
-        moves.filter("stays")
-        .select(F.col("from_no").alias("cell_no"))
-        .join(start, "cell_no", "left")
-        .select("cell_no", F.coalesce("p", F.lit(0.0)).alias("p_0"))
+        known.join(start, "cell_no", "left").select(
+            F.col("cell_no").alias("from_no"), F.coalesce("p", F.lit(0.0)).alias("p_0")
+        )
     )
     parts = []
     done = 0
@@ -119,14 +115,21 @@ def propagate_all(
         # The last column of a block is the first of the next one.
         final = done + steps >= rows - 1
         listed = range(steps + 1 if final else steps)
-        values = F.array(*[F.struct(F.lit(done + k).alias("step"), F.col(f"p_{k}").alias("p")) for k in listed])
-        parts.append(frame.select("cell_no", F.inline(values)).select("step", "cell_no", "p"))
+        values = F.array(
+            *[
+                F.struct(F.lit(done + k).alias("step"), F.col(f"p_{k}").alias("p"))
+                for k in listed
+            ]
+        )
+        listing = frame.select(F.col("from_no").alias("cell_no"), F.inline(values))
+        parts.append(listing.select("step", "cell_no", "p"))
         done += steps
         if final:
             break
-        frame = frame.select("cell_no", F.col(f"p_{steps}").alias("p_0"))
+        frame = frame.select("from_no", F.col(f"p_{steps}").alias("p_0"))
+    result = store(reduce(DataFrame.unionByName, parts), spark)
     moves.unpersist()
-    return reduce(DataFrame.unionByName, parts)
+    return result
 
 
 def propagate(

@@ -61,7 +61,7 @@ def draw_table(cdf: DataFrame) -> DataFrame:
         .join(after, "to_no", "left")
         .select(
             "from_no",
-            "slots",
+            F.col("slots").alias("from_slots"),
             F.explode(F.sequence(begin, end)).alias("slot"),
             "lo",
             "hi",
@@ -72,24 +72,20 @@ def draw_table(cdf: DataFrame) -> DataFrame:
 
 
 def _origins(table: Dimension) -> Dimension:
-    """Slots per origin."""
+    """(cell_no, slots) of every origin."""
+    first = table.df.filter((F.col("slot") == 0) & (F.col("lo") == 0))
     return measure(
-        table.df.filter("slot = 0").select(F.col("from_no").alias("cell_no"), "slots").distinct()
+        first.select(F.col("from_no").alias("cell_no"), F.col("from_slots").alias("slots")).distinct()
     )
 
 
 def _draw(walkers: DataFrame, table: Dimension, number: Column) -> DataFrame:
     """Add (to_no, to_slots) to walkers with (cell_no, slots); null where stuck."""
-    asked = walkers.withColumn("_r", number).withColumn("_slot", _slot(F.col("_r"), F.col("slots")))
-    choices = table.df.select("from_no", "slot", "lo", "hi", "to_no", "to_slots")
-    choices = F.broadcast(choices) if table.fits_broadcast else choices
-    hit = (
-        (F.col("cell_no") == F.col("from_no"))
-        & (F.col("_slot") == F.col("slot"))
-        & (F.col("_r") > F.col("lo"))
-        & (F.col("_r") <= F.col("hi"))
+    choices = F.broadcast(table.df) if table.fits_broadcast else table.df
+    hit = F.expr(
+        "cell_no = from_no AND CAST(floor(_r * slots) AS INT) = slot AND _r > lo AND _r <= hi"
     )
-    return asked.join(choices, hit, "left").drop("_r", "_slot", "from_no", "slot", "lo", "hi")
+    return walkers.withColumn("_r", number).join(choices, hit, "left")
 
 
 def next_state_draw(
@@ -98,7 +94,7 @@ def next_state_draw(
     """One draw for (user_id, cell_no): adds ``next_no``, null where nothing leads on."""
     table = measure(store(draw_table(cdf)))
     placed = lookup_join(walkers, _origins(table), ["cell_no"], "left")
-    number = uniform(F.col("user_id"), F.lit(step), seed=seed)
+    number = uniform("user_id", step, seed=seed)
     return _draw(placed, table, number).select(
         "user_id", "cell_no", F.col("to_no").alias("next_no")
     )
@@ -119,13 +115,12 @@ def synthesize_walks(
     walkers = lookup_join(starts.select("user_id", "cell_no"), _origins(table), ["cell_no"], "left")
     walkers = walkers.withColumn("walk", F.array("cell_no"))
     for step in range(1, steps + 1):
-        number = uniform(F.col("user_id"), F.lit(step), seed=seed)
-        moved = F.col("to_no").isNotNull()
-        walkers = _draw(walkers, table, number).select(
+        number = uniform("user_id", step, seed=seed)
+        walkers = _draw(walkers, table, number).selectExpr(
             "user_id",
-            F.col("to_no").alias("cell_no"),
-            F.col("to_slots").alias("slots"),
-            F.when(moved, F.array_append("walk", F.col("to_no"))).otherwise(F.col("walk")).alias("walk"),
+            "to_no AS cell_no",
+            "to_slots AS slots",
+            "if(to_no IS NULL, walk, array_append(walk, to_no)) AS walk",
         )
         if step % every == 0 and step < steps:
             walkers = cut_lineage(walkers)
@@ -141,7 +136,7 @@ def walk_to_rows(walks: DataFrame) -> DataFrame:
 
 def random_states(users: DataFrame, n: int, cells: int, seed: int = 0) -> DataFrame:
     """``n`` uniformly drawn cells per user as (user_id, i, cell_no)."""
-    drawn = F.floor(uniform(F.col("user_id"), F.col("i"), seed=seed) * cells) + 1
+    drawn = F.floor(uniform("user_id", "i", seed=seed) * cells) + 1
     return users.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i")).select(
         "user_id", "i", drawn.cast("int").alias("cell_no")
     )

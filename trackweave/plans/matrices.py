@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.cells import locate_observations
 from ..operators.dimensions import Dimension, lookup_join
@@ -47,7 +48,7 @@ def transition_pairs(
 ) -> DataFrame:
     """Counts (from_no, to_no, weight) of consecutive same-day cells."""
     # Rows without a user or time could only ever precede each other.
-    timed = drop_incomplete(observations, ["user_id", "ts"])
+    timed = observations.filter(F.col("user_id").isNotNull() & F.col("ts").isNotNull())
     hot = None if hot_rows is None else hot_user_days(timed, hot_rows)
     rows = trajectory(timed, network, order, slot).select("user_id", "ts", "hour", "cell_no")
     lagged = drop_incomplete(lag_state_by_day(rows, hot=hot))

@@ -18,4 +18,6 @@ HOT_SLIDING_ROWS = 20_000
 # Tables below this many rows may be numbered through one sorted partition.
 ONE_PARTITION_ROWS = 1_000_000
 # Iterative jobs cut their lineage after this many steps.
-STEPS_PER_CHECKPOINT = 10
+STEPS_PER_CHECKPOINT = 4
+# Rows of the matrix that one task of an iterative job handles.
+ROWS_PER_LOOP_TASK = 200_000
