@@ -63,6 +63,8 @@ def test_whole_week_slot_equals_no_slot_on_complete_rows(observations, network):
 def test_hot_user_days_and_large_tables_change_nothing(observations, network, monkeypatch):
     tm = as_matrix(plans.transition_matrix(observations, network, 1), "prob")
     od = as_matrix(plans.od_matrix(observations, network, 1), "prob")
+    copies = observations.unionByName(observations)
+    assert as_matrix(plans.od_matrix(copies, network, 1, hot_rows=3), "prob") == pytest.approx(od)
     monkeypatch.setattr(dimensions, "BROADCAST_ROWS", 0)
     assert as_matrix(
         plans.transition_matrix(observations, network, 1, hot_rows=3), "prob"
@@ -77,10 +79,10 @@ def test_gis_export_has_both_ends(observations, network):
     assert exported.count() == matrix.count()
 
 
-def test_the_plan_moves_observations_twice(observations, network):
-    """Once to remove copies and once per user-day; lookups are broadcast."""
+def test_the_plan_moves_observations_once(observations, network):
+    """Once per user-day; the other shuffle moves pair counts. Lookups are broadcast."""
     pairs = plans.transition_pairs(observations, network, order=1)
     plan = pairs._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 3  # the third moves pair counts
+    assert plan.count("Exchange hashpartitioning") == 2
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
     assert "PythonUDF" not in plan

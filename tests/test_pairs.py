@@ -7,6 +7,7 @@ import pytest
 
 from trackweave import operators as ops
 from trackweave import plans
+from trackweave.operators import dimensions
 from tests.conftest import as_matrix, at
 
 TRAJECTORY = "user_id bigint, ts timestamp, weekday int, hour int, cell_id string, cell_no int"
@@ -43,28 +44,40 @@ def expected(rows, horizon=7200):
     return out
 
 
-@pytest.mark.parametrize("limit", [None, 100_000, 60, 0])
-def test_hot_user_days_change_nothing(spark, limit):
-    rows = crowded(seed=limit or 1)
-    frame = trajectory(spark, rows)
-    hot = None if limit is None else ops.hot_user_days(frame, limit)
-    assert (hot is None) == (limit in (None, 100_000))
-    lagged = {(r.user_id, r.ts): r.prev_cell_no for r in ops.lag_state_by_day(frame, hot=hot).collect()}
-    trips = {(r.user_id, r.ts): r.dest_cell_no for r in ops.od_destination(frame, hot=hot).collect()}
-    want = expected(rows)
-    assert lagged == {k: v[0] for k, v in want.items()}
-    assert trips == {k: v[1] for k, v in want.items()}
+def found(df, column):
+    return {(r.user_id, r.ts): r[column] for r in df.collect()}
 
 
-def test_hot_split_without_broadcast(spark, monkeypatch):
-    from trackweave.operators import dimensions
-
-    monkeypatch.setattr(dimensions, "BROADCAST_ROWS", 0)
-    rows = crowded(seed=3)
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_both_forms_equal_brute_force(spark, seed):
+    rows = crowded(seed)
+    frame = trajectory(spark, rows).persist()
+    want = expected(rows)
+    previous = {k: v[0] for k, v in want.items()}
+    destination = {k: v[1] for k, v in want.items()}
+    assert found(ops.lag_state_by_day(frame), "prev_cell_no") == previous
+    assert found(ops.lag_state_by_day(frame, unique_times=True), "prev_cell_no") == previous
+    assert found(ops.lag_state_by_second(frame), "prev_cell_no") == previous
+    assert found(ops.od_destination(frame), "dest_cell_no") == destination
+    assert found(ops.od_destination_by_second(frame), "dest_cell_no") == destination
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_hot_user_days_are_split_off_whole(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(dimensions, "BROADCAST_ROWS", broadcast)
+    rows = crowded(seed=4)
     frame = trajectory(spark, rows)
-    hot = ops.hot_user_days(frame, 60)
-    lagged = {(r.user_id, r.ts): r.prev_cell_no for r in ops.lag_state_by_day(frame, hot=hot).collect()}
-    assert lagged == {k: v[0] for k, v in expected(rows).items()}
+    assert ops.hot_user_days(frame, 100_000) is None
+    sizes = {}
+    for user, ts, _ in rows:
+        sizes[user, ts.date()] = sizes.get((user, ts.date()), 0) + 1
+    limit = sorted(sizes.values())[len(sizes) // 2]
+    hot = ops.hot_user_days(frame, limit)
+    large = {k for k, n in sizes.items() if n > limit}
+    assert {tuple(r) for r in hot.df.collect()} == large
+    cold, busy = ops.split_user_days(frame, hot)
+    assert {(r.user_id, r._day) for r in busy.collect()} == large
+    assert cold.count() + busy.count() == len(rows)
 
 
 def test_midnight_and_horizon(spark):

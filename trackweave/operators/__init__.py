@@ -31,7 +31,16 @@ from .observations import (
     normalize_observations,
     sort_observations,
 )
-from .pairs import hot_user_days, lag_state_by_day, lag_state_by_step, od_destination
+from .pairs import (
+    hot_user_days,
+    lag_state_by_day,
+    lag_state_by_second,
+    lag_state_by_step,
+    od_destination,
+    od_destination_by_second,
+    split_user_days,
+    with_day,
+)
 from .rings import (
     align_ring_counts,
     align_ring_members,

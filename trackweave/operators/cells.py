@@ -56,6 +56,7 @@ def number_cells(cells: DataFrame, one_partition_rows: int = ONE_PARTITION_ROWS)
 
 def locate_observations(observations: DataFrame, cells: DataFrame | Dimension) -> DataFrame:
     """Attach the cell at exactly the observed coordinates; others vanish."""
-    return lookup_join(observations, cells, ["coord_x", "coord_y"]).select(
-        "user_id", "ts", "weekday", "hour", "cell_id", "cell_no"
+    placed = lookup_join(observations, cells, ["coord_x", "coord_y"])
+    return placed.select(
+        *[c for c in observations.columns if c not in ("coord_x", "coord_y")], "cell_id", "cell_no"
     )

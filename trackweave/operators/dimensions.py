@@ -7,13 +7,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..settings import BROADCAST_ROWS, SALTS
 
 
 @dataclass(frozen=True)
 class Dimension:
-    """A lookup table and its counted rows."""
+    """A lookup table and its counted rows; the entries of lists count as rows."""
 
     df: DataFrame
     rows: int
@@ -27,7 +28,11 @@ def measure(table: DataFrame | Dimension) -> Dimension:
     """Count a lookup table, unless that was done before."""
     if isinstance(table, Dimension):
         return table
-    return Dimension(table, table.count())
+    lists = [f.name for f in table.schema if isinstance(f.dataType, T.ArrayType)]
+    if not lists:
+        return Dimension(table, table.count())
+    entries = sum((F.greatest(F.size(c), F.lit(1)) for c in lists), F.lit(0))
+    return Dimension(table, table.agg(F.coalesce(F.sum(entries), F.lit(0))).first()[0])
 
 
 def lookup_join(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage, loop_session, size_shuffles, store
-from ..settings import STEPS_PER_CHECKPOINT
+from ..settings import PROPAGATE_STEPS_PER_CHECKPOINT
 from .dimensions import Dimension, lookup_join
 
 
@@ -77,7 +77,7 @@ def _block(first: DataFrame, moves: DataFrame, steps: int) -> DataFrame:
 
 
 def propagate_all(
-    start: DataFrame, matrix: DataFrame, rows: int, every: int = STEPS_PER_CHECKPOINT
+    start: DataFrame, matrix: DataFrame, rows: int, every: int = PROPAGATE_STEPS_PER_CHECKPOINT
 ) -> DataFrame:
     """v, vP, ... as (step, cell_no, p): ``rows`` steps, zeros included.
 
@@ -133,14 +133,14 @@ def propagate_all(
 
 
 def propagate(
-    start: DataFrame, matrix: DataFrame, rows: int, every: int = STEPS_PER_CHECKPOINT
+    start: DataFrame, matrix: DataFrame, rows: int, every: int = PROPAGATE_STEPS_PER_CHECKPOINT
 ) -> DataFrame:
     """v, vP, ... as (step, cell_no, p): ``rows`` steps, without zeros."""
     return propagate_all(start, matrix, rows, every).filter(F.col("p") != 0)
 
 
 def chain_phases(
-    start: DataFrame, phases: list[tuple[DataFrame, int]], every: int = STEPS_PER_CHECKPOINT
+    start: DataFrame, phases: list[tuple[DataFrame, int]], every: int = PROPAGATE_STEPS_PER_CHECKPOINT
 ) -> DataFrame:
     """Propagate through several (matrix, rows) phases as (phase, step, cell_no, p).
 
@@ -155,7 +155,7 @@ def chain_phases(
 
 
 def convergence_trace(
-    start: DataFrame, matrix: DataFrame, rows: int, every: int = STEPS_PER_CHECKPOINT
+    start: DataFrame, matrix: DataFrame, rows: int, every: int = PROPAGATE_STEPS_PER_CHECKPOINT
 ) -> DataFrame:
     """Every step of every cell that is non-zero at some step, with ``change``.
 

@@ -29,7 +29,9 @@ def dedup_observations(observations: DataFrame) -> DataFrame:
     huge group of copies costs one row per input task. The weekday follows from
     the time and is derived again rather than shuffled.
     """
-    keys = ["user_id", "ts"]
+    # A date that came along groups nothing further, but lets rows stay where
+    # they are if they are partitioned by it.
+    keys = [c for c in ("user_id", "_day", "ts") if c in observations.columns]
     first = ["coord_x", "coord_y", "hour"]
     rest = [c for c in observations.columns if c not in [*keys, *first, "weekday"]]
     kept = observations.groupBy(*keys).agg(F.min(F.struct(*first, *rest)).alias("_row"))

@@ -1,9 +1,10 @@
 """Pairing of observations: the previous position and the trip destination.
 
 Both work within a user's calendar day. A user-day is small as a rule and one
-window handles it. Those that ``hot_user_days`` reports are split by second
-first: a day has at most 86,400 seconds, so what still meets in one task is
-bounded however many rows the user-day holds.
+window handles it. For those that ``hot_user_days`` reports there is a second
+form of each operator that splits by second first: a day has at most 86,400
+seconds, so what still meets in one task is bounded however many rows the
+user-day holds. Both forms give the same result.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ USER_DAY = ["user_id", "_day"]
 USER_SECOND = ["user_id", "_day", "_second"]
 
 
-def _with_day(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_day", F.to_date("ts"))
+def with_day(rows: DataFrame) -> DataFrame:
+    """Add the date as ``_day``, unless it came along."""
+    return rows if "_day" in rows.columns else rows.withColumn("_day", F.to_date("ts"))
 
 
 def hot_user_days(rows: DataFrame, limit: int = HOT_USER_DAY_ROWS) -> Dimension | None:
@@ -31,7 +33,7 @@ def hot_user_days(rows: DataFrame, limit: int = HOT_USER_DAY_ROWS) -> Dimension
     shuffle, and later steps only remove rows, so nothing hot is missed.
     """
     found = measure(
-        _with_day(rows.select("user_id", "ts"))
+        with_day(rows.select("user_id", "ts"))
         .groupBy(*USER_DAY)
         .count()
         .filter(F.col("count") > limit)
@@ -40,7 +42,9 @@ def hot_user_days(rows: DataFrame, limit: int = HOT_USER_DAY_ROWS) -> Dimension
     return Dimension(store(found.df), found.rows) if found.rows else None
 
 
-def _split(rows: DataFrame, hot: Dimension) -> tuple[DataFrame, DataFrame]:
+def split_user_days(rows: DataFrame, hot: Dimension) -> tuple[DataFrame, DataFrame]:
+    """The rows outside and inside the hot user-days."""
+    rows = with_day(rows)
     keys = F.broadcast(hot.df) if hot.fits_broadcast else hot.df
     cold = join_null_safe(rows, keys, USER_DAY, "left_anti")
     return cold, join_null_safe(rows, keys, USER_DAY, "left_semi")
@@ -52,36 +56,39 @@ def _last_by_second(rows: DataFrame, state: str) -> DataFrame:
 
 
 def lag_state_by_day(
-    trajectory: DataFrame, state: str = "cell_no", hot: Dimension | None = None
+    trajectory: DataFrame, state: str = "cell_no", unique_times: bool = False
 ) -> DataFrame:
-    """Add ``prev_<state>``: the user's previous state on the same date, if any."""
-    rows = _with_day(trajectory)
-    previous = f"prev_{state}"
-    by_day = Window.partitionBy(*USER_DAY).orderBy("ts", state)
-    if hot is None:
-        return rows.withColumn(previous, F.lag(state).over(by_day)).drop("_day")
-
-    cold, crowded = _split(rows, hot)
-    crowded = crowded.withColumn("_second", epoch_second("ts"))
+    """Add ``prev_<state>``: the user's previous state on the same date, if any.
+
+    ``unique_times`` promises at most one row per user and instant, so that time
+    alone orders them and rows already sorted by it need no second sort.
+    """
+    order = ["ts"] if unique_times else ["ts", state]
+    by_day = Window.partitionBy(*USER_DAY).orderBy(*order)
+    lagged = with_day(trajectory).withColumn(f"prev_{state}", F.lag(state).over(by_day))
+    return lagged.drop("_day")
+
+
+def lag_state_by_second(trajectory: DataFrame, state: str = "cell_no") -> DataFrame:
+    """The same for hot user-days.
+
+    Rows look back within their second; the first of a second takes the last
+    state of the user's previous second that day.
+    """
+    rows = with_day(trajectory).withColumn("_second", epoch_second("ts"))
     in_second = Window.partitionBy(*USER_SECOND).orderBy("ts", state)
     over_seconds = Window.partitionBy(*USER_DAY).orderBy("_second")
-    carried = _last_by_second(crowded, state).select(
+    carried = _last_by_second(rows, state).select(
         *USER_SECOND, F.lag("_last").over(over_seconds).alias("_carried")
     )
-    paired = (
-        join_null_safe(
-            crowded.withColumn("_row", F.row_number().over(in_second)).withColumn(
-                "_within", F.lag(state).over(in_second)
-            ),
-            carried,
-            USER_SECOND,
-            "inner",
-        )
-        .withColumn(previous, F.when(F.col("_row") == 1, F.col("_carried")).otherwise(F.col("_within")))
-        .drop("_row", "_within", "_carried", "_second")
+    numbered = rows.withColumn("_row", F.row_number().over(in_second)).withColumn(
+        "_within", F.lag(state).over(in_second)
     )
+    previous = F.when(F.col("_row") == 1, F.col("_carried")).otherwise(F.col("_within"))
     return (
-        cold.withColumn(previous, F.lag(state).over(by_day)).unionByName(paired).drop("_day")
+        join_null_safe(numbered, carried, USER_SECOND, "inner")
+        .withColumn(f"prev_{state}", previous)
+        .drop("_row", "_within", "_carried", "_second", "_day")
     )
 
 
@@ -92,28 +99,33 @@ def lag_state_by_step(walks: DataFrame, state: str = "cell_no") -> DataFrame:
 
 
 def od_destination(
-    trajectory: DataFrame,
-    state: str = "cell_no",
-    horizon: int = OD_HORIZON_SECONDS,
-    hot: Dimension | None = None,
+    trajectory: DataFrame, state: str = "cell_no", horizon: int = OD_HORIZON_SECONDS
 ) -> DataFrame:
     """Add ``dest_<state>``: the user's last state that day within the horizon.
 
     Times are compared in whole seconds. The row itself counts, so a lone row is
     its own destination.
     """
-    rows = _with_day(trajectory).withColumn("_second", epoch_second("ts"))
-    destination = f"dest_{state}"
+    rows = with_day(trajectory).withColumn("_second", epoch_second("ts"))
     ahead = Window.partitionBy(*USER_DAY).orderBy("_second").rangeBetween(0, horizon)
     last = F.max_by(state, F.struct("ts", state)).over(ahead)
-    if hot is None:
-        return rows.withColumn(destination, last).drop("_day", "_second")
-
-    cold, crowded = _split(rows, hot)
-    seconds = _last_by_second(crowded, state)
-    # Merge the seconds with the questions "last state up to second + horizon?";
-    # a running frame then answers all of them in one pass.
-    known = seconds.select(*USER_DAY, F.col("_second").alias("_at"), "_last", F.lit(0).alias("_ask"))
+    return rows.withColumn(f"dest_{state}", last).drop("_day", "_second")
+
+
+def od_destination_by_second(
+    trajectory: DataFrame, state: str = "cell_no", horizon: int = OD_HORIZON_SECONDS
+) -> DataFrame:
+    """The same for hot user-days.
+
+    The destination depends on the second only. The seconds are merged with the
+    questions "last state up to second + horizon?", and a running frame answers
+    all of them in one pass.
+    """
+    rows = with_day(trajectory).withColumn("_second", epoch_second("ts"))
+    seconds = _last_by_second(rows, state)
+    known = seconds.select(
+        *USER_DAY, F.col("_second").alias("_at"), "_last", F.lit(0).alias("_ask")
+    )
     asked = seconds.select(
         *USER_DAY,
         (F.col("_second") + horizon).alias("_at"),
@@ -127,9 +139,8 @@ def od_destination(
     )
     answers = (
         known.unionByName(asked)
-        .withColumn(destination, F.last("_last", ignorenulls=True).over(so_far))
+        .withColumn(f"dest_{state}", F.last("_last", ignorenulls=True).over(so_far))
         .filter("_ask = 1")
-        .select(*USER_DAY, (F.col("_at") - horizon).alias("_second"), destination)
+        .select(*USER_DAY, (F.col("_at") - horizon).alias("_second"), f"dest_{state}")
     )
-    found = join_null_safe(crowded, answers, USER_SECOND, "inner")
-    return cold.withColumn(destination, last).unionByName(found).drop("_day", "_second")
+    return join_null_safe(rows, answers, USER_SECOND, "inner").drop("_day", "_second")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import uniform
 from ..lineage import cut_lineage, store
-from ..settings import STEPS_PER_CHECKPOINT
+from ..settings import WALK_STEPS_PER_CHECKPOINT
 from .dimensions import Dimension, lookup_join, measure
 from .matrix import count_pairs
 
@@ -105,7 +105,7 @@ def synthesize_walks(
     matrix: DataFrame,
     steps: int,
     seed: int = 0,
-    every: int = STEPS_PER_CHECKPOINT,
+    every: int = WALK_STEPS_PER_CHECKPOINT,
 ) -> DataFrame:
     """Walks (user_id, walk) of the start cell and up to ``steps`` moves.
 

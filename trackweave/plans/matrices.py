@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,12 @@ from ..operators.observations import dedup_observations, drop_incomplete, filter
 from ..operators.pairs import (
     hot_user_days,
     lag_state_by_day,
+    lag_state_by_second,
     lag_state_by_step,
     od_destination,
+    od_destination_by_second,
+    split_user_days,
+    with_day,
 )
 from ..operators.walks import count_walk_pairs, walk_to_rows
 from ..settings import HOT_SLIDING_ROWS, HOT_USER_DAY_ROWS, OD_HORIZON_SECONDS
@@ -39,6 +45,26 @@ def _finish(counts: DataFrame, network: Network, order: int) -> DataFrame:
     return row_normalize(weights)
 
 
+def _by_user_day(
+    observations: DataFrame,
+    hot_rows: int | None,
+    ordinary: Callable[[DataFrame], DataFrame],
+    crowded: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Apply a pairing to raw observations, moving them once.
+
+    Partitioned by user-day, copies can be removed and pairs formed in place.
+    Hot user-days take the longer way: their copies collapse before they move,
+    and then they are split by second.
+    """
+    rows = with_day(observations)
+    hot = None if hot_rows is None else hot_user_days(observations, hot_rows)
+    if hot is None:
+        return ordinary(rows.repartition("user_id", "_day"))
+    cold, busy = split_user_days(rows, hot)
+    return ordinary(cold.repartition("user_id", "_day")).unionByName(crowded(busy))
+
+
 def transition_pairs(
     observations: DataFrame,
     network: Network,
@@ -47,12 +73,20 @@ def transition_pairs(
     hot_rows: int | None = HOT_USER_DAY_ROWS,
 ) -> DataFrame:
     """Counts (from_no, to_no, weight) of consecutive same-day cells."""
+
+    def place(rows: DataFrame) -> DataFrame:
+        placed = trajectory(rows, network, order, slot)
+        return placed.select("user_id", "_day", "ts", "hour", "cell_no")
+
     # Rows without a user or time could only ever precede each other.
     timed = observations.filter(F.col("user_id").isNotNull() & F.col("ts").isNotNull())
-    hot = None if hot_rows is None else hot_user_days(timed, hot_rows)
-    rows = trajectory(timed, network, order, slot).select("user_id", "ts", "hour", "cell_no")
-    lagged = drop_incomplete(lag_state_by_day(rows, hot=hot))
-    return count_pairs(lagged, "prev_cell_no", "cell_no")
+    lagged = _by_user_day(
+        timed,
+        hot_rows,
+        lambda rows: lag_state_by_day(place(rows), unique_times=not network.shared_coordinates),
+        lambda rows: lag_state_by_second(place(rows)),
+    )
+    return count_pairs(drop_incomplete(lagged), "prev_cell_no", "cell_no")
 
 
 def transition_matrix(
@@ -80,9 +114,17 @@ def od_matrix(
     hot_rows: int | None = HOT_SLIDING_ROWS,
 ) -> DataFrame:
     """Origin-destination matrix (from_no, to_no, weight, prob)."""
-    hot = None if hot_rows is None else hot_user_days(observations, hot_rows)
-    rows = trajectory(observations, network, order, slot).select("user_id", "ts", "cell_no")
-    trips = od_destination(rows, horizon=horizon, hot=hot)
+
+    def place(rows: DataFrame) -> DataFrame:
+        placed = trajectory(rows, network, order, slot)
+        return placed.select("user_id", "_day", "ts", "cell_no")
+
+    trips = _by_user_day(
+        observations,
+        hot_rows,
+        lambda rows: od_destination(place(rows), horizon=horizon),
+        lambda rows: od_destination_by_second(place(rows), horizon=horizon),
+    )
     return _finish(count_pairs(trips, "cell_no", "dest_cell_no"), network, order)
 
 

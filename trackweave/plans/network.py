@@ -25,6 +25,8 @@ class Network:
         if "cell_no" not in cells.columns:
             cells = store(number_cells(store(cells)))
         self.cells: Dimension = measure(cells)
+        places = self.cells.df.select("coord_x", "coord_y").distinct().count()
+        self.shared_coordinates: bool = places < self.cells.rows
         self.adjacency = None if adjacency is None else store(adjacency)
         self._links: dict[int, Dimension] = {}
         self._states: dict[int, Dimension] = {}
