@@ -72,8 +72,9 @@ def _states(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
 
 def _state_pairs(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
     """Same-day pairs of ring states."""
-    lagged = ops.lag_state_by_day(_states(spark, sf_dir, order), state="states")
-    return ops.drop_incomplete(lagged)
+    lagged = ops.lag_state_by_day(_trajectory(spark, sf_dir, order), state="cell_id")
+    states = inputs.network(spark, sf_dir).states(order)
+    return ops.pair_states(ops.drop_incomplete(lagged), states)
 
 
 def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,7 @@ from .trajectories import (
     deterministic_states,
     explode_states,
     first_observation,
+    pair_states,
     probabilistic_states,
     start_cells,
 )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import single_state
-from .dimensions import Dimension, lookup_join
+from .dimensions import Dimension, lookup_join, measure
 
 
 def deterministic_states(trajectory: DataFrame) -> DataFrame:
@@ -22,6 +22,20 @@ def probabilistic_states(trajectory: DataFrame, states: DataFrame | Dimension) -
     return lookup_join(trajectory, states, ["cell_id"])
 
 
+def pair_states(lagged: DataFrame, states: DataFrame | Dimension) -> DataFrame:
+    """Attach ``prev_states`` and ``states`` to rows with ``prev_cell_id``.
+
+    Pairs are formed on ids and get their states afterwards, so that the lists
+    need not travel with the rows.
+    """
+    table = measure(states)
+    before = table.df.select(
+        F.col("cell_id").alias("prev_cell_id"), F.col("states").alias("prev_states")
+    )
+    placed = lookup_join(lagged, table, ["cell_id"])
+    return lookup_join(placed, Dimension(before, table.rows), ["prev_cell_id"])
+
+
 def explode_states(trajectory: DataFrame) -> DataFrame:
     """One row per user, instant, cell and probability."""
     return trajectory.select("user_id", "ts", F.inline("states"))

@@ -79,13 +79,13 @@ def _origins(table: Dimension) -> Dimension:
     )
 
 
-def _draw(walkers: DataFrame, table: Dimension, number: Column) -> DataFrame:
-    """Add (to_no, to_slots) to walkers with (cell_no, slots); null where stuck."""
+def _draw(walkers: DataFrame, table: Dimension) -> DataFrame:
+    """Add (to_no, to_slots) to walkers with (cell_no, slots, _r); null where stuck."""
     choices = F.broadcast(table.df) if table.fits_broadcast else table.df
     hit = F.expr(
         "cell_no = from_no AND CAST(floor(_r * slots) AS INT) = slot AND _r > lo AND _r <= hi"
     )
-    return walkers.withColumn("_r", number).join(choices, hit, "left")
+    return walkers.join(choices, hit, "left")
 
 
 def next_state_draw(
@@ -94,8 +94,8 @@ def next_state_draw(
     """One draw for (user_id, cell_no): adds ``next_no``, null where nothing leads on."""
     table = measure(store(draw_table(cdf)))
     placed = lookup_join(walkers, _origins(table), ["cell_no"], "left")
-    number = uniform("user_id", step, seed=seed)
-    return _draw(placed, table, number).select(
+    placed = placed.withColumn("_r", uniform("user_id", step, seed=seed))
+    return _draw(placed, table).select(
         "user_id", "cell_no", F.col("to_no").alias("next_no")
     )
 
@@ -113,14 +113,20 @@ def synthesize_walks(
     """
     table = measure(store(draw_table(transition_cdf(matrix))))
     walkers = lookup_join(starts.select("user_id", "cell_no"), _origins(table), ["cell_no"], "left")
-    walkers = walkers.withColumn("walk", F.array("cell_no"))
+    walkers = walkers.select(
+        "user_id",
+        "cell_no",
+        "slots",
+        F.array("cell_no").alias("walk"),
+        uniform("user_id", 1, seed=seed).alias("_r"),
+    )
     for step in range(1, steps + 1):
-        number = uniform("user_id", step, seed=seed)
-        walkers = _draw(walkers, table, number).selectExpr(
+        walkers = _draw(walkers, table).select(
             "user_id",
-            "to_no AS cell_no",
-            "to_slots AS slots",
-            "if(to_no IS NULL, walk, array_append(walk, to_no)) AS walk",
+            F.col("to_no").alias("cell_no"),
+            F.col("to_slots").alias("slots"),
+            F.expr("if(to_no IS NULL, walk, array_append(walk, to_no)) AS walk"),
+            uniform("user_id", step + 1, seed=seed).alias("_r"),
         )
         if step % every == 0 and step < steps:
             walkers = cut_lineage(walkers)

@@ -2,6 +2,7 @@
 
 from .distributions import slot_phases, starting_distribution
 from .matrices import (
+    matrix_from_pairs,
     od_matrix,
     trajectory,
     transition_matrix,
@@ -14,6 +15,7 @@ from .simulation import observed_walks
 
 __all__ = [
     "Network",
+    "matrix_from_pairs",
     "observed_walks",
     "od_matrix",
     "slot_phases",

@@ -40,7 +40,12 @@ def trajectory(
     return filter_time_slot(placed, *slot) if slot else placed
 
 
-def _finish(counts: DataFrame, network: Network, order: int) -> DataFrame:
+def matrix_from_pairs(counts: DataFrame, network: Network, order: int = 0) -> DataFrame:
+    """Matrix (from_no, to_no, weight, prob) of counted pairs, spread over rings.
+
+    Stored counts can serve several orders with one pass over the observations,
+    as long as every cell has a ring.
+    """
     weights = spread_pairs(counts, network.links(order)) if order else counts
     return row_normalize(weights)
 
@@ -102,7 +107,7 @@ def transition_matrix(
     the observed cell as certain. ``slot`` is (day from, day through, hour from,
     hour before). ``hot_rows`` of None skips the search for hot user-days.
     """
-    return _finish(transition_pairs(observations, network, order, slot, hot_rows), network, order)
+    return matrix_from_pairs(transition_pairs(observations, network, order, slot, hot_rows), network, order)
 
 
 def od_matrix(
@@ -125,7 +130,7 @@ def od_matrix(
         lambda rows: od_destination(place(rows), horizon=horizon),
         lambda rows: od_destination_by_second(place(rows), horizon=horizon),
     )
-    return _finish(count_pairs(trips, "cell_no", "dest_cell_no"), network, order)
+    return matrix_from_pairs(count_pairs(trips, "cell_no", "dest_cell_no"), network, order)
 
 
 def transition_matrix_steps(rows: DataFrame, network: Network, order: int = 1) -> DataFrame:
@@ -137,7 +142,7 @@ def transition_matrix_steps(rows: DataFrame, network: Network, order: int = 1) -
     known = Dimension(ringed.df.select("cell_no"), ringed.rows)
     kept = lookup_join(rows, known, ["cell_no"], "left_semi")
     lagged = drop_incomplete(lag_state_by_step(kept))
-    return _finish(count_pairs(lagged, "prev_cell_no", "cell_no"), network, order)
+    return matrix_from_pairs(count_pairs(lagged, "prev_cell_no", "cell_no"), network, order)
 
 
 def transition_matrix_walks(walks: DataFrame, network: Network, order: int = 1) -> DataFrame:
@@ -148,4 +153,4 @@ def transition_matrix_walks(walks: DataFrame, network: Network, order: int = 1)
     """
     if network.ringed_cells().rows < network.cells.rows:
         return transition_matrix_steps(walk_to_rows(walks), network, order)
-    return _finish(count_walk_pairs(walks), network, order)
+    return matrix_from_pairs(count_walk_pairs(walks), network, order)

@@ -22,4 +22,4 @@ ONE_PARTITION_ROWS = 1_000_000
 WALK_STEPS_PER_CHECKPOINT = 20
 PROPAGATE_STEPS_PER_CHECKPOINT = 4
 # Rows of the matrix that one task of an iterative job handles.
-ROWS_PER_LOOP_TASK = 200_000
+ROWS_PER_LOOP_TASK = 50_000
