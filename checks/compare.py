@@ -53,19 +53,26 @@ def differences(frame, expected) -> str:
         return f"columns {list(got.columns)} != {list(want.columns)}"
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
-    kinds = [
-        (c, frame[c].dtype.kind, expected[c].dtype.kind)
-        for c in got.columns
-        if {frame[c].dtype.kind, expected[c].dtype.kind} == {"i", "f"}
-        and not (frame[c].hasnans or expected[c].hasnans)
-    ]
-    if kinds:
-        return f"types {kinds}"
     rows = [sorted(map(repr_row, f.itertuples(index=False))) for f in (got, want)]
     wrong = [(a, b) for a, b in zip(*rows) if a != b]
     return f"{len(wrong)} values, first {wrong[0]}" if wrong else ""
 
 
+SQL_TYPES = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+}
+
+
+def type_differences(frame, relation) -> str:
+    """Empty if a Spark frame and a SQL result have the same column types."""
+    got = {f.name: SQL_TYPES.get(f.dataType.simpleString(), "?") for f in frame.schema}
+    want = {name: str(kind) for name, kind in zip(relation.columns, relation.types)}
+    return "" if got == want else f"types {got} != {want}"
+
+
 def repr_row(row) -> str:
     return repr([float(v) if isinstance(v, (int, float)) else v for v in row])
 
@@ -77,10 +84,12 @@ def main() -> int:
     failed = 0
     for name in names:
         begin = time.time()
-        frame = REGISTRY[name](spark, sf_dir).toPandas()
+        result = REGISTRY[name](spark, sf_dir)
+        frame = result.toPandas()
         middle = time.time()
         if name in ORACLES:
-            problem = differences(frame, connection.sql(ORACLES[name]).df())
+            relation = connection.sql(ORACLES[name])
+            problem = type_differences(result, relation) or differences(frame, relation.df())
         else:
             problem = "no SQL"
         failed += bool(problem)

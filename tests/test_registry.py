@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as driver
-from checks.compare import database, differences
+from checks.compare import database, differences, type_differences
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -25,7 +25,9 @@ def connection():
 
 @pytest.mark.parametrize("name", sorted(driver.queries()))
 def test_query_equals_sql(spark, connection, name):
-    got = driver.queries()[name](spark, TABLES).toPandas()
-    want = connection.sql(driver.oracle_sql()[name]).df()
-    assert len(want) > 0
-    assert differences(got, want) == ""
+    got = driver.queries()[name](spark, TABLES)
+    want = connection.sql(driver.oracle_sql()[name])
+    assert type_differences(got, want) == ""
+    expected = want.df()
+    assert len(expected) > 0
+    assert differences(got.toPandas(), expected) == ""
