@@ -104,11 +104,13 @@ def od_destination(
     """Add ``dest_<state>``: the user's last state that day within the horizon.
 
     Times are compared in whole seconds. The row itself counts, so a lone row is
-    its own destination.
+    its own destination. The frame is open below: that cannot change its last
+    row, and it only ever grows, where a sliding frame is summed up anew per row.
     """
     rows = with_day(trajectory).withColumn("_second", epoch_second("ts"))
-    ahead = Window.partitionBy(*USER_DAY).orderBy("_second").rangeBetween(0, horizon)
-    last = F.max_by(state, F.struct("ts", state)).over(ahead)
+    until = Window.partitionBy(*USER_DAY).orderBy("_second")
+    until = until.rangeBetween(Window.unboundedPreceding, horizon)
+    last = F.max_by(state, F.struct("ts", state)).over(until)
     return rows.withColumn(f"dest_{state}", last).drop("_day", "_second")
 
 

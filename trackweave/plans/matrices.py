@@ -22,7 +22,7 @@ from ..operators.pairs import (
     with_day,
 )
 from ..operators.walks import count_walk_pairs, walk_to_rows
-from ..settings import HOT_SLIDING_ROWS, HOT_USER_DAY_ROWS, OD_HORIZON_SECONDS
+from ..settings import HOT_USER_DAY_ROWS, OD_HORIZON_SECONDS
 from .network import Network
 
 Slot = tuple[int, int, int, int]
@@ -116,7 +116,7 @@ def od_matrix(
     order: int = 0,
     horizon: int = OD_HORIZON_SECONDS,
     slot: Slot | None = None,
-    hot_rows: int | None = HOT_SLIDING_ROWS,
+    hot_rows: int | None = HOT_USER_DAY_ROWS,
 ) -> DataFrame:
     """Origin-destination matrix (from_no, to_no, weight, prob)."""
 
@@ -138,19 +138,19 @@ def transition_matrix_steps(rows: DataFrame, network: Network, order: int = 1) -
 
     Steps in unknown or ringless cells vanish before pairing.
     """
-    ringed = network.ringed_cells()
-    known = Dimension(ringed.df.select("cell_no"), ringed.rows)
+    cells = network.ringed_cells() if order else network.cells
+    known = Dimension(cells.df.select("cell_no"), cells.rows)
     kept = lookup_join(rows, known, ["cell_no"], "left_semi")
     lagged = drop_incomplete(lag_state_by_step(kept))
     return matrix_from_pairs(count_pairs(lagged, "prev_cell_no", "cell_no"), network, order)
 
 
 def transition_matrix_walks(walks: DataFrame, network: Network, order: int = 1) -> DataFrame:
-    """Transition matrix of walks (user_id, walk), with ring noise.
+    """Transition matrix of walks (user_id, walk) over cells of the network, with ring noise.
 
     If every cell has a ring, neighbours in the list are the pairs and walks
     never move. Otherwise a vanished step makes its neighbours adjacent.
     """
-    if network.ringed_cells().rows < network.cells.rows:
+    if order and network.ringed_cells().rows < network.cells.rows:
         return transition_matrix_steps(walk_to_rows(walks), network, order)
     return matrix_from_pairs(count_walk_pairs(walks), network, order)

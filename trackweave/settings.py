@@ -13,8 +13,6 @@ BROADCAST_ROWS = 1_000_000
 SALTS = 16
 # User-days with more rows than this are split by second before windowing.
 HOT_USER_DAY_ROWS = 1_000_000
-# A sliding frame costs rows x frame, so it is left earlier.
-HOT_SLIDING_ROWS = 20_000
 # Tables below this many rows may be numbered through one sorted partition.
 ONE_PARTITION_ROWS = 1_000_000
 # Iterative jobs cut their lineage after this many steps. A step of a walk is a

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# The columns of the input files.
 OBSERVATION_FILE = T.StructType(
     [
         T.StructField("uid", T.LongType()),
