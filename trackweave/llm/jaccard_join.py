@@ -22,8 +22,9 @@ Links and components. No group of equal signatures is expanded into pairs:
 
 1. every set is checked against the smallest set (leader) of each signature;
 2. confirmed links give components;
-3. where a signature still holds several components, the sets outside its
-   largest component are checked against the sets of other components there.
+3. where a leader's sets are of several components, those that may still be
+   similar are found by what they differ in from the leader (``late_pairs``),
+   and checked.
 
 A link left out joins two sets already in one component, so the components are
 those of all links. Copies (equal sets) are one node throughout.
@@ -176,17 +177,82 @@ def node_shingles(documents: DataFrame, wanted: DataFrame, words: int) -> DataFr
     )
 
 
+def _differences(total, percent: int):
+    """Most elements in which two similar sets of ``total`` elements together differ."""
+    return F.floor(total * (100 - percent) / (100 + percent))
+
+
 def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, checked exactly."""
+    """Pairs (a, b) with the exact sizes of their sets and of what they share.
+
+    ``prefix`` holds the first elements in which b differs from a, those that a
+    lacks before those that b lacks, each by value: as many as ``late_pairs`` needs.
+    """
     left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    common = F.size(F.array_intersect("left", "right"))
+    sized = pairs.join(left, "a").join(right, "b").select(
+        "a",
+        "b",
+        F.size("left").alias("a_size"),
+        F.size("right").alias("b_size"),
+        F.sort_array(F.array_except("right", "left")).alias("added"),
+        F.sort_array(F.array_except("left", "right")).alias("removed"),
+    )
+    apart = F.size("added") + F.size("removed")
+    both = F.col("a_size") + F.col("b_size")
+    common = (both - apart) / 2
+    linked = 100 * common >= percent * (both - common)
+    near = apart - F.ceil((apart + (F.col("a_size") - F.col("b_size")) * (100 - percent) / (100 + percent)) / 2) + 2
+    far = _differences(F.col("b_size") * (100 + percent) / percent, percent) + 2
+    length = F.when(linked, near).otherwise(F.greatest(near, far))
+    return sized.select(
+        "a",
+        "b",
+        "a_size",
+        "b_size",
+        apart.alias("apart"),
+        linked.alias("linked"),
+        F.slice(F.concat("added", "removed"), 1, F.greatest(length, F.lit(0)).cast("int")).alias("prefix"),
+    )
+
+
+def late_pairs(checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets with a common leader but of different components that may be
+    similar.
+
+    Relative to the leader a set is the elements in which it differs. Two sets
+    differ in what is in one of these differences only, so similar ones must
+    share a good part of them: (|Dx| + |Dy| - k) / 2, where one of the two is not
+    similar to the leader and has a large difference. That many common elements
+    put at least one into the prefixes of both, and only such pairs are made.
+    Copies edited independently share few differences, so a large group of them
+    makes few pairs.
+    """
+    here = labels.select(F.col("node").alias("b"), F.col("label").alias("b_label"))
+    there = labels.select(F.col("node").alias("a"), F.col("label").alias("a_label"))
+    placed = checked.join(here, "b", "left").join(there, "a", "left").select(
+        "a", "b", "b_size", "apart", "prefix",
+        F.coalesce("b_label", "b").alias("label"),
+        (F.coalesce("b_label", "b") != F.coalesce("a_label", "a")).alias("far"),
+    )
+    open_ = placed.groupBy("a").agg(F.max("far").alias("any"), F.count("*").alias("n")).filter("any and n > 1")
+    members = store(placed.join(open_.select("a"), "a", "left_semi"))
+    spread = members.select("a", "b", "b_size", "apart", "label", "far", F.posexplode("prefix").alias("at", "element"))
+    one = spread.drop("far")
+    other = spread.filter("far").select(
+        "a", "element", *(F.col(c).alias(f"y_{c}") for c in ("b", "b_size", "apart", "label", "at"))
+    )
+    allowed = _differences(F.col("b_size") + F.col("y_b_size"), percent)
+    shared = F.ceil((F.col("apart") + F.col("y_apart") - allowed) / 2)
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", common.alias("common"), (F.size("left") + F.size("right")).alias("both"))
-        .filter(100 * F.col("common") >= percent * (F.col("both") - F.col("common")))
-        .select("a", "b")
+        one.join(other, ["a", "element"])
+        .filter(
+            (F.col("label") != F.col("y_label"))
+            & (F.col("at") <= F.col("apart") - shared)
+            & (F.col("y_at") <= F.col("y_apart") - shared)
+        )
+        .select(F.least("b", "y_b").alias("a"), F.greatest("b", "y_b").alias("b"))
+        .distinct()
     )
 
 
@@ -196,18 +262,18 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90)
     classes = store(
         sets.filter("n_shingles > 0")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
+        .agg(F.min("doc_id").alias("doc_id"))
     )
-    keys = sets.select("node", F.col("n_shingles").alias("size"), F.explode("signatures").alias("key"))
+    keys = sets.select("node", F.explode("signatures").alias("key"))
     shared = (
         keys.groupBy("key")
         .agg(F.min("node").alias("leader"), F.max("node").alias("last"))
         .filter("leader != last")
         .select("key", "leader")
     )
-    crowded = store(keys.join(shared, "key").distinct())
     pairs = store(
-        crowded.filter("node != leader")
+        keys.join(shared, "key")
+        .filter("node != leader")
         .select(F.col("leader").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
@@ -222,34 +288,11 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90)
         shingles = store(shingles.groupBy("node").agg(F.first("shingles").alias("shingles")))
     else:
         shingles = store(node_shingles(documents, wanted, words))
-    links = store(confirmed(pairs, shingles, percent))
+    checked = store(confirmed(pairs, shingles, percent))
+    links = checked.filter("linked").select("a", "b")
     labels = connected_components(links)
-
-    # Sets of one signature that are not in one component yet.
-    placed = crowded.join(labels, "node", "left").select(
-        "key", "node", "size", F.coalesce("label", "node").alias("label")
-    )
-    parts = placed.groupBy("key", "label").count()
-    main = (
-        parts.groupBy("key")
-        .agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("labels"), F.sum("count").alias("nodes"))
-        .filter("labels > 1 and nodes > 2")
-        .select("key", F.col("most.label").alias("main"))
-    )
-    open_ = store(placed.join(main, "key"))
-    one = open_.filter("label != main").alias("x")
-    other = open_.select("key", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("label").alias("b_label"))
-    more = (
-        one.join(other, "key")
-        .filter(
-            (F.col("label") != F.col("b_label"))
-            & (100 * F.least("size", "b_size") >= percent * F.greatest("size", "b_size"))
-        )
-        .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    late = store(confirmed(store(more), shingles, percent))
+    late = confirmed(store(late_pairs(checked, labels, percent)), shingles, percent)
+    late = store(late.filter("linked").select("a", "b"))
     labels = connected_components(links.union(late))
 
     named = classes.join(labels, "node", "left").select(
