@@ -1,3 +1,36 @@
 """The registered queries in SQL, where SQL can express them."""
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+DECONTAMINATION = f"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS ws FROM documents
+), item AS (
+  SELECT item_id, ws, least(len(ws), 10) AS size
+  FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0
+), win AS (
+  SELECT DISTINCT item_id, size, array_to_string(ws[i + 1 : i + size], ' ') AS win
+  FROM (SELECT *, unnest(range(len(ws) - size + 1)) AS i FROM item)
+), place AS (
+  SELECT rid, size, i, array_to_string(ws[i + 1 : i + size], ' ') AS win
+  FROM (SELECT rid, ws, size, unnest(range(len(ws) - size + 1)) AS i
+        FROM doc, (SELECT DISTINCT size FROM win) WHERE len(ws) >= size)
+), hit AS (
+  SELECT rid, item_id, i, place.size AS size FROM place JOIN win USING (size, win)
+), word AS (
+  SELECT rid, count(DISTINCT p) AS n_hit
+  FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM hit) GROUP BY rid
+), items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS listed
+  FROM (SELECT DISTINCT rid, item_id FROM hit) GROUP BY rid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word USING (rid) LEFT JOIN items USING (rid)
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_decontamination": DECONTAMINATION,
+}

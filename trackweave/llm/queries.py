@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import decontamination_report
 from .jaccard_join import jaccard_components
 
 
@@ -17,6 +18,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return decontamination_report(documents, benchmark)
+
+
 REGISTRY = {
     "op4_jaccard_join": op4_jaccard_join,
+    "op6_decontamination": op6_decontamination,
 }
