@@ -20,7 +20,8 @@ the whole class.
 
 Links and components. No group of equal signatures is expanded into pairs:
 
-1. every set is checked against the smallest set (leader) of each signature;
+1. every set is checked against one set (the leader) of each of its signatures,
+   the one that meets most others;
 2. confirmed links give components;
 3. where a leader's sets are of several components, those that may still be
    similar are found by what they differ in from the leader (``late_pairs``),
@@ -267,12 +268,20 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90)
     keys = sets.select("node", F.explode("signatures").alias("key"))
     shared = (
         keys.groupBy("key")
-        .agg(F.min("node").alias("leader"), F.max("node").alias("last"))
-        .filter("leader != last")
-        .select("key", "leader")
+        .agg(F.min("node").alias("first"), F.max("node").alias("last"))
+        .filter("first != last")
+        .select("key")
+    )
+    crowded = store(keys.join(shared, "key").distinct())
+    # The leader of a signature is the set that meets most others: in a group of
+    # copies of one text that is the text itself, which all are similar to.
+    met = crowded.groupBy("key").count()
+    scores = crowded.join(met, "key").groupBy("node").agg(F.sum("count").alias("score"))
+    leaders = crowded.join(scores, "node").groupBy("key").agg(
+        F.max(F.struct("score", "node")).alias("top")
     )
     pairs = store(
-        keys.join(shared, "key")
+        crowded.join(leaders.select("key", F.col("top.node").alias("leader")), "key")
         .filter("node != leader")
         .select(F.col("leader").alias("a"), F.col("node").alias("b"))
         .distinct()
