@@ -31,6 +31,51 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM doc LEFT JOIN word USING (rid) LEFT JOIN items USING (rid)
 """
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+QUALITY = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), win AS (
+  SELECT rid, i, array_to_string(ws[i + 1 : i + 8], ' ') AS win
+  FROM (SELECT rid, ws, unnest(range(len(ws) - 7)) AS i FROM doc WHERE len(ws) >= 8)
+), twice AS (SELECT rid, win FROM win GROUP BY ALL HAVING count(*) > 1),
+rep AS (
+  SELECT rid, count(DISTINCT p) AS n
+  FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM win JOIN twice USING (rid, win)) GROUP BY rid
+), m AS (
+  SELECT rid, doc_id, source, len(ws)::BIGINT AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
+         length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper
+  FROM doc LEFT JOIN rep USING (rid)
+), f AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         ((n_words < 20)::BIGINT + (100 * n_repeat_words > 30 * n_words)::BIGINT
+          + (100 * n_symbols > 10 * word_chars)::BIGINT + (100 * n_dup_lines > 30 * n_lines)::BIGINT
+          + (100 * n_upper > 40 * word_chars)::BIGINT
+          + (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT)::BIGINT AS n_failed
+  FROM m
+), host AS (
+  SELECT source, count(*) AS n, count(*) FILTER (n_failed > 0) AS failed
+  FROM f WHERE source IS NOT NULL GROUP BY source
+), moment AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM host),
+prior AS (
+  SELECT m, CASE WHEN v > 0 AND v < m * (1 - m) THEN least(m * (1 - m) / v - 1, 1e6)
+                 WHEN v > 0 THEN 1e-3 ELSE 1e6 END AS w FROM moment
+), rate AS (
+  SELECT source, (failed + m * w) / (n + m * w + (1 - m) * w) AS rate FROM host, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       n_failed = 0 AND coalesce(rate <= 0.5, true) AS kept, n_failed, round(rate, 4) AS host_rate
+FROM f LEFT JOIN rate USING (source)
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": QUALITY,
     "op6_decontamination": DECONTAMINATION,
 }

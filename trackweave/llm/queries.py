@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontamination_report
 from .jaccard_join import jaccard_components
+from .pii import personal_data
+from .quality_rules import quality_verdicts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_verdicts(_table(spark, sf_dir, "documents"), ["doc_id"])
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", *(f"quality.{c}" for c in (*shown, "n_failed", "host_rate")))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -23,7 +31,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(documents, benchmark)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
+    "op1_quality_rules": op1_quality_rules,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_decontamination": op6_decontamination,
+    "op9_pii": op9_pii,
 }
