@@ -75,7 +75,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN rate USING (source)
 """
 
+_CONTROL = r"</?s>|\[/?INST\]|<</?SYS>>|\[ROLE |\[/ROLE\]"
+CHAT = rf"""
+WITH turn AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, len(regexp_extract_all(text, '{_CONTROL}')) AS controls,
+         length(text) - length(replace(text, chr(92), '')) AS slashes,
+         CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15
+                   ELSE 14 + length(role) END + 3 AS frame
+  FROM turn
+), shown AS (
+  SELECT *, frame + length(text) + CASE WHEN controls > 0 THEN 1 + controls + slashes ELSE 0 END AS chars
+  FROM sized
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM shown GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": QUALITY,
+    "op3_chat_format": CHAT,
     "op6_decontamination": DECONTAMINATION,
 }

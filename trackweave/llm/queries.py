@@ -6,10 +6,16 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import conversation_digests, format_conversations
 from .decontaminate import decontamination_report
 from .jaccard_join import jaccard_components
 from .pii import personal_data
 from .quality_rules import quality_verdicts
+from .sentence_pieces import encoded_documents
+
+# The folder of public vocabulary files; ``TOKENIZERS`` names another one.
+TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
+PIECE_MODEL = os.path.join(TOKENIZERS, "piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +28,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(f"quality.{c}" for c in (*shown, "n_failed", "host_rate")))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)],
+        "conv_id long, turn long, role string, text string",
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_digests(format_conversations(rows.unionByName(probe)))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_documents(_table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
     return decontamination_report(documents, benchmark)
@@ -37,7 +57,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_chat_format": op3_chat_format,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_sentence_pieces": op5_sentence_pieces,
     "op6_decontamination": op6_decontamination,
     "op9_pii": op9_pii,
 }
