@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import conversation_digests, format_conversations
 from .decontaminate import decontamination_report
+from .html_extract import main_text
 from .jaccard_join import jaccard_components
 from .pii import personal_data
+from .quality_classifier import quality_scores
 from .quality_rules import quality_verdicts
 from .sentence_pieces import encoded_documents
+from .toxicity import toxicity_scores
 
 # The folder of public vocabulary files; ``TOKENIZERS`` names another one.
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
@@ -28,6 +31,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(f"quality.{c}" for c in (*shown, "n_failed", "host_rate")))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame(
@@ -51,15 +58,26 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(documents, benchmark)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 REGISTRY = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_html_extract": op2_html_extract,
     "op3_chat_format": op3_chat_format,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_sentence_pieces": op5_sentence_pieces,
     "op6_decontamination": op6_decontamination,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_pii": op9_pii,
+    "op10_toxicity": op10_toxicity,
 }
