@@ -3,17 +3,19 @@
 The kernel of two strings counts their common subsequences of ``ORDER``
 characters; a subsequence weighs ``DECAY`` to the power of the stretch it takes
 in each string. A word with characters inserted, or with gaps, still shares most
-subsequences with the word meant.
+subsequences with the word meant. The square of the kernel, again a kernel, keeps
+weak likeness apart from strong.
 
 Landmarks are strings that begin words of toxic training documents far more
-often than those of clean ones. A word is mapped to its kernels with the
-landmarks, relative to each landmark's own, and a sentence to the largest over
+often than those of clean ones. A word, without signs between its letters, and
+its beginnings of the landmarks' lengths are mapped to their kernels with the
+landmarks, relative to the roots of both words' own, and a sentence to the largest over
 its words. The Nyström map (the inverse root of the landmarks' kernel matrix)
 turns that into features of a linear machine, trained with hinge loss on
 sentences: of a clean document every sentence with any evidence, of a toxic one
 the sentence that the current machine finds worst, and the landmarks written
 with gaps and inserted characters. A document's score is that of its worst
-sentence through a logistic curve fitted to documents.
+sentence through a logistic curve fitted to documents and such forms.
 
 A word is worth its kernels only if it has all letters of a landmark but one, a
 mask test on bytes; so few words need them, each once per task. Single letters
@@ -44,10 +46,15 @@ ORDER, DECAY = 3, 0.8
 LANDMARKS = 64
 SHORTEST, LONGEST = 4, 12
 LONG = 40
+# Log odds of a landmark in toxic against clean documents, and that times the number
+# of its contexts, at least; the latter also as a part of the best landmark's.
+LEAST_ODDS, LEAST_WORTH, LEAST_PART = 2.5, 20, 0.08
+# A sentence of a toxic document with a word this near to a landmark is toxic.
+SURE = 0.9
 # Words below this kernel with every landmark are no evidence.
-LEAST_KERNEL = 0.3
+LEAST_KERNEL = 0.25
 KNOWN_WORDS = 200_000
-ROUNDS, EPOCHS, PENALTY = 3, 60, 1e-3
+ROUNDS, STEPS, PENALTY = 3, 600, 1e-3
 THRESHOLD = 0.5
 
 _LETTER = np.zeros(256, np.int64)
@@ -58,19 +65,20 @@ _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True  # line feed ! . ?
 
 
-def _padded(strings: list[bytes], fill: int) -> tuple[np.ndarray, np.ndarray]:
+def _padded(strings: list[bytes], fill: int) -> np.ndarray:
     out = np.full((len(strings), max(map(len, strings), default=1) or 1), fill, np.int16)
     for row, s in zip(out, strings):
         row[: len(s)] = np.frombuffer(s, np.uint8)
-    return out, np.array([len(s) for s in strings])
+    return out
 
 
-def kernels(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """The subsequence kernel of every pair, by dynamic programming over both strings."""
-    a, _ = _padded(left, -1)
-    b, _ = _padded(right, -2)
-    n, m, la, lb = len(left), len(right), a.shape[1], b.shape[1]
-    same = [[(a[:, i, None] == b[None, :, j]) for j in range(lb)] for i in range(la)]
+def kernels(left: list[bytes], right: list[bytes] | None = None) -> np.ndarray:
+    """The subsequence kernel of every pair, by dynamic programming over both strings;
+    without ``right``, of every string with itself."""
+    a = _padded(left, -1)
+    b = _padded(left, -2)[:, None, :] if right is None else _padded(right, -2)[None, :, :]
+    n, m, la, lb = len(left), b.shape[1], a.shape[1], b.shape[2]
+    same = [[a[:, i, None] == b[:, :, j] for j in range(lb)] for i in range(la)]
     prefix = np.ones((la + 1, lb + 1, n, m), np.float32)
     for order in range(1, ORDER):
         following = np.zeros_like(prefix)
@@ -94,26 +102,42 @@ def _masks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return np.bitwise_or.reduceat(letters, bounds)[::2]
 
 
+def similarities(strings: list[bytes], landmarks: list[bytes], roots: np.ndarray) -> np.ndarray:
+    """Squares of the kernels over the roots of both strings' own: 1 for equal strings."""
+    own = np.sqrt(np.maximum(kernels(strings)[:, :1], 1e-12))
+    return (kernels(strings, landmarks) / own / roots) ** 2
+
+
 class Evidence:
-    """Words near a landmark, found in pieces of text; kernels are kept per word."""
+    """Words near a landmark, found in pieces of text; similarities are kept per word."""
 
     def __init__(self, landmarks: list[bytes]):
         self.landmarks = landmarks
-        self.own = np.diag(kernels(landmarks, landmarks))
+        self.roots = np.sqrt(kernels(landmarks)[:, 0])
+        self.lengths = sorted({len(m) for m in landmarks} | {len(m) + 1 for m in landmarks})
         self.masks = np.array([np.bitwise_or.reduce(_LETTER[np.frombuffer(m, np.uint8)]) for m in landmarks])
         self.bits = np.bitwise_count(self.masks)
         self.known: dict[bytes, np.ndarray | None] = {}
 
+    def views(self, word: bytes) -> list[bytes]:
+        """The word without signs, and its beginnings of the landmarks' lengths; a long
+        word, every window of ``LONG``."""
+        plain = bytes(c for c in word if _LETTER[c])
+        parts = [plain[i : i + LONG] for i in range(0, max(len(plain) - LONG // 2, 1), LONG // 2)]
+        return sorted({v for p in parts for v in (p, *(p[:k] for k in self.lengths)) if len(v) >= ORDER})
+
     def of(self, words: set[bytes]) -> None:
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         new = sorted(words - self.known.keys(), key=lambda w: (len(w), w))
         for begin in range(0, len(new), 256):
             part = new[begin : begin + 256]
-            windows = [w[i : i + LONG] for w in part for i in range(0, max(len(w) - LONG // 2, 1), LONG // 2)]
-            owner = [k for k, w in enumerate(part) for _ in range(0, max(len(w) - LONG // 2, 1), LONG // 2)]
+            views = [self.views(w) for w in part]
+            owner = np.repeat(np.arange(len(part)), [len(v) for v in views])
             values = np.zeros((len(part), len(self.landmarks)), np.float32)
-            np.maximum.at(values, owner, np.minimum(kernels(windows, self.landmarks) / self.own, 1))
+            if len(owner):
+                flat = [v for each in views for v in each]
+                np.maximum.at(values, owner, similarities(flat, self.landmarks, self.roots))
             for word, value in zip(part, values):
                 self.known[word] = value if value.max() >= LEAST_KERNEL else None
 
@@ -153,23 +177,38 @@ class Evidence:
                 yield starts[low], ends[high - 1], texts[low]
 
 
+def _words(text: bytes) -> list[bytes]:
+    return [w.strip(b".,;:!?#$%&*|()\"'") for w in text.split()]
+
+
+def _beginnings(word: bytes) -> Iterator[bytes]:
+    return (word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1))
+
+
 def find_landmarks(texts: list[bytes], labels: np.ndarray) -> list[bytes]:
-    """Beginnings of words that mark toxic documents, at most ``LANDMARKS``."""
+    """Beginnings of words that mark toxic documents, at most ``LANDMARKS``.
+
+    Evidence is counted by different neighbouring words, so that copies of one
+    document do not make marks of its words.
+    """
     toxic, clean = Counter(), Counter()
     for text, label in zip(texts, labels):
-        found = {w[:k] for w in {w.strip(b".,;:!?#$%&*|()\"'") for w in text.split()} for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
+        found = {w for word in set(_words(text)) for w in _beginnings(word)}
         (toxic if label else clean).update(found)
     n_toxic, n_clean = max(labels.sum(), 1), max(len(labels) - labels.sum(), 1)
-    least = max(3, 0.002 * n_toxic)
-    marked = {w: n for w, n in toxic.items() if n >= least and n / n_toxic > 20 * (clean[w] + 0.5) / n_clean}
-    longer: dict[bytes, int] = {}
-    for w, n in marked.items():
-        longer[w[:-1]] = max(longer.get(w[:-1], 0), n)
-    best = [w for w, n in marked.items() if longer.get(w, 0) < 0.9 * n]
-    best.sort(key=lambda w: (-marked[w], w))
+    odds = {w: math.log((n / n_toxic) / ((clean[w] + 1) / n_clean)) for w, n in toxic.items()}
+    contexts = {w: set() for w, n in toxic.items() if odds[w] >= LEAST_ODDS and n * odds[w] >= LEAST_WORTH}
+    for text, label in zip(texts, labels):
+        words = [b"", *_words(text), b""] if label else []
+        for before, word, after in zip(words, words[1:], words[2:]):
+            for w in _beginnings(word):
+                if w in contexts:
+                    contexts[w].add((before, after))
+    worth = {w: min(len(c), toxic[w]) * odds[w] for w, c in contexts.items()}
     chosen: list[bytes] = []
-    for w in best:
-        if len(chosen) < LANDMARKS and not any(w.startswith(c) or c.startswith(w) for c in chosen):
+    least = max(LEAST_WORTH, LEAST_PART * max(worth.values(), default=0))
+    for w in sorted(worth, key=lambda w: (-worth[w], -len(w), w)):
+        if worth[w] >= least and len(chosen) < LANDMARKS and not any(w.startswith(c) or c.startswith(w) for c in chosen):
             chosen.append(w)
     return chosen
 
@@ -195,44 +234,42 @@ class Machine:
         if not self.fitted:
             return
         random = np.random.default_rng(seed)
-        raw = kernels(self.landmarks, self.landmarks)
-        own = np.sqrt(np.diag(raw))
-        values, vectors = np.linalg.eigh(raw / own[:, None] / own[None, :])
-        self.root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+        roots = np.sqrt(kernels(self.landmarks)[:, 0])
+        values, vectors = np.linalg.eigh(similarities(self.landmarks, self.landmarks, roots))
+        self.root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.2))) @ vectors.T
         evidence = Evidence(self.landmarks)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         data = np.frombuffer(b"".join(texts), np.uint8)
         owners, found = evidence.sentences(data, offsets)
         forms = disguised(self.landmarks, random)
-        shaped = np.minimum(kernels(forms, self.landmarks) / evidence.own, 1)
+        evidence.of(set(forms))
+        shaped = np.array([v for f in forms if (v := evidence.known[f]) is not None])
         bad = labels[owners] > 0
-        self.weights, self.bias = self.root @ np.ones(len(self.landmarks)), -0.5
         nothing = np.zeros((max(len(forms), 8), len(self.landmarks)), np.float32)
-        for _ in range(ROUNDS):
-            decided = self._decide(found)
+        for turn in range(ROUNDS):
+            # At first the worst sentence is the one nearest to any landmark.
+            decided = self._decide(found) if turn else found.max(axis=1, initial=0)
             worst = np.full(len(texts), -np.inf)
             np.maximum.at(worst, owners, decided)
-            positive = bad & (decided == worst[owners])
+            positive = bad & ((decided == worst[owners]) | (found.max(axis=1, initial=0) >= SURE))
             x = np.concatenate([found[positive], found[~bad], shaped, nothing])
             y = np.concatenate([np.ones(positive.sum()), -np.ones((~bad).sum()), np.ones(len(shaped)), -np.ones(len(nothing))])
-            self._train(x @ self.root, y, random)
-        self._calibrate(self.documents(owners, found, len(texts)), labels)
-
-    def _train(self, x: np.ndarray, y: np.ndarray, random: np.random.Generator) -> None:
-        w, b, mean_w, mean_b, step = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0, 0
-        cost = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y < 0).mean())
-        for epoch in range(EPOCHS):
-            for rows in np.array_split(random.permutation(len(x)), max(len(x) // 64, 1)):
-                step += 1
-                rate = 1 / (PENALTY * (step + 1 / PENALTY))
-                inside = y[rows] * (x[rows] @ w + b) < 1
-                pull = (cost[rows] * y[rows] * inside)[:, None] * x[rows]
-                w = w - rate * (PENALTY * w - pull.mean(0))
-                b = b + rate * (cost[rows] * y[rows] * inside).mean()
-                if epoch >= EPOCHS // 2:
-                    mean_w, mean_b = mean_w + w, mean_b + b
-        late = max(step - step * (EPOCHS // 2) // EPOCHS, 1)
-        self.weights, self.bias = mean_w / late, mean_b / late
+            self._train(x @ self.root, y)
+        decided = np.concatenate([self.documents(owners, found, len(texts)), self._decide(shaped)])
+        self._calibrate(decided, np.concatenate([labels, np.ones(len(shaped))]))
+
+    def _train(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Balanced hinge loss by averaged subgradient steps over all sentences."""
+        w, b, mean_w, mean_b = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
+        cost = y * np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
+        for step in range(STEPS):
+            pull = cost * (y * (x @ w + b) < 1)
+            rate = 4 / np.sqrt(1 + step)
+            w = w - rate * (PENALTY * w - pull @ x)
+            b = b + rate * pull.sum()
+            if step >= STEPS // 2:
+                mean_w, mean_b = mean_w + w, mean_b + b
+        self.weights, self.bias = mean_w / (STEPS - STEPS // 2), mean_b / (STEPS - STEPS // 2)
 
     def _decide(self, found: np.ndarray) -> np.ndarray:
         return found @ (self.root @ self.weights) + self.bias
@@ -245,7 +282,7 @@ class Machine:
         return out
 
     def _calibrate(self, decided: np.ndarray, labels: np.ndarray) -> None:
-        """Logistic curve by Newton steps; positive slope, and its middle near the machine's own boundary."""
+        """Logistic curve by Newton steps over documents and disguised landmarks."""
         slope, shift = 2.0, 0.0
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(slope * decided + shift, -30, 30)))
