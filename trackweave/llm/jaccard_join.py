@@ -313,3 +313,18 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90)
     empty = sets.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "n_shingles", "component_id"]
     return found.select(columns).unionByName(empty.select(columns))
+
+
+def keep_one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, that of its smallest id, with the columns as they
+    came. Rows without words or without a component id stay; of rows that share the
+    smallest id, one with the smallest text stays."""
+    found = jaccard_components(documents, words, percent)
+    # Only ids that leave are joined; rows of one id leave together.
+    gone = found.filter("n_shingles > 0 and component_id is not null and doc_id != component_id")
+    left = documents.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*documents.columns)
+    again = left.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text").alias("t")).filter("n > 1 and doc_id is not null")
+    repeated = again.select(F.col("doc_id").alias("_id"), F.col("t").alias("_text"))
+    single = left.join(again.select("doc_id"), "doc_id", "left_anti").select(*documents.columns)
+    one = left.join(repeated, (F.col("doc_id") == F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")))
+    return single.unionByName(one.select(*documents.columns).dropDuplicates(["doc_id"]))

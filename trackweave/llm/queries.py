@@ -10,6 +10,7 @@ from .chat_format import conversation_digests, format_conversations
 from .decontaminate import decontamination_report
 from .html_extract import main_text
 from .jaccard_join import jaccard_components
+from .lm_scores import lm_scores
 from .pii import personal_data
 from .quality_classifier import quality_scores
 from .quality_rules import quality_verdicts
@@ -58,6 +59,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(documents, benchmark)
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"), os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -77,6 +82,7 @@ REGISTRY = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_sentence_pieces": op5_sentence_pieces,
     "op6_decontamination": op6_decontamination,
+    "op7_lm_scores": op7_lm_scores,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,

@@ -17,8 +17,9 @@ the sentence that the current machine finds worst, and the landmarks written
 with gaps and inserted characters. A document's score is that of its worst
 sentence through a logistic curve fitted to documents and such forms.
 
-A word is worth its kernels only if it has all letters of a landmark but one, a
-mask test on bytes; so few words need them, each once per task. Single letters
+A word is worth its kernels only if it has all letters of a landmark but one and
+most of its pairs of letters, tests of bit masks; so few words need them, each
+once per task. Single letters
 with spaces between them are read as one word. Words of more than ``LONG`` bytes
 are read through overlapping windows.
 
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from . import hashing
 from .labelled import held_out, training_texts
 
-SAMPLE = 8_000
+SAMPLE = 4_000
 ORDER, DECAY = 3, 0.8
 LANDMARKS = 64
 SHORTEST, LONGEST = 4, 12
@@ -95,11 +96,43 @@ def kernels(left: list[bytes], right: list[bytes] | None = None) -> np.ndarray:
     return total
 
 
-def _masks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The set of letters of every word as bits."""
-    letters = np.append(_LETTER[hashing.LOWER[data]], 0)
+_IS_LETTER = _LETTER > 0
+
+
+def _pair_bits(lowered: np.ndarray) -> np.ndarray:
+    """A bit for every two following bytes."""
+    both = lowered[:-1].astype(np.uint64) * np.uint64(131) + lowered[1:]
+    return np.left_shift(np.uint64(1), (both * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
+
+
+def _over_words(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, how: np.ufunc) -> np.ndarray:
     bounds = np.column_stack([starts, ends]).ravel()
-    return np.bitwise_or.reduceat(letters, bounds)[::2]
+    return how.reduceat(np.append(values, values.dtype.type(0)), bounds)[::2]
+
+
+def _near(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Numbers of the words that have all letters of a landmark but one and, if no sign
+    stands between their letters, all pairs of letters but three (two at least)."""
+    lowered = hashing.LOWER[data]
+    here = _over_words(_LETTER[lowered], starts, ends, np.bitwise_or)
+    least = np.maximum(np.bitwise_count(letters) - 1, 2)
+    hit = np.zeros(len(starts), bool)
+    for mask, n in zip(letters, least):
+        hit |= np.bitwise_count(here & mask) >= n
+    near = np.flatnonzero(hit)
+    starts, ends, here = starts[near], ends[near], here[near]
+    sign = ~_IS_LETTER[lowered]
+    opening = np.append(False, sign[:-1]) & ~sign
+    opening[starts] = ~sign[starts]
+    broken = _over_words(opening.astype(np.int64), starts, ends, np.add) > 1
+    bits = np.append(_pair_bits(lowered), np.uint64(0))
+    bits[ends - 1] = 0
+    of_pairs = _over_words(bits, starts, ends, np.bitwise_or)
+    hit = np.zeros(len(near), bool)
+    for mask, n, pair in zip(letters, least, pairs):
+        enough = np.bitwise_count(of_pairs & pair) >= max(int(np.bitwise_count(pair)) - 3, 2)
+        hit |= (np.bitwise_count(here & mask) >= n) & (enough | broken)
+    return near[hit]
 
 
 def similarities(strings: list[bytes], landmarks: list[bytes], roots: np.ndarray) -> np.ndarray:
@@ -116,7 +149,9 @@ class Evidence:
         self.roots = np.sqrt(kernels(landmarks)[:, 0])
         self.lengths = sorted({len(m) for m in landmarks} | {len(m) + 1 for m in landmarks})
         self.masks = np.array([np.bitwise_or.reduce(_LETTER[np.frombuffer(m, np.uint8)]) for m in landmarks])
-        self.bits = np.bitwise_count(self.masks)
+        self.pairs = np.array(
+            [np.bitwise_or.reduce(_pair_bits(np.frombuffer(m, np.uint8))) for m in landmarks], np.uint64
+        )
         self.known: dict[bytes, np.ndarray | None] = {}
 
     def views(self, word: bytes) -> list[bytes]:
@@ -148,12 +183,9 @@ class Evidence:
         if not len(starts):
             return none
         spread = [*self._letters(data, starts, ends, texts)]
-        masks = _masks(data, starts, ends)
-        near = np.zeros(len(starts), bool)
-        for mask, bits in zip(self.masks, self.bits):
-            near |= np.bitwise_count(masks & mask) >= max(bits - 1, 2)
         lowered = hashing.LOWER[data]
-        spans = [(starts[k], texts[k], lowered[starts[k] : ends[k]].tobytes()) for k in np.flatnonzero(near)]
+        near = _near(data, starts, ends, self.masks, self.pairs)
+        spans = [(starts[k], texts[k], lowered[starts[k] : ends[k]].tobytes()) for k in near]
         spans += [(s, t, lowered[s:e].tobytes().replace(b" ", b"")) for s, e, t in spread]
         self.of({word for _, _, word in spans})
         spans = [(s, t, v) for s, t, w in spans if (v := self.known[w]) is not None]
@@ -238,9 +270,13 @@ class Machine:
         values, vectors = np.linalg.eigh(similarities(self.landmarks, self.landmarks, roots))
         self.root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.2))) @ vectors.T
         evidence = Evidence(self.landmarks)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        owners, found = evidence.sentences(data, offsets)
+        parts = []
+        for begin in range(0, len(texts), 200):
+            part = texts[begin : begin + 200]
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in part])])
+            owners, found = evidence.sentences(np.frombuffer(b"".join(part), np.uint8), offsets)
+            parts.append((owners + begin, found))
+        owners, found = (np.concatenate(p) for p in zip(*parts))
         forms = disguised(self.landmarks, random)
         evidence.of(set(forms))
         shaped = np.array([v for f in forms if (v := evidence.known[f]) is not None])
