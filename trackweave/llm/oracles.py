@@ -68,10 +68,10 @@ prior AS (
   SELECT m, CASE WHEN v > 0 AND v < m * (1 - m) THEN least(m * (1 - m) / v - 1, 1e6)
                  WHEN v > 0 THEN 1e-3 ELSE 1e6 END AS w FROM moment
 ), rate AS (
-  SELECT source, (failed + m * w) / (n + m * w + (1 - m) * w) AS rate FROM host, prior
+  SELECT source, (failed + m * w) / (n + m * w + (1 - m) * w) AS rate, n + w AS seen FROM host, prior
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       n_failed = 0 AND coalesce(rate <= 0.5, true) AS kept, n_failed, round(rate, 4) AS host_rate
+       n_failed = 0 AND coalesce(rate - 2 * sqrt(rate * (1 - rate) / (seen + 1)) <= 0.5, true) AS kept, n_failed, round(rate, 4) AS host_rate
 FROM f LEFT JOIN rate USING (source)
 """
 

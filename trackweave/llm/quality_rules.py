@@ -6,8 +6,10 @@ with a beta prior fitted to the rates of all hosts by the method of moments, and
 the verdict on the host is joined back to its documents: small hosts are judged
 close to the average, large ones by their own record.
 
-A document is kept if it fails no rule and its host is trusted, that is, if the
-host's shrunk rate is at most ``HOST_LIMIT``. The rules ``short`` and
+A document is kept if it fails no rule and its host is trusted: a host is not if
+its shrunk rate is above ``HOST_LIMIT`` by ``DEVIATIONS`` standard deviations of
+the beta distribution, so that a few bad documents do not cost a small host its
+clean ones. The rules ``short`` and
 ``repeats`` are the base: failing one of them always rejects.
 
 The measured rows are stored once; host sums and verdicts read that table. Host
@@ -39,6 +41,7 @@ WORD_CHARACTERS = (2, 15)
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HOST_LIMIT = 0.5
+DEVIATIONS = 2
 RULES = ("short", "repeats", "symbols", "duplicate_lines", "upper", "word_length")
 
 
@@ -117,10 +120,12 @@ def quality_verdicts(documents: DataFrame, keep: list[str], name: str = "quality
         .agg(F.count("*").alias("n"), F.sum((n_failed > 0).cast("long")).alias("failed"))
     )
     alpha, beta = beta_prior(hosts)
-    rates = hosts.select("_h", ((F.col("failed") + alpha) / (F.col("n") + alpha + beta)).alias("_rate"))
+    seen = F.col("n") + alpha + beta
+    rates = hosts.select("_h", ((F.col("failed") + alpha) / seen).alias("_rate"), seen.alias("_seen"))
     joined = table.join(rates, F.col(host) == F.col("_h"), "left")
     base = failed["short"] | failed["repeats"]
-    trusted = F.coalesce(F.col("_rate") <= HOST_LIMIT, F.lit(True))
+    doubt = F.sqrt(F.col("_rate") * (1 - F.col("_rate")) / (F.col("_seen") + 1))
+    trusted = F.coalesce(F.col("_rate") - DEVIATIONS * doubt <= HOST_LIMIT, F.lit(True))
     verdict = F.struct(
         F.col(f"{name}.*"),
         base.alias("base_failed"),
