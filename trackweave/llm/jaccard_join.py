@@ -57,7 +57,7 @@ BAND_POWER = 3
 # Ids that are looked up by broadcast: at most this many (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
-SETS = "doc_id long, n_shingles long, node long, signatures array<long>"
+SETS = "doc_id long, n_shingles long, node long"
 
 
 def bands(largest: int, percent: int) -> np.ndarray:
@@ -133,24 +133,33 @@ def _sets(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, words: in
     return values, counts, nodes
 
 
-def shingle_sets(documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """Size, fingerprint and signatures of the set of every document."""
+def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
+    """Size and fingerprint of the set of every document."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in hashing.pieces(batches):
+            _, counts, nodes = _sets(rows, data, offsets, words)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id").cast(pa.int64()), pa.array(counts.astype(np.int64)), pa.array(nodes)],
+                names=["doc_id", "n_shingles", "node"],
+            )
+
+    return documents.select("doc_id", "text").mapInArrow(work, SETS)
+
+
+def signature_rows(documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, key: every signature of every document. They are many, so they are made
+    again where they are needed rather than stored."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in hashing.pieces(batches):
             values, counts, nodes = _sets(rows, data, offsets, words)
             keys, each = signatures(values, counts, percent)
             yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column("doc_id").cast(pa.int64()),
-                    pa.array(counts.astype(np.int64)),
-                    pa.array(nodes),
-                    hashing.ragged(keys.view(np.int64), each, pa.int64()),
-                ],
-                names=["doc_id", "n_shingles", "node", "signatures"],
+                [pa.array(np.repeat(nodes, each)), pa.array(keys.view(np.int64))], names=["node", "key"]
             )
 
-    return documents.select("doc_id", "text").mapInArrow(work, SETS)
+    return documents.select("text").mapInArrow(work, "node long, key long")
 
 
 def node_shingles(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -259,19 +268,14 @@ def late_pairs(checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame
 
 def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (see the module)."""
-    sets = store(shingle_sets(documents, words, percent))
+    sets = store(shingle_sets(documents, words))
     classes = store(
         sets.filter("n_shingles > 0")
         .groupBy("node")
         .agg(F.min("doc_id").alias("doc_id"))
     )
-    keys = sets.select("node", F.explode("signatures").alias("key"))
-    shared = (
-        keys.groupBy("key")
-        .agg(F.min("node").alias("first"), F.max("node").alias("last"))
-        .filter("first != last")
-        .select("key")
-    )
+    keys = signature_rows(documents, words, percent)
+    shared = keys.groupBy("key").count().filter("count > 1").select("key")
     crowded = store(keys.join(shared, "key").distinct())
     # The leader of a signature is the set that meets most others: in a group of
     # copies of one text that is the text itself, which all are similar to.
