@@ -12,8 +12,9 @@ signature is the hash of its elements in the subset. So two similar sets share
 at least one signature. A set writes signatures for its own band and for the
 next one if a similar larger set may lie there.
 
-Empty projections would be shared by everybody, so they are not written. A set
-that has any is *thin*: it repeats the scheme with another split of the domain,
+Empty projections would be shared by everybody, so they are not written, and there
+are partitions to spare for them: N partitions leave at least N - k on which two
+similar sets agree. A set with as many empty ones is *thin*: it repeats the scheme with another split of the domain,
 in a class of its own. A similar pair shares a projection that is not empty, or
 both are thin and meet in the next level. The last level is one signature for
 the whole class.
@@ -50,10 +51,11 @@ from ..lineage import store
 from . import hashing
 from .components import connected_components
 
+# A subset is one partition of its group (SECOND - SECOND_ERRORS); ``thin`` counts on it.
 SECOND, SECOND_ERRORS = 2, 1
 LEVELS = 16
 # A band's largest size over its smallest, as a power of 1/t.
-BAND_POWER = 3
+BAND_POWER = 2
 # Ids that are looked up by broadcast: at most this many (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
@@ -70,6 +72,16 @@ def bands(largest: int, percent: int) -> np.ndarray:
     return np.array(starts)
 
 
+def _groups(errors: np.ndarray, smallest: np.ndarray) -> np.ndarray:
+    """Groups for so many errors, with partitions to spare for those that stay empty
+    in the smallest set of the band."""
+    parts = errors + 1.0
+    for _ in range(8):
+        empty = parts * np.exp(-smallest / parts)
+        parts = np.minimum(errors + 1 + empty + 3 * np.sqrt(empty), 4.0 * errors + 2)
+    return np.ceil(parts / SECOND).astype(np.int64)
+
+
 def signatures(
     values: np.ndarray, counts: np.ndarray, percent: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +96,10 @@ def signatures(
     sets = np.concatenate([filled, filled[reach > own]])
     band = np.concatenate([own, reach[reach > own]])
     errors = 2 * (starts[band + 1] - 1) * (100 - percent) // (100 + percent)
+    groups = _groups(errors, np.maximum(starts[band] * percent // 100, 1))
     first = np.cumsum(counts) - counts
     found, owners = [], []
     for level in range(LEVELS):
-        groups = errors // (SECOND_ERRORS + 1) + 1
         parts = groups * SECOND
         base = np.cumsum(parts) - parts
         size = counts[sets]
@@ -101,7 +113,8 @@ def signatures(
         sums, members = sums.reshape(-1, SECOND), members.reshape(-1, SECOND)
         group_entry = np.repeat(np.arange(len(sets)), groups)
         group = np.arange(len(sums)) - np.repeat(np.cumsum(groups) - groups, groups)
-        thin = np.zeros(len(sets), bool)
+        empties = np.add.reduceat((members == 0).sum(axis=1), np.cumsum(groups) - groups)
+        thin = empties >= parts - errors
         for number, subset in enumerate(combinations(range(SECOND), SECOND - SECOND_ERRORS)):
             picked = list(subset)
             label = ((band[group_entry] * 64 + level) * 64 + number) * (1 << 32) + group
@@ -109,8 +122,7 @@ def signatures(
             empty = members[:, picked].sum(axis=1) == 0
             found.append(keys[~empty])
             owners.append(sets[group_entry[~empty]])
-            thin[group_entry[empty]] = True
-        sets, band, errors = sets[thin], band[thin], errors[thin]
+        sets, band, errors, groups = sets[thin], band[thin], errors[thin], groups[thin]
         if not len(sets):
             break
     else:
