@@ -1,7 +1,7 @@
 """Library inputs derived from the ``events`` table.
 
 Every user lives in a district: a block of 10 x 10 antennas. Fifty users share a
-district, so the network grows with the table, up to 4,000 antennas. An event is
+district, so the network grows with the users. An event is
 seen by antenna ``k`` (0..99) of the user's district. Antennas 96..99 are not in
 the cell table: their observations are off-network, and rings point at them.
 """
@@ -18,7 +18,6 @@ from trackweave.lineage import store
 from trackweave.operators import normalize_observations
 
 USERS_PER_DISTRICT = 50
-DISTRICTS = 40
 
 _antennas: dict[tuple[str, str], DataFrame] = {}
 _networks: dict[tuple[str, str], Network] = {}
@@ -33,7 +32,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         "user_id",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
-        F.floor(F.col("user_id") / USERS_PER_DISTRICT % DISTRICTS).cast("int").alias("district"),
+        F.floor(F.col("user_id") / USERS_PER_DISTRICT).cast("int").alias("district"),
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from trackweave.settings import OD_HORIZON_SECONDS, RING_WEIGHTS
 
-from .inputs import DISTRICTS, USERS_PER_DISTRICT
+from .inputs import USERS_PER_DISTRICT
 from .queries import PHASE_ROWS, PROPAGATE_ROWS, RANDOM_STEPS, SLOT_1, SLOT_2, WALK_STEPS
 
 _W = RING_WEIGHTS
@@ -17,7 +17,7 @@ _W = RING_WEIGHTS
 _INPUTS = f"""
 ev AS (
   SELECT event_id, ts, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-         CAST((user_id // {USERS_PER_DISTRICT}) % {DISTRICTS} AS INTEGER) AS district
+         CAST(user_id // {USERS_PER_DISTRICT} AS INTEGER) AS district
   FROM events
 ),
 obs AS (

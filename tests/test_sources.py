@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import pytest
+
 from trackweave import operators as ops
 from trackweave import sources
 
@@ -67,3 +69,18 @@ def test_matrix_round_trip_replaces_the_old_file(spark, tmp_path):
         sources.write_matrix(first.filter("a = 2"), path + file_format, file_format)
         read = spark.read.format(file_format).schema(first.schema).option("header", True)
         assert [tuple(r) for r in read.load(path + file_format).collect()] == [(2, 1, 1 / 3)]
+
+
+def test_columns_are_matched_by_name(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    path = str(tmp_path / "by_name.csv")
+    with open(path, "w") as file:
+        file.write("usage_dttm;imei;uid;ytr10;tidenhnum;xtr10\n2024-01-01 08:00:07;x;ab12f;65;;95\n")
+    text_ids = T.StructType([T.StructField("uid", T.StringType()), *sources.OBSERVATION_FILE.fields[1:]])
+    row = sources.read_observations(spark, path, text_ids).first()
+    assert (row.uid, row.xtr10, row.ytr10, row.tidenhnum) == ("ab12f", 95.0, 65.0, None)
+    with pytest.raises(Exception, match="uid is not bigint: ab12f"):
+        sources.read_observations(spark, path).collect()
+    with pytest.raises(ValueError, match="no column locid"):
+        sources.read_cells(spark, path)

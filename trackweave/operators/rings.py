@@ -17,7 +17,9 @@ ORDERS = (1, 2, 3)
 
 
 def _mass(order: int) -> float:
-    """Probability mass used when rings up to ``order`` count."""
+    """Probability mass used when rings up to ``order`` (0 to 3) count."""
+    if order not in (0, *ORDERS):
+        raise ValueError(f"ring order {order} is not in 0 to {ORDERS[-1]}")
     return sum(RING_WEIGHTS[: order + 1])
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The columns of the input files.
@@ -25,13 +26,35 @@ CELL_FILE = T.StructType(
 
 
 def _read_delimited(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.csv(path, schema=schema, sep=";", header=True)
+    """The columns of ``schema``, matched by their names in the header.
+
+    A column that the header lacks is an error at once, a value that is not of
+    its type an error when it is read; an empty value is null.
+    """
+    raw = spark.read.csv(path, sep=";", header=True)
+    missing = [field.name for field in schema if field.name not in raw.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}; it has {', '.join(raw.columns)}")
+
+    def typed(field: T.StructField) -> Column:
+        text, kind = F.col(field.name), field.dataType
+        if isinstance(kind, T.StringType):
+            return text.alias(field.name)
+        value = text.try_cast(kind)
+        message = F.concat(F.lit(f"{field.name} is not {kind.simpleString()}: "), text)
+        wrong = text.isNotNull() & value.isNull()
+        return F.when(wrong, F.raise_error(message).cast(kind)).otherwise(value).alias(field.name)
+
+    return raw.select(*(typed(field) for field in schema))
 
 
 def read_observations(
     spark: SparkSession, path: str, schema: T.StructType = OBSERVATION_FILE
 ) -> DataFrame:
-    """Semicolon-separated observations with a header; ``path`` may be a glob."""
+    """Semicolon-separated observations with a header; ``path`` may be a glob.
+
+    Hashed user ids need a schema whose ``uid`` is a string.
+    """
     return _read_delimited(spark, path, schema)
 
 
