@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .settings import ROWS_PER_LOOP_TASK
 
+# Spark's switch to remove the shuffle files of a query at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints, as the cluster names it.
@@ -57,10 +60,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def store(df: DataFrame, session: SparkSession | None = None) -> DataFrame:
     """Compute ``df`` once and go on from a table, whose size the optimizer knows.
 
-    ``session`` is the one to read the table with, by default that of ``df``.
+    ``session`` is the one to read the table with, by default that of ``df``. The
+    shuffle files of the computation go when the table is there, so that the disk a
+    chain of stored tables needs is that of its largest step.
     """
     spark = session or df.sparkSession
     path = os.path.join(shared_folder(spark), f"table-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(SHUFFLE_CLEANUP)
+        else:
+            conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
