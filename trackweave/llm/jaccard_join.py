@@ -287,7 +287,8 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90)
         .agg(F.min("doc_id").alias("doc_id"))
     )
     keys = signature_rows(documents, words, percent)
-    shared = keys.groupBy("key").count().filter("count > 1").select("key")
+    # Stored, so that the shuffle of the counts is gone before that of the join.
+    shared = store(keys.groupBy("key").count().filter("count > 1").select("key"))
     crowded = store(keys.join(shared, "key").distinct())
     # The leader of a signature is the set that meets most others: in a group of
     # copies of one text that is the text itself, which all are similar to.
