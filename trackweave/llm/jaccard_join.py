@@ -24,9 +24,9 @@ Links and components. No group of equal signatures is expanded into pairs:
 1. every set is checked against one set (the leader) of each of its signatures,
    the one that meets most others;
 2. confirmed links give components;
-3. where a leader's sets are of several components, those that may still be
-   similar are found by what they differ in from the leader (``late_pairs``),
-   and checked.
+3. where a signature has more than two sets and a leader's sets are of several
+   components, those that may still be similar are found by what they differ in
+   from the leader (``late_pairs``), and checked.
 
 A link left out joins two sets already in one component, so the components are
 those of all links. Copies (equal sets) are one node throughout.
@@ -208,13 +208,16 @@ def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with the exact sizes of their sets and of what they share.
 
     ``prefix`` holds the first elements in which b differs from a, those that a
-    lacks before those that b lacks, each by value: as many as ``late_pairs`` needs.
+    lacks before those that b lacks, each by value: as many as ``late_pairs`` needs,
+    which is none if no signature of the pair has a third set. It has their upper
+    halves only: elements that are equal meet there, others that do are checked later.
     """
     left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     sized = pairs.join(left, "a").join(right, "b").select(
         "a",
         "b",
+        "several",
         F.size("left").alias("a_size"),
         F.size("right").alias("b_size"),
         F.sort_array(F.array_except("right", "left")).alias("added"),
@@ -226,7 +229,8 @@ def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     linked = 100 * common >= percent * (both - common)
     near = apart - F.ceil((apart + (F.col("a_size") - F.col("b_size")) * (100 - percent) / (100 + percent)) / 2) + 2
     far = _differences(F.col("b_size") * (100 + percent) / percent, percent) + 2
-    length = F.when(linked, near).otherwise(F.greatest(near, far))
+    length = F.when(~F.col("several"), 0).when(linked, near).otherwise(F.greatest(near, far))
+    prefix = F.slice(F.concat("added", "removed"), 1, F.greatest(length, F.lit(0)).cast("int"))
     return sized.select(
         "a",
         "b",
@@ -234,7 +238,7 @@ def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
         "b_size",
         apart.alias("apart"),
         linked.alias("linked"),
-        F.slice(F.concat("added", "removed"), 1, F.greatest(length, F.lit(0)).cast("int")).alias("prefix"),
+        F.transform(prefix, lambda x: F.shiftright(x, 32).cast("int")).alias("prefix"),
     )
 
 
@@ -252,13 +256,14 @@ def late_pairs(checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     """
     here = labels.select(F.col("node").alias("b"), F.col("label").alias("b_label"))
     there = labels.select(F.col("node").alias("a"), F.col("label").alias("a_label"))
-    placed = checked.join(here, "b", "left").join(there, "a", "left").select(
+    several = checked.filter(F.size("prefix") > 0)
+    placed = several.join(here, "b", "left").join(there, "a", "left").select(
         "a", "b", "b_size", "apart", "prefix",
         F.coalesce("b_label", "b").alias("label"),
         (F.coalesce("b_label", "b") != F.coalesce("a_label", "a")).alias("far"),
     )
     open_ = placed.groupBy("a").agg(F.max("far").alias("any"), F.count("*").alias("n")).filter("any and n > 1")
-    members = store(placed.join(open_.select("a"), "a", "left_semi"))
+    members = placed.join(open_.select("a"), "a", "left_semi")
     spread = members.select("a", "b", "b_size", "apart", "label", "far", F.posexplode("prefix").alias("at", "element"))
     one = spread.drop("far")
     other = spread.filter("far").select(
@@ -275,6 +280,7 @@ def late_pairs(checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame
         )
         .select(F.least("b", "y_b").alias("a"), F.greatest("b", "y_b").alias("b"))
         .distinct()
+        .withColumn("several", F.lit(False))
     )
 
 
@@ -295,13 +301,13 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90)
     met = crowded.groupBy("key").count()
     scores = crowded.join(met, "key").groupBy("node").agg(F.sum("count").alias("score"))
     leaders = crowded.join(scores, "node").groupBy("key").agg(
-        F.max(F.struct("score", "node")).alias("top")
+        F.max(F.struct("score", "node")).alias("top"), (F.count("*") > 2).alias("several")
     )
     pairs = store(
-        crowded.join(leaders.select("key", F.col("top.node").alias("leader")), "key")
+        crowded.join(leaders.select("key", "several", F.col("top.node").alias("leader")), "key")
         .filter("node != leader")
-        .select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        .distinct()
+        .groupBy(F.col("leader").alias("a"), F.col("node").alias("b"))
+        .agg(F.max("several").alias("several"))
     )
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # A node whose only texts have null ids is read by its null id.
