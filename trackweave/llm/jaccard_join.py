@@ -40,6 +40,7 @@ ids only has a null ``component_id``. Repeated ids are separate rows. Nodes are
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -59,6 +60,10 @@ BAND_POWER = 2
 # Ids that are looked up by broadcast: at most this many (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
+# Large joins run in so many blocks, one after the other, so that only one of them
+# has its shuffle files at a time. A block is a part of the keys, not of the rows.
+BLOCKS = 6
+
 SETS = "doc_id long, n_shingles long, node long"
 
 
@@ -204,7 +209,24 @@ def _differences(total, percent: int):
     return F.floor(total * (100 - percent) / (100 + percent))
 
 
-def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+def stored_union(tables: Iterable[DataFrame]) -> DataFrame:
+    """The tables, stored one after the other, as one."""
+    return reduce(DataFrame.unionByName, [store(t) for t in tables])
+
+
+def _block(number: int, *columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(BLOCKS)) == number
+
+
+def checked_pairs(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """``confirmed`` of all pairs, stored, in blocks of b."""
+    return stored_union(
+        confirmed(pairs.filter(_block(i, "b")), shingles, shingles.filter(_block(i, "node")), percent)
+        for i in range(BLOCKS)
+    )
+
+
+def confirmed(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with the exact sizes of their sets and of what they share.
 
     ``prefix`` holds the first elements in which b differs from a, those that a
@@ -212,8 +234,8 @@ def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     which is none if no signature of the pair has a third set. It has their upper
     halves only: elements that are equal meet there, others that do are checked later.
     """
-    left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    left = left.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = right.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     sized = pairs.join(left, "a").join(right, "b").select(
         "a",
         "b",
@@ -264,24 +286,29 @@ def late_pairs(checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     )
     open_ = placed.groupBy("a").agg(F.max("far").alias("any"), F.count("*").alias("n")).filter("any and n > 1")
     members = placed.join(open_.select("a"), "a", "left_semi")
-    spread = members.select("a", "b", "b_size", "apart", "label", "far", F.posexplode("prefix").alias("at", "element"))
-    one = spread.drop("far")
-    other = spread.filter("far").select(
-        "a", "element", *(F.col(c).alias(f"y_{c}") for c in ("b", "b_size", "apart", "label", "at"))
-    )
-    allowed = _differences(F.col("b_size") + F.col("y_b_size"), percent)
-    shared = F.ceil((F.col("apart") + F.col("y_apart") - allowed) / 2)
-    return (
-        one.join(other, ["a", "element"])
-        .filter(
-            (F.col("label") != F.col("y_label"))
-            & (F.col("at") <= F.col("apart") - shared)
-            & (F.col("y_at") <= F.col("y_apart") - shared)
+    columns = ("a", "b", "b_size", "apart", "label", "far")
+
+    def found(i: int) -> DataFrame:
+        spread = members.select(*columns, F.posexplode("prefix").alias("at", "element")).filter(_block(i, "a", "element"))
+        one = spread.drop("far")
+        other = spread.filter("far").select(
+            "a", "element", *(F.col(c).alias(f"y_{c}") for c in ("b", "b_size", "apart", "label", "at"))
         )
-        .select(F.least("b", "y_b").alias("a"), F.greatest("b", "y_b").alias("b"))
-        .distinct()
-        .withColumn("several", F.lit(False))
-    )
+        allowed = _differences(F.col("b_size") + F.col("y_b_size"), percent)
+        shared = F.ceil((F.col("apart") + F.col("y_apart") - allowed) / 2)
+        return (
+            one.join(other, ["a", "element"])
+            .filter(
+                (F.col("label") != F.col("y_label"))
+                & (F.col("at") <= F.col("apart") - shared)
+                & (F.col("y_at") <= F.col("y_apart") - shared)
+            )
+            .select(F.least("b", "y_b").alias("a"), F.greatest("b", "y_b").alias("b"))
+            .distinct()
+        )
+
+    every = stored_union(found(i) for i in range(BLOCKS))
+    return every.distinct().withColumn("several", F.lit(False))
 
 
 def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -320,11 +347,11 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90)
         shingles = store(shingles.groupBy("node").agg(F.first("shingles").alias("shingles")))
     else:
         shingles = store(node_shingles(documents, wanted, words))
-    checked = store(confirmed(pairs, shingles, percent))
+    checked = checked_pairs(pairs, shingles, percent)
     links = checked.filter("linked").select("a", "b")
     labels = connected_components(links)
-    late = confirmed(store(late_pairs(checked, labels, percent)), shingles, percent)
-    late = store(late.filter("linked").select("a", "b"))
+    late = checked_pairs(store(late_pairs(checked, labels, percent)), shingles, percent)
+    late = late.filter("linked").select("a", "b")
     labels = connected_components(links.union(late))
 
     named = classes.join(labels, "node", "left").select(
