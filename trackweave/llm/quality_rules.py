@@ -12,7 +12,8 @@ the beta distribution, so that a few bad documents do not cost a small host its
 clean ones. The rules ``short`` and
 ``repeats`` are the base: failing one of them always rejects.
 
-The measured rows are stored once; host sums and verdicts read that table. Host
+The measured rows are stored once, unless they hold their texts; host sums and
+verdicts read that table. Host
 sums combine before the shuffle, so a host with a third of all rows costs one
 row per task, and the join back is one that Spark can split.
 
@@ -111,7 +112,9 @@ def quality_verdicts(documents: DataFrame, keep: list[str], name: str = "quality
         *keep, F.col("source").alias(free_name(keep, "_host")), F.col("_measures").alias(free_name(keep, name))
     )
     host, name = table.columns[-2:]
-    table = store(table)
+    # Texts are not stored a second time: where they are kept, they are measured twice.
+    if "text" not in keep:
+        table = store(table)
     failed = failures(F.col(name))
     n_failed = sum((F.coalesce(f, F.lit(False)).cast("long") for f in failed.values()), F.lit(0))
     hosts = store(
