@@ -372,9 +372,13 @@ def keep_one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) ->
     found = jaccard_components(documents, words, percent)
     # Only ids that leave are joined; rows of one id leave together.
     gone = found.filter("n_shingles > 0 and component_id is not null and doc_id != component_id")
-    left = documents.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*documents.columns)
-    again = left.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text").alias("t")).filter("n > 1 and doc_id is not null")
-    repeated = again.select(F.col("doc_id").alias("_id"), F.col("t").alias("_text"))
-    single = left.join(again.select("doc_id"), "doc_id", "left_anti").select(*documents.columns)
-    one = left.join(repeated, (F.col("doc_id") == F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")))
+    gone = store(gone.select("doc_id").distinct())
+    left = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    # Ids alone say which rows repeat one; only the texts of those are compared.
+    ids = documents.select("doc_id").join(gone, "doc_id", "left_anti")
+    repeated = store(ids.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    single = left.join(repeated, "doc_id", "left_anti").select(*documents.columns)
+    many = left.join(repeated, "doc_id", "left_semi").select(*documents.columns)
+    smallest = many.groupBy(F.col("doc_id").alias("_id")).agg(F.min("text").alias("_text"))
+    one = many.join(smallest, (F.col("doc_id") == F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")))
     return single.unionByName(one.select(*documents.columns).dropDuplicates(["doc_id"]))
