@@ -60,7 +60,7 @@ BAND_POWER = 2
 # Ids that are looked up by broadcast: at most this many (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
-# Large joins run in so many blocks, one after the other, so that only one of them
+# Large joins of the near duplicates, at a low similarity, run in so many blocks, one after the other, so that only one of them
 # has its shuffle files at a time. A block is a part of the keys, not of the rows.
 BLOCKS = 6
 
@@ -214,15 +214,15 @@ def stored_union(tables: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [store(t) for t in tables])
 
 
-def _block(number: int, *columns: str):
-    return F.pmod(F.xxhash64(*columns), F.lit(BLOCKS)) == number
+def _block(number: int, blocks: int, *columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(blocks)) == number
 
 
-def checked_pairs(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+def checked_pairs(pairs: DataFrame, shingles: DataFrame, percent: int, blocks: int) -> DataFrame:
     """``confirmed`` of all pairs, stored, in blocks of b."""
     return stored_union(
-        confirmed(pairs.filter(_block(i, "b")), shingles, shingles.filter(_block(i, "node")), percent)
-        for i in range(BLOCKS)
+        confirmed(pairs.filter(_block(i, blocks, "b")), shingles, shingles.filter(_block(i, blocks, "node")), percent)
+        for i in range(blocks)
     )
 
 
@@ -264,7 +264,7 @@ def confirmed(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int)
     )
 
 
-def late_pairs(checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def late_pairs(checked: DataFrame, labels: DataFrame, percent: int, blocks: int) -> DataFrame:
     """Pairs of sets with a common leader but of different components that may be
     similar.
 
@@ -289,7 +289,7 @@ def late_pairs(checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     columns = ("a", "b", "b_size", "apart", "label", "far")
 
     def found(i: int) -> DataFrame:
-        spread = members.select(*columns, F.posexplode("prefix").alias("at", "element")).filter(_block(i, "a", "element"))
+        spread = members.select(*columns, F.posexplode("prefix").alias("at", "element")).filter(_block(i, blocks, "a", "element"))
         one = spread.drop("far")
         other = spread.filter("far").select(
             "a", "element", *(F.col(c).alias(f"y_{c}") for c in ("b", "b_size", "apart", "label", "at"))
@@ -307,11 +307,13 @@ def late_pairs(checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame
             .distinct()
         )
 
-    every = stored_union(found(i) for i in range(BLOCKS))
+    every = stored_union(found(i) for i in range(blocks))
     return every.distinct().withColumn("several", F.lit(False))
 
 
-def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+def jaccard_components(
+    documents: DataFrame, words: int = 3, percent: int = 90, blocks: int = 1
+) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (see the module)."""
     sets = store(shingle_sets(documents, words))
     classes = store(
@@ -347,10 +349,10 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90)
         shingles = store(shingles.groupBy("node").agg(F.first("shingles").alias("shingles")))
     else:
         shingles = store(node_shingles(documents, wanted, words))
-    checked = checked_pairs(pairs, shingles, percent)
+    checked = checked_pairs(pairs, shingles, percent, blocks)
     links = checked.filter("linked").select("a", "b")
     labels = connected_components(links)
-    late = checked_pairs(store(late_pairs(checked, labels, percent)), shingles, percent)
+    late = checked_pairs(store(late_pairs(checked, labels, percent, blocks)), shingles, percent, blocks)
     late = late.filter("linked").select("a", "b")
     labels = connected_components(links.union(late))
 
@@ -369,7 +371,7 @@ def keep_one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) ->
     """One row of each component, that of its smallest id, with the columns as they
     came. Rows without words or without a component id stay; of rows that share the
     smallest id, one with the smallest text stays."""
-    found = jaccard_components(documents, words, percent)
+    found = jaccard_components(documents, words, percent, BLOCKS)
     # Only ids that leave are joined; rows of one id leave together.
     gone = found.filter("n_shingles > 0 and component_id is not null and doc_id != component_id")
     gone = store(gone.select("doc_id").distinct())
