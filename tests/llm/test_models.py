@@ -175,6 +175,16 @@ def test_base_score_of_the_language_model(spark):
         assert r.train_tokens == total and r.score < 0
 
 
+def test_language_model_learns_from_all_training_rows(spark):
+    """Words that only one document has are known, whatever its id."""
+    often, own = "alpha beta gamma delta " * 40, "zebra quartz violin " * 400
+    for place in (3, None):
+        rows = [(i, often) for i in range(100, 110)] + [(place, own)]
+        table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        scored = lm_scores(table, f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+        assert scored.filter(F.col("doc_id").eqNullSafe(F.lit(place))).first().score / 1200 > -3
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
