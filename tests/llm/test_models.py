@@ -1,5 +1,6 @@
 """Set join, pages, pieces, scores and the pipeline on small rows."""
 
+import base64
 import math
 import random
 import re
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trackweave.llm.attention import Attention
 from trackweave.llm.html_extract import Page, main_text
 from trackweave.llm.jaccard_join import jaccard_components, keep_one_of_each
 from trackweave.llm.lm_scores import lm_scores
@@ -185,6 +187,25 @@ def test_language_model_learns_from_all_training_rows(spark):
         assert scored.filter(F.col("doc_id").eqNullSafe(F.lit(place))).first().score / 1200 > -3
 
 
+def test_language_model_tells_all_ids_apart(spark):
+    ranks = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    known = (base64.b64decode(line.split()[0]) for line in open(ranks, "rb"))
+    words = [w[1:].decode() for w in known if re.fullmatch(rb" [a-z]{3,}", w)][:2202]
+    held, (rare, rarer) = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0], words[-2:]
+    rows = [(i, " ".join([*words[:-2], rare])) for i in range(200, 210) if zlib.crc32(str(i).encode()) % 10]
+    rows += [(1, rarer), (held[0], rare), (held[1], rarer)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    scores = {r.doc_id: r.score for r in lm_scores(table, ranks).collect()}
+    assert scores[held[0]] > scores[held[1]] + 0.3
+    model = Attention(np.log(np.arange(50, 0, -1) / np.arange(51).sum()))
+    ids = np.array([[50, 3, 7, 49]] * 50)
+    for _ in range(20):
+        model.learn(ids, np.array([[3, 7, 49, 1]] * 50), 0.01)
+    targets = np.arange(50)[:, None].repeat(4, axis=1)
+    found = model.log_probabilities(ids, targets, np.ones((50, 4), bool)).reshape(50, 4)
+    assert np.exp(found).sum(axis=0) == pytest.approx(np.ones(4), abs=1e-5) and np.exp(found)[49, 2] > 0.01
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
