@@ -76,6 +76,15 @@ def test_keep_one_of_each(spark):
     assert jaccard_components(table.limit(0)).count() == 0
 
 
+def test_keep_one_of_each_judges_rows_not_ids(spark):
+    same, near = " ".join(f"w{i}" for i in range(60)), " ".join([*(f"w{i}" for i in range(59)), "z"])
+    lone = " ".join(f"v{i}" for i in range(60))
+    rows = [(3, same), (5, near), (5, "quite another text"), (5, "one more of the same id"), (None, lone), (None, lone + " end"), (3, near)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter(map(tuple, keep_one_of_each(table).collect()))
+    assert kept == Counter([(3, same), (5, "quite another text"), (5, "one more of the same id"), (None, lone)])
+
+
 def test_pages(spark):
     page = (
         "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><a>Menu</a></nav>"

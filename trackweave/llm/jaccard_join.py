@@ -64,7 +64,13 @@ BROADCAST_IDS = 2_000_000
 # has its shuffle files at a time. A block is a part of the keys, not of the rows.
 BLOCKS = 6
 
-SETS = "doc_id long, n_shingles long, node long"
+_KEY = "_text_key"
+SETS = "doc_id long, text_key long, n_shingles long, node long"
+
+
+def text_key():
+    """Tells texts of one id apart."""
+    return F.xxhash64("text", F.length("text")).alias("text_key")
 
 
 def bands(largest: int, percent: int) -> np.ndarray:
@@ -157,11 +163,16 @@ def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
         for rows, data, offsets in hashing.pieces(batches):
             _, counts, nodes = _sets(rows, data, offsets, words)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id").cast(pa.int64()), pa.array(counts.astype(np.int64)), pa.array(nodes)],
-                names=["doc_id", "n_shingles", "node"],
+                [
+                    rows.column("doc_id").cast(pa.int64()),
+                    rows.column("text_key"),
+                    pa.array(counts.astype(np.int64)),
+                    pa.array(nodes),
+                ],
+                names=["doc_id", "text_key", "n_shingles", "node"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(work, SETS)
+    return documents.select("doc_id", text_key(), "text").mapInArrow(work, SETS)
 
 
 def signature_rows(documents: DataFrame, words: int, percent: int) -> DataFrame:
@@ -315,6 +326,12 @@ def jaccard_components(
     documents: DataFrame, words: int = 3, percent: int = 90, blocks: int = 1
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (see the module)."""
+    return labelled_rows(documents, words, percent, blocks).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled_rows(documents: DataFrame, words: int, percent: int, blocks: int) -> DataFrame:
+    """Per document: doc_id, text_key, n_shingles, component_id, and the node that
+    stands for its component, null without words."""
     sets = store(shingle_sets(documents, words))
     classes = store(
         sets.filter("n_shingles > 0")
@@ -360,27 +377,37 @@ def jaccard_components(
         "node", "doc_id", F.coalesce("label", "node").alias("label")
     )
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    component = named.join(smallest, "label").select("node", "component_id")
+    component = named.join(smallest, "label").select("node", "label", "component_id")
     found = sets.filter("n_shingles > 0").join(component, "node")
-    empty = sets.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", "n_shingles", "component_id"]
+    empty = sets.filter("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "label": F.lit(None).cast("long")})
+    columns = ["doc_id", "text_key", "n_shingles", "component_id", "label"]
     return found.select(columns).unionByName(empty.select(columns))
 
 
 def keep_one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, that of its smallest id, with the columns as they
-    came. Rows without words or without a component id stay; of rows that share the
-    smallest id, one with the smallest text stays."""
-    found = jaccard_components(documents, words, percent, BLOCKS)
-    # Only ids that leave are joined; rows of one id leave together.
-    gone = found.filter("n_shingles > 0 and component_id is not null and doc_id != component_id")
-    gone = store(gone.select("doc_id").distinct())
-    left = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
-    # Ids alone say which rows repeat one; only the texts of those are compared.
-    ids = documents.select("doc_id").join(gone, "doc_id", "left_anti")
-    repeated = store(ids.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    single = left.join(repeated, "doc_id", "left_anti").select(*documents.columns)
-    many = left.join(repeated, "doc_id", "left_semi").select(*documents.columns)
-    smallest = many.groupBy(F.col("doc_id").alias("_id")).agg(F.min("text").alias("_text"))
-    one = many.join(smallest, (F.col("doc_id") == F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")))
-    return single.unionByName(one.select(*documents.columns).dropDuplicates(["doc_id"]))
+    """One row of each component, that of its smallest id and, of rows that share it,
+    of the smallest text, with the columns as they came. Rows are told apart by id and
+    text, so another text that shares an id with one that leaves is judged by its own
+    component. Rows without words stay. Of the rows without an id one of each component
+    stays too, that of the smallest text: it cannot be told whose copy it is."""
+    found = store(labelled_rows(documents, words, percent, BLOCKS).filter("n_shingles > 0").drop("n_shingles"))
+    # Only rows that leave, and those of which one has to be chosen, are joined.
+    gone = store(found.filter("doc_id != component_id").select("doc_id", "text_key").distinct())
+    first = found.filter("doc_id is null or doc_id = component_id")
+    repeated = first.groupBy("label", "doc_id").count().filter("count > 1").drop("count")
+    chosen = store(
+        first.join(repeated, first["label"].eqNullSafe(repeated["label"]) & first["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")
+        .select("doc_id", "text_key", "label")
+        .distinct()
+    )
+    keyed = documents.withColumn(_KEY, text_key())
+
+    def same(other: DataFrame):
+        return keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed[_KEY] == other["text_key"])
+
+    single = keyed.join(gone, same(gone), "left_anti").join(chosen, same(chosen), "left_anti")
+    many = keyed.join(chosen, same(chosen)).select(
+        chosen["doc_id"].alias("_id"), "label", keyed["text"].alias("_text"), F.struct(*(keyed[c] for c in documents.columns)).alias("_row")
+    )
+    one = many.groupBy("_id", "label").agg(F.min_by("_row", "_text").alias("_row"))
+    return single.select(*documents.columns).unionByName(one.select("_row.*"))
