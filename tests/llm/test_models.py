@@ -110,6 +110,18 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert Page("<p a=\"x>y\">z</p").text(frozenset()) == "z"
 
 
+def test_style_tree_decides_inside_articles(spark):
+    def page(i, own):
+        return f"<body><article><h1>Head {i}</h1><div class='box'>Same on all pages</div><p>{own}</p></article></body>"
+
+    rows = [(i, "http://host/x", page(i, f"Text {i} of its own")) for i in range(8)]
+    rows += [(100 + i, "http://copies/x", page(1, "One article")) for i in range(8)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(table).collect()}
+    assert all(got[i] == f"Head {i}\nText {i} of its own" for i in range(8))
+    assert all(got[100 + i] == "Head 1\nSame on all pages\nOne article" for i in range(8))
+
+
 TEXTS = [(1, "Hello  world\n\n tab\there ▁x é😀ü"), (2, ""), (3, None), (4, "a" * 300 + " " * 200 + "b"), (5, "the the and")]
 
 

@@ -8,9 +8,9 @@ same everywhere has importance near 0, one that differs everywhere near 1; on
 fewer than ``MIN_PAGES`` pages nothing can be said and it counts as important.
 Branches below ``RATIO`` times the importance of the host's body are removed
 from each page. Elements whose tag or class says what they are (menus, forms,
-adverts, comments, ...) have importance 0, and those inside an ``article`` or
-``main`` that has none of these marks have importance 1, so copies of one article
-on a host do not remove each other.
+adverts, comments, ...) have importance 0. Inside an ``article`` or ``main`` the
+tree decides as it does elsewhere, but over pages whose articles differ, so copies
+of one article on a host do not remove each other.
 
 What is left of the page's articles (else of ``main``, else of the body) is its
 text: character references decoded, white space inside a block turned into one
@@ -161,7 +161,7 @@ class Page:
             inside = root[parent] if parent >= 0 else ""
             noise = tag in NOISE_TAGS and not (tag == "header" and inside == "article")
             noise = noise or bool(NOISE_MARKS.intersection(marks)) and tag not in ("html", "body")
-            cut.append(above or noise or bool(removed) and not inside and tag not in ROOTS and paths[number] in removed)
+            cut.append(above or noise or bool(removed) and tag not in ROOTS and paths[number] in removed)
             root.append("article" if "article" in (tag, inside) else tag if tag in ROOTS else inside)
         return cut, root
 
@@ -180,8 +180,9 @@ class Page:
                 block.append(part)
         return "\n".join(blocks)
 
-    def statistics(self) -> Iterator[tuple[int, bool, int, int]]:
-        """(path, is body, style, content) of every path: digests over its nodes."""
+    def statistics(self) -> Iterator[tuple[int, bool, int, int, int | None]]:
+        """(path, is body, style, content, article) of every path: digests over its nodes,
+        and for those inside an article or main over all of these of the page."""
         n = len(self.nodes)
         styles, contents = [[] for _ in range(n)], [[] for _ in range(n)]
         for node, part in self.parts:
@@ -195,13 +196,19 @@ class Page:
             if parent >= 0:
                 styles[parent].append(f"{tag}.{'.'.join(marks)}")
                 contents[parent].append(str(digests[node]))
+        _, root = self.flags(frozenset())
+        tops = [k for k in range(1, n) if root[k] and not root[self.nodes[k][0]]]
+        article = xxhash.xxh64_intdigest("\n".join(str(digests[k]) for k in tops)) - 2**63
         joined: dict[int, tuple[bool, list[str], list[str]]] = {}
+        inside: dict[int, bool] = {}
         for node in range(1, n):
             body, style, content = joined.setdefault(paths[node], (self.nodes[node][1] == "body", [], []))
             style += styles[node]
             content.append(str(digests[node]))
+            inside[paths[node]] = bool(root[node])
         for path, (body, style, content) in joined.items():
-            yield path, body, xxhash.xxh64_intdigest("\n".join(style)) - 2**63, xxhash.xxh64_intdigest("\n".join(content)) - 2**63
+            digests_ = (xxhash.xxh64_intdigest("\n".join(each)) - 2**63 for each in (style, content))
+            yield path, body, *digests_, article if inside[path] else None
 
 
 def _host():
@@ -218,17 +225,19 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 hosts, out = rows.column("host").to_pylist(), []
                 for host, source in zip(hosts, rows.column("html").to_pylist()):
                     out += [(host, *node) for node in Page(source or "").statistics()]
-                columns = list(zip(*out)) or [[]] * 5
+                columns = list(zip(*out)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))],
-                    names=["host", "path", "body", "style", "content"],
+                    [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_(), *[pa.int64()] * 3))],
+                    names=["host", "path", "body", "style", "content", "article"],
                 )
 
-    found = store(
+    every = store(
         pages.select(_host().alias("host"), "html")
         .filter("host != ''")
-        .mapInArrow(work, "host string, path long, body boolean, style long, content long")
+        .mapInArrow(work, "host string, path long, body boolean, style long, content long, article long")
     )
+    # Pages with the same article count once for what is inside it.
+    found = every.filter("article is null").unionByName(every.filter("article is not null").distinct())
 
     def entropy(column: str) -> DataFrame:
         counts = found.groupBy("host", "path", column).agg(F.count("*").cast("double").alias("n"), F.max("body").alias("body"))
