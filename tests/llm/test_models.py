@@ -18,7 +18,7 @@ from trackweave.llm.lm_scores import lm_scores
 from trackweave.llm.quality_classifier import quality_scores
 from trackweave.llm.queries import PIECE_MODEL, TOKENIZERS
 from trackweave.llm.sentence_pieces import encode, encoded_documents
-from trackweave.llm.toxicity import toxicity_scores
+from trackweave.llm.toxicity import Evidence, toxicity_scores
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -180,6 +180,13 @@ def test_classifiers_on_held_out_rows(spark):
     assert quality_scores(table.limit(0), marks).count() == 0
 
 
+def test_spaced_letters_end_with_their_text():
+    texts = [b"you s t u p i d", b"A fine day", b"I s t u p i d"]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    owners, _ = Evidence([b"stupid"]).sentences(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert owners.tolist() == [0, 2]
+
+
 def test_base_score_of_the_language_model(spark):
     rows, _ = corpus(60)
     rows = [*rows, (100, None), (101, ""), (5, rows[5][1])]

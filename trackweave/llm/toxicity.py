@@ -201,11 +201,12 @@ class Evidence:
 
     @staticmethod
     def _letters(data, starts, ends, texts) -> Iterator[tuple[int, int, int]]:
-        """Runs of three or more words of one byte each."""
-        single = np.append((ends - starts) == 1, False)
-        edge = np.diff(np.concatenate([[0], single.astype(np.int8)]))
-        for low, high in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-            if high - low >= 3 and texts[low] == texts[high - 1]:
+        """Runs of three or more words of one byte each, in one text."""
+        single = (ends - starts) == 1
+        joined = single[1:] & single[:-1] & (texts[1:] == texts[:-1])
+        opens, closes = single & ~np.append(False, joined), single & ~np.append(joined, False)
+        for low, high in zip(np.flatnonzero(opens), np.flatnonzero(closes) + 1):
+            if high - low >= 3:
                 yield starts[low], ends[high - 1], texts[low]
 
 
