@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..lineage import shared_folder
 from .chat_format import conversation_digests, format_conversations
 from .decontaminate import decontamination_report
 from .html_extract import main_text
 from .jaccard_join import jaccard_components
 from .lm_scores import lm_scores
+from .merkle import verified_documents
 from .pii import personal_data
 from .quality_classifier import quality_scores
 from .quality_rules import quality_verdicts
 from .sentence_pieces import encoded_documents
 from .toxicity import toxicity_scores
+from .turn_repair import repaired_conversations
+from .warc import read_records, write_archives
 
 # The folder of public vocabulary files; ``TOKENIZERS`` names another one.
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
@@ -75,6 +80,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = os.path.join(shared_folder(spark), f"warc-{uuid.uuid4().hex}")
+    write_archives(_table(spark, sf_dir, "pages"), folder)
+    read = read_records(spark, folder)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 REGISTRY = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extract": op2_html_extract,
@@ -86,4 +106,7 @@ REGISTRY = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_warc": op13_warc,
 }
