@@ -39,6 +39,8 @@ LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER = -1
 # The place in a proof where it leaves the tree of the source.
 BORDER = "|"
+# Nodes in a file of a level, at least; a number of files, not of rows.
+NODES_PER_FILE = 100_000
 _BYTES = 32
 _NODE = ["tree", "level", "idx"]
 _UP = [f"up_{c}" for c in _NODE]
@@ -122,13 +124,16 @@ def _numbered(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed.select("tree", (F.col("offset") + F.col("place")).alias("idx"), "n", "hash", "doc_id", "changed"), sources
 
 
-def _links(nodes: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Links of the nodes of one level to their parents, and the parents."""
+def _links(nodes: DataFrame, level: int, files: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the nodes of one level to their parents, and the parents.
+
+    ``files`` bounds the files of the stored groups: upper levels are small."""
     carried = [c for c in ("doc_id", "changed") if c in nodes.columns]
     groups = store(
         nodes.filter("n > 1")
         .groupBy("tree", F.expr(f"idx div {FAN}").alias("up"), "n")
         .agg(F.array_sort(F.collect_list(F.struct("idx", "hash", *carried))).alias("members"))
+        .coalesce(files)
     )
     digest = F.sha2(F.array_join(F.transform("members", lambda m: _hex(m["hash"])), ""), 256)
     parents = groups.select(
@@ -171,7 +176,7 @@ def _heights(leaves: int) -> int:
     return levels
 
 
-def _climb(nodes: DataFrame, levels: int) -> tuple[list[DataFrame], DataFrame]:
+def _climb(nodes: DataFrame, levels: int, leaves: int, trees: int) -> tuple[list[DataFrame], DataFrame]:
     """All links inside the trees, and the node that is left of each with its level."""
     links, tops = [], []
     for level in range(levels + 1):
@@ -182,7 +187,7 @@ def _climb(nodes: DataFrame, levels: int) -> tuple[list[DataFrame], DataFrame]:
             )
         )
         if level < levels:
-            found, nodes = _links(nodes, level)
+            found, nodes = _links(nodes, level, 1 + (leaves // FAN**level + trees) // NODES_PER_FILE)
             links.append(found)
     whole = tops[0]
     for more in tops[1:]:
@@ -223,14 +228,15 @@ def merkle_manifest(documents: DataFrame) -> Manifest:
         .select("key", "doc_id", F.unhex(leaf).alias("hash"), F.unhex(F.when(changed != leaf, changed)).alias("changed"))
     )
     placed, sources = _numbered(leaves)
-    size = sources.agg(F.max("n").alias("largest"), F.count("*").alias("sources")).first()
+    size = sources.agg(F.max("n").alias("largest"), F.count("*").alias("sources"), F.sum("n").alias("leaves")).first()
+    leaf_count = size["leaves"] or 0
     lower, upper = _heights(size["largest"] or 0), _heights(size["sources"])
-    links, tops = _climb(placed, lower)
-    tops = store(tops)
+    links, tops = _climb(placed, lower, leaf_count, size["sources"])
+    tops = store(tops.coalesce(1 + size["sources"] // NODES_PER_FILE))
     subroots = tops.select(
         F.lit(UPPER).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(size["sources"]).alias("n"), "hash"
     )
-    above, root = _climb(subroots, upper)
+    above, root = _climb(subroots, upper, size["sources"], 1)
     found = root.select(_hex(F.col("hash")).alias("root")).first()
     crossing = tops.select(
         "tree",
@@ -248,7 +254,9 @@ def merkle_manifest(documents: DataFrame) -> Manifest:
     for more in (*links, *above):
         crossing = crossing.unionByName(more)
     at_root = (F.col("up_tree") == UPPER) & (F.col("up_level") == upper)
-    chain = crossing.withColumns({c: F.when(~at_root, F.col(c)) for c in _UP})
+    # One table: the rounds read it, not the groups of every level.
+    files = 1 + 2 * leaf_count // NODES_PER_FILE
+    chain = store(crossing.withColumns({c: F.when(~at_root, F.col(c)) for c in _UP}).coalesce(files))
     distance = 1
     while distance < lower + 1 + upper:
         chain = store(_jump(chain, distance))
