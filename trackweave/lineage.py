@@ -8,8 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .settings import ROWS_PER_LOOP_TASK
-
 # Spark's switch to remove the shuffle files of a query at its end.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -34,39 +32,21 @@ def shared_folder(spark: SparkSession) -> str:
     return current
 
 
-def loop_session(spark: SparkSession) -> SparkSession:
-    """A session of the same application for a loop of many small equal steps.
-
-    Its plans are fixed: re-planning at run time costs more than a step.
-    """
-    session = spark.newSession()
-    session.conf.set("spark.sql.adaptive.enabled", "false")
-    return session
-
-
-def size_shuffles(session: SparkSession, rows: int) -> int:
-    """Fit the shuffles of a loop to its table, whatever the caller's are sized for."""
-    partitions = 1 + rows // ROWS_PER_LOOP_TASK
-    session.conf.set("spark.sql.shuffle.partitions", str(partitions))
-    return partitions
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and go on from a checkpoint, which keeps its partitioning."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame, session: SparkSession | None = None) -> DataFrame:
+def store(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and go on from a table, whose size the optimizer knows.
 
-    ``session`` is the one to read the table with, by default that of ``df``. The
-    shuffle files of the computation go when the table is there, so that the disk a
+    The shuffle files of the computation go when the table is there, so that the disk a
     chain of stored tables needs is that of its largest step.
     """
-    spark = session or df.sparkSession
+    spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"table-{uuid.uuid4().hex}")
-    conf = df.sparkSession.conf
+    conf = spark.conf
     before = conf.get(SHUFFLE_CLEANUP, None)
     conf.set(SHUFFLE_CLEANUP, "true")
     try:
@@ -77,4 +57,3 @@ def store(df: DataFrame, session: SparkSession | None = None) -> DataFrame:
         else:
             conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
-

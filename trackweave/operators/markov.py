@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut_lineage, loop_session, size_shuffles, store
-from ..settings import PROPAGATE_STEPS_PER_CHECKPOINT
-from .dimensions import Dimension, lookup_join
+from ..lineage import store
+from ..settings import BROADCAST_ROWS, PROPAGATE_STEPS_PER_CHECKPOINT, ROWS_PER_LOOP_TASK
+from .dimensions import Dimension, lookup_join, measure
 
 
 def simplify_vector_ids(vector: DataFrame, cells: DataFrame | Dimension) -> DataFrame:
@@ -25,23 +25,21 @@ def initial_distribution(starts: DataFrame, links: DataFrame | Dimension | None
 
     Starts are counted per cell and then spread over the rings. Users none of
     whose possible cells is known do not count; the result is not rescaled when
-    only some of them are unknown.
+    only some of them are unknown. The number of users is a one-row aggregate of
+    the counts, which each cell's share then refers to.
     """
-    counts = starts.groupBy("cell_no").agg(F.count("*").alias("_users"))
+    counts = store(starts.groupBy("cell_no").agg(F.count("*").alias("_users")))
     if links is None:
-        everyone = F.sum("_users").over(Window.partitionBy())
+        everyone = counts.agg(F.sum("_users")).scalar()
         return counts.select("cell_no", (F.col("_users") / everyone).alias("p"))
-    # One link of each cell carries the cell's users, so that each user counts once.
-    spread = lookup_join(counts, links, ["cell_no"])
-    lead = F.row_number().over(Window.partitionBy("cell_no").orderBy("link_no")) == 1
+    links = measure(links)
+    linked = Dimension(links.df.select("cell_no").distinct(), links.rows)
+    everyone = lookup_join(counts, linked, ["cell_no"], "left_semi").agg(F.sum("_users")).scalar()
     return (
-        spread.withColumn("_lead", F.when(lead, F.col("_users")).otherwise(0))
+        lookup_join(counts, links, ["cell_no"])
         .groupBy(F.col("link_no").alias("cell_no"))
-        .agg(F.sum(F.col("_users") * F.col("prop")).alias("_mass"), F.sum("_lead").alias("_lead"))
-        .select(
-            "cell_no",
-            (F.col("_mass") / F.sum("_lead").over(Window.partitionBy())).alias("p"),
-        )
+        .agg(F.sum(F.col("_users") * F.col("prop")).alias("_mass"))
+        .select("cell_no", (F.col("_mass") / everyone).alias("p"))
     )
 
 
@@ -57,86 +55,168 @@ def to_vector(packed: DataFrame) -> DataFrame:
     return packed.select(F.inline(zipped)).toDF("cell_no", "p")
 
 
-def _block(first: DataFrame, moves: DataFrame, steps: int) -> DataFrame:
-    """Columns p_0..p_steps per cell (from_no), from p_0.
+def _shuffled_step(frame: DataFrame, moves: DataFrame, moved: str, carried: list[str]) -> DataFrame:
+    """One step with the vector and the matrix partitioned by origin."""
+    return (
+        moves.join(frame.hint("shuffle_hash"), "from_no")
+        .groupBy(F.col("to_no").alias("from_no"))
+        .agg(*[F.expr(text) for text in (*carried, moved)])
+    )
+
+
+def _broadcast_step(frame: DataFrame, moves: DataFrame, moved: str, carried: list[str]) -> DataFrame:
+    """One step with the matrix partitioned by destination: the vector comes to the
+    rows, and sums stay within their partitions."""
+    return (
+        moves.join(F.broadcast(frame), "from_no")
+        .groupBy("to_no")
+        .agg(*[F.expr(text) for text in (*carried, moved)])
+        .withColumnRenamed("to_no", "from_no")
+    )
+
+
+class _Evolution:
+    """A distribution under a matrix, in blocks of steps.
 
-    Each step is a join on the origin and one sum per destination. The row that
-    stays in its cell carries the earlier columns along, so that nothing is read
-    twice, and the sum already is partitioned the way the next join needs.
+    ``moves`` are the entries of the matrix and a row from every cell to itself, which
+    carries the columns of earlier steps along, so that nothing is read twice. A
+    vector of up to ``broadcast_rows`` cells is broadcast at every step and the matrix
+    stays where it is; a longer one is shuffled to its origins. A block ends in a
+    stored table of (from_no, peak, p_0, p_1, ...): columns of one row per cell, from
+    which changes and the greatest probability of a cell are taken on the way.
     """
-    frame = first
-    for step in range(steps):
-        kept = [f"sum(if(stays, p_{k}, null)) AS p_{k}" for k in range(step + 1)]
-        moved = f"sum(p_{step} * prob) AS p_{step + 1}"
-        frame = (
-            moves.join(frame.hint("shuffle_hash"), "from_no")
-            .groupBy(F.col("to_no").alias("from_no"))
-            .agg(*[F.expr(text) for text in (*kept, moved)])
+
+    def __init__(self, start: DataFrame, matrix: DataFrame, broadcast_rows: int) -> None:
+        start = store(start.select("cell_no", F.col("p").cast("double")))
+        matrix = store(matrix.select("from_no", "to_no", "prob", F.lit(False).alias("stays")))
+        known = store(
+            start.select("cell_no")
+            .union(matrix.select("from_no"))
+            .union(matrix.select("to_no"))
+            .distinct()
+        )
+        cells = known.count()
+        self.step = _broadcast_step if cells <= broadcast_rows else _shuffled_step
+        stay = known.select(
+            F.col("cell_no").alias("from_no"),
+            F.col("cell_no").alias("to_no"),
+            F.lit(0.0).alias("prob"),
+            F.lit(True).alias("stays"),
+        )
+        moves = matrix.unionByName(stay)
+        if cells <= broadcast_rows:
+            width = 1 + (matrix.count() + cells) // ROWS_PER_LOOP_TASK
+            moves = moves.repartition(width, "to_no")
+        else:
+            moves = moves.repartition("from_no")
+        self.moves = moves.persist()
+        self.frame = store(
+            known.join(start, "cell_no", "left").select(
+                F.col("cell_no").alias("from_no"),
+                F.coalesce("p", F.lit(0.0)).alias("peak"),
+                F.coalesce("p", F.lit(0.0)).alias("p_0"),
+            )
         )
-    return frame
+
+    def advance(self, steps: int) -> DataFrame:
+        """The stored columns p_0..p_steps; the last is the next block's p_0."""
+        frame = self.frame
+        for step in range(steps):
+            columns = ["peak", *(f"p_{k}" for k in range(step + 1))]
+            carried = [f"max(if(stays, {c}, null)) AS {c}" for c in columns]
+            frame = self.step(frame, self.moves, f"sum(p_{step} * prob) AS p_{step + 1}", carried)
+        peak = F.greatest("peak", *(F.col(f"p_{k}") for k in range(1, steps + 1)))
+        block = store(frame.withColumn("peak", peak))
+        self.frame = block.select("from_no", "peak", F.col(f"p_{steps}").alias("p_0"))
+        return block
+
+    def close(self) -> None:
+        self.moves.unpersist()
+
+
+def _distances(block: DataFrame, steps: int) -> list[float]:
+    """The total change at every step of a block, as one row of sums."""
+    changes = [F.sum(F.abs(F.col(f"p_{k}") - F.col(f"p_{k - 1}"))) for k in range(1, steps + 1)]
+    return [0.0 if d is None else d for d in block.agg(*changes).first()]
+
+
+def _listed(block: DataFrame, first: int, steps: list[int]) -> DataFrame:
+    """Rows (step, cell_no, p, change) of some columns of a block that begins at ``first``."""
+    entries = [
+        F.struct(
+            F.lit(first + k).alias("step"),
+            F.col(f"p_{k}").alias("p"),
+            (F.abs(F.col(f"p_{k}") - F.col(f"p_{k - 1}")) if k else F.lit(None).cast("double")).alias(
+                "change"
+            ),
+        )
+        for k in steps
+    ]
+    rows = block.select(F.col("from_no").alias("cell_no"), F.inline(F.array(*entries)))
+    return rows.select("step", "cell_no", "p", "change")
+
+
+def _evolve(
+    start: DataFrame,
+    matrix: DataFrame,
+    rows: int,
+    every: int,
+    broadcast_rows: int,
+    tolerance: float | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """All (step, cell_no, p, change), and (cell_no, peak) of the cells.
+
+    With a ``tolerance`` the step whose total change is not above it is the last.
+    """
+    evolution = _Evolution(start, matrix, broadcast_rows)
+    first = evolution.frame
+    parts = [_listed(first, 0, [0])]
+    done = 0
+    while done < rows - 1:
+        steps = min(every, rows - 1 - done)
+        block = evolution.advance(steps)
+        kept = list(range(1, steps + 1))
+        if tolerance is not None:
+            settled = [k for k, d in zip(kept, _distances(block, steps)) if d <= tolerance]
+            if settled:
+                kept = kept[: settled[0]]
+                peak = F.greatest(*(F.col(f"p_{k}") for k in range(settled[0] + 1)), first["peak"])
+                seen = block.drop("peak").join(first.select("from_no", "peak"), "from_no")
+                evolution.frame = store(seen.select("from_no", peak.alias("peak")))
+                parts.append(_listed(block, done, kept))
+                break
+        parts.append(_listed(block, done, kept))
+        first = evolution.frame
+        done += steps
+    evolution.close()
+    peaks = evolution.frame.select(F.col("from_no").alias("cell_no"), "peak")
+    return reduce(DataFrame.unionByName, parts), peaks
 
 
 def propagate_all(
-    start: DataFrame, matrix: DataFrame, rows: int, every: int = PROPAGATE_STEPS_PER_CHECKPOINT
+    start: DataFrame,
+    matrix: DataFrame,
+    rows: int,
+    every: int = PROPAGATE_STEPS_PER_CHECKPOINT,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """v, vP, ... as (step, cell_no, p): ``rows`` steps, zeros included.
 
     A cell without outgoing moves passes nothing on, so its mass leaves.
+    ``broadcast_rows`` changes the plan only, see ``_Evolution``.
     """
-    spark = matrix.sparkSession
-    loop = loop_session(spark)
-    start = store(start.select("cell_no", F.col("p").cast("double")), loop)
-    matrix = store(matrix.select("from_no", "to_no", "prob", F.lit(False).alias("stays")), loop)
-    width = size_shuffles(loop, matrix.count())
-    known = (
-        start.select("cell_no")
-        .union(matrix.select("from_no"))
-        .union(matrix.select("to_no"))
-        .distinct()
-    )
-    stay = known.select(
-        F.col("cell_no").alias("from_no"),
-        F.col("cell_no").alias("to_no"),
-        F.lit(0.0).alias("prob"),
-        F.lit(True).alias("stays"),
-    )
-    moves = matrix.unionByName(stay).repartition(width, "from_no").persist()
-    frame = cut_lineage(
-        known.join(start, "cell_no", "left").select(
-            F.col("cell_no").alias("from_no"), F.coalesce("p", F.lit(0.0)).alias("p_0")
-        )
-    )
-    parts = []
-    done = 0
-    while True:
-        steps = min(every, rows - 1 - done)
-        if steps:
-            frame = cut_lineage(_block(frame, moves, steps))
-        # The last column of a block is the first of the next one.
-        final = done + steps >= rows - 1
-        listed = range(steps + 1 if final else steps)
-        values = F.array(
-            *[
-                F.struct(F.lit(done + k).alias("step"), F.col(f"p_{k}").alias("p"))
-                for k in listed
-            ]
-        )
-        listing = frame.select(F.col("from_no").alias("cell_no"), F.inline(values))
-        parts.append(listing.select("step", "cell_no", "p"))
-        done += steps
-        if final:
-            break
-        frame = frame.select("from_no", F.col(f"p_{steps}").alias("p_0"))
-    result = store(reduce(DataFrame.unionByName, parts), spark)
-    moves.unpersist()
-    return result
+    return _evolve(start, matrix, rows, every, broadcast_rows)[0].drop("change")
 
 
 def propagate(
-    start: DataFrame, matrix: DataFrame, rows: int, every: int = PROPAGATE_STEPS_PER_CHECKPOINT
+    start: DataFrame,
+    matrix: DataFrame,
+    rows: int,
+    every: int = PROPAGATE_STEPS_PER_CHECKPOINT,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """v, vP, ... as (step, cell_no, p): ``rows`` steps, without zeros."""
-    return propagate_all(start, matrix, rows, every).filter(F.col("p") != 0)
+    return propagate_all(start, matrix, rows, every, broadcast_rows).filter(F.col("p") != 0)
 
 
 def chain_phases(
@@ -155,19 +235,21 @@ def chain_phases(
 
 
 def convergence_trace(
-    start: DataFrame, matrix: DataFrame, rows: int, every: int = PROPAGATE_STEPS_PER_CHECKPOINT
+    start: DataFrame,
+    matrix: DataFrame,
+    rows: int,
+    every: int = PROPAGATE_STEPS_PER_CHECKPOINT,
+    tolerance: float | None = None,
 ) -> DataFrame:
     """Every step of every cell that is non-zero at some step, with ``change``.
 
-    ``change`` is how far the probability moved since the step before.
+    ``change`` is how far the probability moved since the step before. With a
+    ``tolerance`` the trace ends at the first step whose total change is not above it.
     """
-    cell = Window.partitionBy("cell_no")
-    return (
-        propagate_all(start, matrix, rows, every)
-        .withColumn("_peak", F.max("p").over(cell))
-        .withColumn("change", F.abs(F.col("p") - F.lag("p").over(cell.orderBy("step"))))
-        .filter(F.col("_peak") != 0)
-        .select("step", "cell_no", "p", "change")
+    steps, peaks = _evolve(start, matrix, rows, every, BROADCAST_ROWS, tolerance)
+    visited = peaks.filter("peak > 0").select("cell_no")
+    return lookup_join(steps, visited, ["cell_no"], "left_semi").select(
+        "step", "cell_no", "p", "change"
     )
 
 

@@ -15,9 +15,8 @@ SALTS = 16
 HOT_USER_DAY_ROWS = 1_000_000
 # Tables below this many rows may be numbered through one sorted partition.
 ONE_PARTITION_ROWS = 1_000_000
-# Iterative jobs cut their lineage after this many steps. A step of a walk is a
-# lookup and makes long chains; a step of a propagation is a shuffle.
+# Iterative jobs store a table after this many steps.
 WALK_STEPS_PER_CHECKPOINT = 20
-PROPAGATE_STEPS_PER_CHECKPOINT = 4
+PROPAGATE_STEPS_PER_CHECKPOINT = 5
 # Rows of the matrix that one task of an iterative job handles.
 ROWS_PER_LOOP_TASK = 50_000
