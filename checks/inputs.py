@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from trackweave import Network
 from trackweave.lineage import store
 from trackweave.operators import normalize_observations
+from trackweave.plans import StoredTrajectory, store_trajectory
+from trackweave.settings import HOT_USER_DAY_ROWS
 
 USERS_PER_DISTRICT = 50
 
 _antennas: dict[tuple[str, str], DataFrame] = {}
 _networks: dict[tuple[str, str], Network] = {}
+_trajectories: dict[tuple, StoredTrajectory] = {}
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,3 +141,15 @@ def network(spark: SparkSession, sf_dir: str) -> Network:
     if key not in _networks:
         _networks[key] = Network(cells(spark, sf_dir), adjacency(spark, sf_dir))
     return _networks[key]
+
+
+def stored_trajectory(
+    spark: SparkSession, sf_dir: str, hot_rows: int | None = HOT_USER_DAY_ROWS
+) -> StoredTrajectory:
+    """The observations by user-day, stored once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, hot_rows)
+    if key not in _trajectories:
+        _trajectories[key] = store_trajectory(
+            observations(spark, sf_dir), network(spark, sf_dir), hot_rows
+        )
+    return _trajectories[key]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from trackweave.settings import OD_HORIZON_SECONDS, RING_WEIGHTS
 
 from .inputs import USERS_PER_DISTRICT
-from .queries import PHASE_ROWS, PROPAGATE_ROWS, RANDOM_STEPS, SLOT_1, SLOT_2, WALK_STEPS
+from .queries import PHASE_ROWS, PROPAGATE_ROWS, RANDOM_STEPS, SHUFFLED_ROWS, SLOT_1, SLOT_2, WALK_STEPS
 
 _W = RING_WEIGHTS
 
@@ -198,18 +198,24 @@ walk AS (
   JOIN cdf c ON c.from_no = w.cell_no AND w.r > c.lo AND w.r <= c.hi
 )"""
 
+_SEQUENCE = """
+seq AS MATERIALIZED (
+  SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts) AS INTEGER) AS i, cell_no
+  FROM traj
+)"""
+
 _STEP_MEANS = """
 step_means AS MATERIALIZED (
   SELECT w.i, l.link_no AS cell_no, sum(l.prop) / any_value(t.n) AS p
-  FROM walk w JOIN links1 l USING (cell_no)
-  JOIN (SELECT i, count(*) AS n FROM walk GROUP BY i) t ON t.i = w.i
+  FROM seq w JOIN links1 l USING (cell_no)
+  JOIN (SELECT i, count(*) AS n FROM seq GROUP BY i) t ON t.i = w.i
   GROUP BY w.i, l.link_no
 )"""
 
-_RUNNING = f"""
+_RUNNING = """
 running AS (
-  SELECT CAST(g.i AS INTEGER) AS i, m.cell_no, sum(m.p) / g.i AS p
-  FROM range(1, {WALK_STEPS + 2}) g(i) JOIN step_means m ON m.i <= g.i GROUP BY g.i, m.cell_no
+  SELECT g.i, m.cell_no, sum(m.p) / g.i AS p
+  FROM (SELECT DISTINCT i FROM seq) g JOIN step_means m ON m.i <= g.i GROUP BY g.i, m.cell_no
 )"""
 
 
@@ -220,7 +226,8 @@ def _sql(select: str, *parts: str) -> str:
 _LAG = _lagged("lagged")
 _TM1 = (_ring(1), _LAG, _tm("tm", "lagged", 1))
 _WALKS = (*_TM1, _first("first_rows"), _CDF, _WALK)
-_MEANS = (*_WALKS, _STEP_MEANS)
+_SEQ = (_ring(1), _SEQUENCE)
+_MEANS = (*_SEQ, _STEP_MEANS)
 _UPDATES = (
     _ring(1),
     _LAG,
@@ -334,8 +341,8 @@ GROUP BY ALL""",
     "start_cell_lookup": _sql("SELECT user_id, cell_no FROM first_rows", _first("first_rows")),
     "add_ring_noise": _sql(
         """SELECT user_id, i, cell_no, neighbor_id, round(prop + 5e-12, 9) AS prop
-FROM walk JOIN cells USING (cell_no) JOIN ring1 USING (cell_id)""",
-        *_WALKS,
+FROM seq JOIN cells USING (cell_no) JOIN ring1 USING (cell_id)""",
+        *_SEQ,
     ),
     "deterministic_states": _sql(
         "SELECT user_id, epoch_us(ts) AS ts_us, weekday, hour, cell_id AS neighbor_id, "
@@ -376,9 +383,10 @@ FROM start_v""",
     "lag_state_by_day": _sql(f"SELECT {_TRAJ_COLUMNS}, prev_cell_no FROM lagged", _LAG),
     "lag_state_by_step": _sql(
         "SELECT user_id, i, cell_no, lag(cell_no) OVER (PARTITION BY user_id ORDER BY i) "
-        "AS prev_cell_no FROM walk",
-        *_WALKS,
+        "AS prev_cell_no FROM seq",
+        *_SEQ,
     ),
+    "number_steps": _sql("SELECT user_id, i, cell_no FROM seq", *_SEQ),
     "od_destination": _sql(f"SELECT {_TRAJ_COLUMNS}, dest_cell_no FROM trips", _DESTINATIONS),
     "row_normalize": _sql(_MATRIX_ROWS, *_TM1),
     "first_observation": _sql(f"SELECT {_TRAJ_COLUMNS} FROM first_rows", _first("first_rows")),
@@ -407,17 +415,39 @@ FROM start_v""",
         _MATRIX_ROWS, _ring(1), _lagged("lagged", _slot(SLOT_1)), _tm("tm", "lagged", 1)
     ),
     "transition_matrix_walks": _sql(
-        _MATRIX_ROWS.replace("FROM tm", "FROM walk_tm"),
-        *_WALKS,
+        _MATRIX_ROWS,
+        *_SEQ,
         """
-walk_pairs AS (
-  SELECT *, lag(cell_no) OVER (PARTITION BY user_id ORDER BY i) AS prev_cell_no FROM walk
+step_pairs AS (
+  SELECT *, lag(cell_no) OVER (PARTITION BY user_id ORDER BY i) AS prev_cell_no FROM seq
 )""",
-        _matrix("walk_tm", "walk_pairs", 1),
+        _matrix("tm", "step_pairs", 1, where="WHERE p.prev_cell_no IS NOT NULL"),
+    ),
+    "transition_matrix_by_second": _sql(_MATRIX_ROWS, *_TM1),
+    "transition_matrix_raw": _sql(_MATRIX_ROWS, *_TM1),
+    "od_matrix_by_second": _sql(
+        _MATRIX_ROWS,
+        _ring(1),
+        _DESTINATIONS,
+        _matrix("tm", "trips", 1, frm="cell_no", to="dest_cell_no"),
+    ),
+    "slot_matrices": _sql(
+        _MATRIX_ROWS.replace("SELECT", "SELECT 0 AS slot,").replace("FROM tm", "FROM tm_1")
+        + " UNION ALL "
+        + _MATRIX_ROWS.replace("SELECT", "SELECT 1 AS slot,").replace("FROM tm", "FROM tm_2"),
+        _ring(1),
+        _lagged("lagged_1", _slot(SLOT_1)),
+        _lagged("lagged_2", _slot(SLOT_2)),
+        _tm("tm_1", "lagged_1", 1),
+        _tm("tm_2", "lagged_2", 1),
     ),
     "matrix_coo": _sql("SELECT from_no, to_no, round(prob + 5e-12, 9) AS prob FROM tm", *_TM1),
     "to_vector": _sql("SELECT cell_no, round(p + 5e-12, 9) AS p FROM start_v", *_START),
     "propagate": _sql("SELECT step, cell_no, round(p + 5e-12, 9) AS p FROM trace", *_PROPAGATE),
+    "propagate_shuffled": _sql(
+        f"SELECT step, cell_no, round(p + 5e-12, 9) AS p FROM trace WHERE step < {SHUFFLED_ROWS}",
+        *_PROPAGATE,
+    ),
     "chain_phases": _sql(
         "SELECT phase, step, cell_no, round(p + 5e-12, 9) AS p FROM chain", *_CHAIN
     ),
@@ -457,14 +487,14 @@ LEFT JOIN cdf c ON c.from_no = f.cell_no AND f.r > c.lo AND f.r <= c.hi""",
         *_WALKS,
     ),
     "last_step_distribution": _sql(
-        f"SELECT cell_no, round(p + 5e-12, 9) AS p FROM running WHERE i = {WALK_STEPS + 1}",
+        "SELECT cell_no, round(p + 5e-12, 9) AS p FROM running WHERE i = (SELECT max(i) FROM seq)",
         *_MEANS,
         _RUNNING,
     ),
     "walk_vectors": _sql(
         """SELECT user_id, i, neighbor_id AS cell_id, round(prop + 5e-12, 9) AS prop
-FROM walk JOIN cells USING (cell_no) JOIN ring1 USING (cell_id)""",
-        *_WALKS,
+FROM seq JOIN cells USING (cell_no) JOIN ring1 USING (cell_id)""",
+        *_SEQ,
     ),
     "random_states": _sql(
         f"""SELECT user_id, CAST(i AS INTEGER) AS i,

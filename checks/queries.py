@@ -10,13 +10,14 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave import operators as ops
 from trackweave import plans, sources
 from trackweave.functions import outer_product, sort_states, zip_states
 from trackweave.lineage import shared_folder
+from trackweave.settings import HOT_USER_DAY_ROWS
 
 from . import inputs
 
@@ -24,8 +25,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SLOT_1 = (1, 5, 6, 12)
 SLOT_2 = (1, 5, 12, 18)
-PROPAGATE_ROWS = 8
-PHASE_ROWS = (6, 4)
+# The lengths of the propagations.
+PROPAGATE_ROWS = 150
+PHASE_ROWS = (150, 50)
+# Steps of the propagation in its form for long vectors.
+SHUFFLED_ROWS = 12
+# Steps of the drawn walks.
 WALK_STEPS = 6
 RANDOM_STEPS = 12
 
@@ -60,9 +65,7 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _trajectory(spark: SparkSession, sf_dir: str, order: int = 0) -> DataFrame:
-    return plans.trajectory(
-        inputs.observations(spark, sf_dir), inputs.network(spark, sf_dir), order
-    )
+    return inputs.stored_trajectory(spark, sf_dir).rows(order)
 
 
 def _states(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
@@ -81,12 +84,25 @@ def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.explode_updates(_state_pairs(spark, sf_dir, 1), "prev_states", "states")
 
 
-def _matrix(spark: SparkSession, sf_dir: str, order: int = 0, slot=None) -> DataFrame:
-    return plans.transition_matrix(
-        inputs.observations(spark, sf_dir), inputs.network(spark, sf_dir), order, slot
+def _counts_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same-day pairs of cell ids, counted."""
+    lagged = ops.lag_state_by_day(_trajectory(spark, sf_dir, 1), state="cell_id")
+    return ops.count_pairs(
+        ops.drop_incomplete(lagged), "prev_cell_id", "cell_id", names=("from_cell", "to_cell")
     )
 
 
+def _totals_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights between cell ids: pairs are counted, then spread over the rings of both ends."""
+    distribution = inputs.network(spark, sf_dir).distribution(1)
+    return ops.spread_pairs_by_id(_counts_by_id(spark, sf_dir), distribution)
+
+
+def _matrix(spark: SparkSession, sf_dir: str, order: int = 0, slot=None, hot_rows=HOT_USER_DAY_ROWS) -> DataFrame:
+    stored = inputs.stored_trajectory(spark, sf_dir, hot_rows)
+    return plans.transition_matrix(stored, stored.network, order, slot)
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.records_from_adjacency(inputs.adjacency(spark, sf_dir))
 
@@ -102,9 +118,8 @@ def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _start_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.starting_distribution(
-        inputs.observations(spark, sf_dir), inputs.network(spark, sf_dir), 1
-    )
+    stored = inputs.stored_trajectory(spark, sf_dir)
+    return plans.starting_distribution(stored, stored.network, 1)
 
 
 def _walks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,15 +128,23 @@ def _walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's observed positions in order, as (user_id, i, cell_no)."""
+    return plans.sequence(inputs.stored_trajectory(spark, sf_dir))
+
+
+def _last_step(rows: DataFrame) -> int:
+    return rows.agg(F.max("i")).first()[0]
+
+
 def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = inputs.network(spark, sf_dir)
-    rows = ops.walk_to_rows(_walks(spark, sf_dir))
-    return ops.add_ring_noise(rows, network.cells, network.states(1))
+    return ops.add_ring_noise(_sequence(spark, sf_dir), network.cells, network.states(1))
 
 
 def _step_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = inputs.network(spark, sf_dir)
-    return ops.step_mean(ops.walk_to_rows(_walks(spark, sf_dir)), network.links(1))
+    return ops.step_mean(_sequence(spark, sf_dir), network.links(1))
 
 
 def _state_rows(df: DataFrame, *keys: str) -> DataFrame:
@@ -155,16 +178,21 @@ def read_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def read_ring_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_cell = Window.partitionBy("ring_order").orderBy("cell_id")
-    numbered = _records(spark, sf_dir).withColumn("at", 2 * F.row_number().over(by_cell) - 1)
-    pair = F.array(
-        F.struct(F.col("at").alias("line_no"), F.concat_ws(" ", "cell_id", "n").alias("value")),
-        F.struct(
-            (F.col("at") + 1).alias("line_no"), F.array_join("members", " ").alias("value")
-        ),
+    """Ring files as they come, a folder per order; every file has its header line."""
+    records = _records(spark, sf_dir)
+    record = F.concat(
+        F.concat_ws(" ", "cell_id", "n"), F.lit("\n"), F.array_join("members", " ")
     )
-    lines = numbered.select("ring_order", F.lit("ring").alias("file"), F.inline(pair))
-    return sources.adjacency_from_records(sources.parse_ring_lines(lines))
+    # The number of a row is a multiple of 2^33 where its file begins.
+    begins = F.monotonically_increasing_id() % (1 << 33) == 0
+    header = F.when(begins, F.lit("0 0 header\n")).otherwise("")
+    folders = []
+    for order in ops.ORDERS:
+        ring = records.filter(F.col("ring_order") == order).repartition(4, "cell_id")
+        ordered = ring.sortWithinPartitions("cell_id").select(F.concat(header, record))
+        folders.append(_folder(spark))
+        ordered.write.text(folders[-1])
+    return sources.read_ring_adjacency(spark, folders)
 
 
 @query
@@ -289,7 +317,7 @@ def probabilistic_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def simplify_matrix_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = ops.collect_pairs(_updates(spark, sf_dir))
+    totals = _totals_by_id(spark, sf_dir)
     cells = inputs.network(spark, sf_dir).cells
     return _rounded(ops.simplify_matrix_ids(totals, cells), "weight")
 
@@ -372,7 +400,7 @@ def walk_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def collect_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ops.collect_pairs(_updates(spark, sf_dir)), "weight")
+    return _rounded(_totals_by_id(spark, sf_dir), "weight")
 
 
 @query
@@ -402,7 +430,12 @@ def lag_state_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lag_state_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.lag_state_by_step(ops.walk_to_rows(_walks(spark, sf_dir)))
+    return ops.lag_state_by_step(_sequence(spark, sf_dir))
+
+
+@query
+def number_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sequence(spark, sf_dir)
 
 
 @query
@@ -412,7 +445,7 @@ def od_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def row_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = ops.collect_pairs(_updates(spark, sf_dir))
+    totals = _totals_by_id(spark, sf_dir)
     cells = inputs.network(spark, sf_dir).cells
     simple = ops.simplify_matrix_ids(totals, cells)
     return _rounded(ops.row_normalize(simple), "weight", "prob")
@@ -430,8 +463,8 @@ def arbitrary_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = ops.running_mean(_step_means(spark, sf_dir), WALK_STEPS + 1)
-    return _rounded(means, "p")
+    last = _last_step(_sequence(spark, sf_dir))
+    return _rounded(ops.running_mean(_step_means(spark, sf_dir), last), "p")
 
 
 # --- matrices ----------------------------------------------------------------
@@ -455,9 +488,36 @@ def transition_matrix_gis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _od(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.od_matrix(
+    stored = inputs.stored_trajectory(spark, sf_dir)
+    return plans.od_matrix(stored, stored.network, 1)
+
+
+@query
+def od_matrix_by_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every user-day of two rows or more taken second by second."""
+    stored = inputs.stored_trajectory(spark, sf_dir, 1)
+    return _rounded(plans.od_matrix(stored, stored.network, 1), "weight", "prob")
+
+
+@query
+def transition_matrix_by_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_matrix(spark, sf_dir, 1, hot_rows=1), "weight", "prob")
+
+
+@query
+def transition_matrix_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw observations, without storing them first."""
+    matrix = plans.transition_matrix(
         inputs.observations(spark, sf_dir), inputs.network(spark, sf_dir), 1
     )
+    return _rounded(matrix, "weight", "prob")
+
+
+@query
+def slot_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrices of two slots from one scan."""
+    stored = inputs.stored_trajectory(spark, sf_dir)
+    return _rounded(plans.slot_matrices(stored, [SLOT_1, SLOT_2], 1), "weight", "prob")
 
 
 @query
@@ -478,8 +538,8 @@ def transition_matrix_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def transition_matrix_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walks = _walks(spark, sf_dir)
-    matrix = plans.transition_matrix_walks(walks, inputs.network(spark, sf_dir))
+    network = inputs.network(spark, sf_dir)
+    matrix = plans.transition_matrix_steps(_sequence(spark, sf_dir), network)
     return _rounded(matrix, "weight", "prob")
 
 
@@ -503,13 +563,24 @@ def propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ops.propagate(vector, matrix, PROPAGATE_ROWS), "p")
 
 
+@query
+def propagate_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for vectors that are too long to broadcast."""
+    vector, matrix = _start_vector(spark, sf_dir), _matrix(spark, sf_dir, 1)
+    steps = ops.propagate(vector, matrix, SHUFFLED_ROWS, broadcast_rows=0)
+    return _rounded(steps, "p")
+
+
+_chains: dict[tuple[str, str], DataFrame] = {}
+
+
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.slot_phases(
-        inputs.observations(spark, sf_dir),
-        inputs.network(spark, sf_dir),
-        [SLOT_1, SLOT_2],
-        list(PHASE_ROWS),
-    )
+    """Both phases, computed once per session; their steps are stored tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _chains:
+        stored = inputs.stored_trajectory(spark, sf_dir)
+        _chains[key] = plans.slot_phases(stored, stored.network, [SLOT_1, SLOT_2], list(PHASE_ROWS))
+    return _chains[key]
 
 
 @query
@@ -552,8 +623,8 @@ def synthesize_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def last_step_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = ops.running_mean(_step_means(spark, sf_dir), WALK_STEPS + 1)
-    return _rounded(ops.last_step_distribution(means, WALK_STEPS + 1), "p")
+    last = _last_step(_sequence(spark, sf_dir))
+    return _rounded(ops.running_mean_at(_step_means(spark, sf_dir), last), "p")
 
 
 @query

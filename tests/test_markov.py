@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from trackweave import operators as ops
+from trackweave.operators import markov
 
 
 def frame(spark, dense):
@@ -100,3 +101,69 @@ def test_users_without_any_known_cell_do_not_count(spark):
     links = spark.createDataFrame([(1, 1, 0.5), (1, 5, 0.25)], "cell_no int, link_no int, prop double")
     got = {r.cell_no: r.p for r in ops.initial_distribution(starts, links).collect()}
     assert got == {1: 0.5, 5: 0.25}
+
+
+@pytest.mark.parametrize("rows, every", [(1, 5), (6, 2), (9, 5)])
+def test_broadcast_and_shuffled_steps_agree(spark, chain, rows, every):
+    start, matrix = chain
+    for broadcast_rows in (0, 100):
+        steps = ops.propagate(
+            vector(spark, start), frame(spark, matrix), rows, every, broadcast_rows=broadcast_rows
+        )
+        np.testing.assert_allclose(dense_steps(steps, rows), powers(start, matrix, rows), atol=1e-14)
+
+
+def test_a_propagation_leaves_the_session_alone(spark, chain):
+    start, matrix = chain
+    names = ("spark.sql.ansi.enabled", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    steps = ops.propagate(vector(spark, start), frame(spark, matrix), 3)
+    assert steps.sparkSession is spark or steps.sparkSession == spark
+    assert [spark.conf.get(n) for n in names] == before
+
+
+def test_steps_do_not_shuffle_the_matrix(spark, chain):
+    start, matrix = chain
+    evolution = markov._Evolution(vector(spark, start), frame(spark, matrix), 100)
+    columns = ["max(if(stays, peak, null)) AS peak", "max(if(stays, p_0, null)) AS p_0"]
+    step = evolution.step(evolution.frame, evolution.moves, "sum(p_0 * prob) AS p_1", columns)
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    # What the cached matrix was made of stands below the scan of the cache.
+    above = plan.split("InMemoryRelation")[0]
+    assert "hashpartitioning" not in above and "SinglePartition" not in above
+    assert "BroadcastHashJoin" in above
+    evolution.close()
+
+
+@pytest.mark.parametrize("every", [2, 5])
+def test_trace_ends_when_it_has_settled(spark, every):
+    matrix = np.array([[0.5, 0.5, 0], [0.25, 0.5, 0.25], [0, 0.5, 0.5]])
+    start = np.array([1.0, 0, 0])
+    dense = powers(start, matrix, 40)
+    distances = np.abs(np.diff(dense, axis=0)).sum(axis=1)
+    last = int(np.argmax(distances <= 0.01)) + 1
+    trace = ops.convergence_trace(vector(spark, start), frame(spark, matrix), 40, every, 0.01).collect()
+    assert max(r.step for r in trace) == last
+    assert len(trace) == 3 * (last + 1)
+    for r in trace:
+        assert r.p == pytest.approx(dense[r.step, r.cell_no - 1])
+        if r.step:
+            assert r.change == pytest.approx(abs(dense[r.step, r.cell_no - 1] - dense[r.step - 1, r.cell_no - 1]))
+
+
+def test_early_stop_lists_visited_cells_only(spark):
+    matrix = spark.createDataFrame([(1, 1, 1.0), (7, 8, 1.0)], "from_no int, to_no int, prob double")
+    trace = ops.convergence_trace(vector(spark, [1.0]), matrix, 9, 3, 0.0).collect()
+    assert sorted(map(tuple, trace)) == [(0, 1, 1.0, None), (1, 1, 1.0, 0.0)]
+
+
+def test_rows_of_the_start_do_not_pass_one_task(spark):
+    starts = spark.range(100).selectExpr("id AS user_id", "cast(id % 9 AS int) AS cell_no")
+    links = spark.createDataFrame([(c, c, 1.0) for c in range(5)], "cell_no int, link_no int, prop double")
+    for chosen, users in ((None, 100), (links, 56)):
+        vector_ = ops.initial_distribution(starts, chosen)
+        plan = vector_._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan
+        shares = {r.cell_no: r.p for r in vector_.collect()}
+        assert shares[0] == pytest.approx(12 / users)
+        assert sum(shares.values()) == pytest.approx(1)

@@ -80,7 +80,67 @@ def test_columns_are_matched_by_name(spark, tmp_path):
     text_ids = T.StructType([T.StructField("uid", T.StringType()), *sources.OBSERVATION_FILE.fields[1:]])
     row = sources.read_observations(spark, path, text_ids).first()
     assert (row.uid, row.xtr10, row.ytr10, row.tidenhnum) == ("ab12f", 95.0, 65.0, None)
+    assert sources.read_observations(spark, path).first() == row
     with pytest.raises(Exception, match="uid is not bigint: ab12f"):
-        sources.read_observations(spark, path).collect()
+        sources.read_observations(spark, path, sources.OBSERVATION_FILE).collect()
     with pytest.raises(ValueError, match="no column locid"):
         sources.read_cells(spark, path)
+
+
+def test_files_with_other_orders_of_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("locid;xtr10;ytr10\n1;2;3\n")
+    (tmp_path / "b.csv").write_text("ytr10;xtr10;locid\n4;3;7\n")
+    (tmp_path / "c.csv").write_text("more;ytr10;locid;xtr10\nx;6;8;5\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows = sources.read_cells(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, rows)) == [("1", 2.0, 3.0), ("7", 3.0, 4.0), ("8", 5.0, 6.0)]
+    (tmp_path / "d.csv").write_text("ytr10;locid\n4;7\n")
+    with pytest.raises(ValueError, match="no column xtr10 in .*d.csv"):
+        sources.read_cells(spark, str(tmp_path))
+
+
+def test_one_hashed_id_makes_all_ids_text(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(OBSERVATIONS + "8;2024-01-01 08:00:07;8;95;65\n")
+    (tmp_path / "b.csv").write_text("uid;ytr10;xtr10;tidenhnum;usage_dttm\n;65;95;8;2024-01-01 08:00:07\nf1;65;95;8;2024-01-01 09:00:07\n")
+    rows = sources.read_observations(spark, str(tmp_path)).collect()
+    assert sorted((r.uid or "", r.xtr10, r.ytr10) for r in rows) == [("", 95.0, 65.0), ("8", 95.0, 65.0), ("f1", 95.0, 65.0)]
+
+
+def test_large_files_have_their_header_in_the_first_block(spark, tmp_path):
+    lines = "".join(f"{k};{k}.5;{-k}\n" for k in range(2000))
+    (tmp_path / "a.csv").write_text("locid;xtr10;ytr10\n" + lines)
+    (tmp_path / "b.csv").write_text("locid;ytr10;xtr10\n" + lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = sources.read_cells(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    straight = [(str(k), k + 0.5, float(-k)) for k in range(2000)]
+    crossed = [(str(k), float(-k), k + 0.5) for k in range(2000)]
+    assert sorted(map(tuple, rows)) == sorted(straight + crossed)
+
+
+@pytest.mark.parametrize("record", ["A 3\nB", "A 0\nB", "A\nB", "A x\nB", "A 1\n"])
+def test_counts_of_ring_records_are_checked(spark, tmp_path, record):
+    (tmp_path / "ring.txt").write_text(f"header\n{record}\nC 1\nA\n")
+    with pytest.raises(Exception, match="members do not match the record A"):
+        sources.read_ring_adjacency(spark, [str(tmp_path / "ring.txt")]).collect()
+
+
+def test_ring_files_of_several_blocks(spark, tmp_path):
+    cells = [f"c{k}" for k in range(900)]
+    text = "header\n" + "".join(
+        f"{c} {k % 3}\n{' '.join(cells[k + 1 : k + 1 + k % 3])}\n" for k, c in enumerate(cells[:-3])
+    )
+    (tmp_path / "ring.txt").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        rows = sources.read_ring_adjacency(spark, [str(tmp_path / "ring.txt")]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(c, c, 0) for c in cells[:-3]] + [
+        (c, n, 1) for k, c in enumerate(cells[:-3]) for n in cells[k + 1 : k + 1 + k % 3]
+    ]
+    assert sorted(map(tuple, rows)) == sorted(want)

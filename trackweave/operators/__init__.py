@@ -23,6 +23,7 @@ from .matrix import (
     row_normalize,
     simplify_matrix_ids,
     spread_pairs,
+    spread_pairs_by_id,
 )
 from .observations import (
     dedup_observations,
@@ -30,20 +31,22 @@ from .observations import (
     filter_time_slot,
     normalize_observations,
     sort_observations,
+    tag_slots,
 )
 from .pairs import (
     hot_user_days,
     lag_state_by_day,
     lag_state_by_second,
-    lag_state_by_step,
     od_destination,
     od_destination_by_second,
     split_user_days,
     with_day,
 )
 from .rings import (
+    ORDERS,
     align_ring_counts,
     align_ring_members,
+    complete_records,
     join_ring_parts,
     number_distribution,
     records_from_adjacency,
@@ -53,6 +56,7 @@ from .rings import (
     ring_states,
     states_from_distribution,
 )
+from .sequences import day_shifts, lag_state_by_step, number_steps
 from .trajectories import (
     deterministic_states,
     explode_states,
@@ -69,6 +73,8 @@ from .walks import (
     next_state_draw,
     random_states,
     running_mean,
+    running_mean_at,
+    running_sums,
     step_mean,
     synthesize_walks,
     transition_cdf,

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut_lineage
-from ..settings import ONE_PARTITION_ROWS
+from ..lineage import store
 from .dimensions import Dimension, lookup_join
 
 
@@ -19,38 +18,32 @@ def normalize_cells(raw: DataFrame) -> DataFrame:
     )
 
 
-def number_cells(cells: DataFrame, one_partition_rows: int = ONE_PARTITION_ROWS) -> DataFrame:
+def number_cells(cells: DataFrame) -> DataFrame:
     """Give the cells numbers 1..N in the order of their ids; no id, no number.
 
-    A table too large to sort in one task is sorted by ranges, numbered within
-    each range and shifted by the rows in the ranges before it.
+    The table is sorted by ranges, numbered within each range and shifted by the rows
+    in the ranges before it, so no task sees more than its range; what passes one
+    window is a row per range.
     """
     order = [
         F.asc_nulls_last(c) for c in ["cell_id", "coord_x", "coord_y"] if c in cells.columns
     ]
-    if cells.count() <= one_partition_rows:
-        number = F.row_number().over(Window.orderBy(*order))
-        return cells.withColumn("cell_no", F.when(F.col("cell_id").isNotNull(), number))
-    ranged = cut_lineage(
-        cells.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    )
+    ranged = store(
+        cells.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_place", F.monotonically_increasing_id())
+    ).withColumn("_part", F.shiftright("_place", 33))
     ends = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         ranged.groupBy("_part")
-        .agg(F.count("*").alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(ends), F.lit(0)).alias("_shift"))
+        .agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+        .select("_part", (F.coalesce(F.sum("_n").over(ends), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     )
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    number = (F.col("_place") + F.col("_shift")).cast("int")
     return (
-        ranged.withColumn("_within", within)
-        .join(shifts, "_part")
-        .withColumn(
-            "cell_no",
-            F.when(
-                F.col("cell_id").isNotNull(), (F.col("_within") + F.col("_shift")).cast("int")
-            ),
-        )
-        .drop("_part", "_within", "_shift")
+        ranged.join(shifts, "_part")
+        .withColumn("cell_no", F.when(F.col("cell_id").isNotNull(), number))
+        .drop("_part", "_place", "_shift")
     )
 
 

@@ -110,6 +110,8 @@ class _Evolution:
         else:
             moves = moves.repartition("from_no")
         self.moves = moves.persist()
+        # Once the cache is filled its partitioning is known, and steps rely on it.
+        self.moves.count()
         self.frame = store(
             known.join(start, "cell_no", "left").select(
                 F.col("cell_no").alias("from_no"),

@@ -14,19 +14,52 @@ def explode_updates(pairs: DataFrame, origin: str, destination: str) -> DataFram
     return pairs.select(F.inline(outer_product(origin, destination)))
 
 
-def collect_pairs(updates: DataFrame, origin: str = "from_cell", destination: str = "to_cell") -> DataFrame:
+def collect_pairs(
+    updates: DataFrame,
+    origin: str = "from_cell",
+    destination: str = "to_cell",
+    within: tuple[str, ...] = (),
+) -> DataFrame:
     """Total weight per (from, to)."""
-    return updates.groupBy(origin, destination).agg(F.sum("weight").alias("weight"))
+    return updates.groupBy(*within, origin, destination).agg(F.sum("weight").alias("weight"))
 
 
-def count_pairs(pairs: DataFrame, origin: str, destination: str) -> DataFrame:
-    """(from_no, to_no, weight) where the weight is the number of pairs."""
-    return pairs.groupBy(F.col(origin).alias("from_no"), F.col(destination).alias("to_no")).agg(
-        F.count("*").cast("double").alias("weight")
+def count_pairs(
+    pairs: DataFrame,
+    origin: str,
+    destination: str,
+    names: tuple[str, str] = ("from_no", "to_no"),
+    within: tuple[str, ...] = (),
+) -> DataFrame:
+    """(from_no, to_no, weight) where the weight is the number of pairs.
+
+    ``names`` are the names of the ends, ``within`` further columns to count by.
+    """
+    ends = [F.col(origin).alias(names[0]), F.col(destination).alias(names[1])]
+    return pairs.groupBy(*within, *ends).agg(F.count("*").cast("double").alias("weight"))
+
+
+def _spread(
+    counts: DataFrame, links: Dimension, cell: str, link: str, ends: tuple[str, str], within: tuple[str, ...]
+) -> DataFrame:
+    """Both ends of counted pairs spread over the links of their cells, one after the other."""
+    first, second = ends
+    origins = Dimension(links.df.withColumnRenamed(cell, first), links.rows)
+    destinations = Dimension(links.df.withColumnRenamed(cell, second), links.rows)
+    product = (F.col("weight") * F.col("prop")).alias("weight")
+    from_spread = lookup_join(counts, origins, [first]).select(
+        *within, F.col(link).alias(first), second, product
+    )
+    summed = collect_pairs(from_spread.repartition(*within, first), first, second, within)
+    both = lookup_join(summed, destinations, [second]).select(
+        *within, first, F.col(link).alias(second), product
     )
+    return collect_pairs(both, first, second, within)
 
 
-def spread_pairs(counts: DataFrame, links: DataFrame | Dimension) -> DataFrame:
+def spread_pairs(
+    counts: DataFrame, links: DataFrame | Dimension, within: tuple[str, ...] = ()
+) -> DataFrame:
     """Spread counted pairs over the ring distributions of both ends.
 
     The state of a row depends on its cell only, so pairs are counted by cell
@@ -35,21 +68,14 @@ def spread_pairs(counts: DataFrame, links: DataFrame | Dimension) -> DataFrame:
     the number of observations. Partitioned by origin once, both sums and a
     later normalisation stay within their partitions.
     """
-    links = measure(links)
-    origins = Dimension(links.df.withColumnRenamed("cell_no", "from_no"), links.rows)
-    destinations = Dimension(links.df.withColumnRenamed("cell_no", "to_no"), links.rows)
-    share = F.sum(F.col("weight") * F.col("prop")).alias("weight")
-    from_spread = (
-        lookup_join(counts, origins, ["from_no"])
-        .select(F.col("link_no").alias("from_no"), "to_no", "weight", "prop")
-        .repartition("from_no")
-        .groupBy("from_no", "to_no")
-        .agg(share)
-    )
-    return (
-        lookup_join(from_spread, destinations, ["to_no"])
-        .groupBy("from_no", F.col("link_no").alias("to_no"))
-        .agg(share)
+    return _spread(counts, measure(links), "cell_no", "link_no", ("from_no", "to_no"), within)
+
+
+def spread_pairs_by_id(counts: DataFrame, distribution: DataFrame | Dimension) -> DataFrame:
+    """The same on cell ids, before cells are numbered: (from_cell, to_cell, weight)
+    from counts with these names and a distribution (cell_id, neighbor_id, prop)."""
+    return _spread(
+        counts, measure(distribution), "cell_id", "neighbor_id", ("from_cell", "to_cell"), ()
     )
 
 
@@ -73,9 +99,9 @@ def simplify_matrix_ids(matrix: DataFrame, cells: DataFrame | Dimension) -> Data
     ).select("from_no", "to_no", "weight")
 
 
-def row_normalize(matrix: DataFrame) -> DataFrame:
+def row_normalize(matrix: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """Add ``prob``: the weight divided by the total of its origin."""
-    row = Window.partitionBy("from_no")
+    row = Window.partitionBy(*within, "from_no")
     return matrix.withColumn("prob", F.col("weight") / F.sum("weight").over(row))
 
 

@@ -56,6 +56,21 @@ def filter_time_slot(
     )
 
 
+def tag_slots(rows: DataFrame, slots: list[tuple[int, int, int, int]]) -> DataFrame:
+    """A row per observation and slot it falls into, with the place of the slot in the
+    list as ``slot``. Slots may overlap; rows outside all of them vanish."""
+    inside = [
+        F.when(
+            F.col("weekday").between(day_begin, day_end)
+            & (F.col("hour") >= hour_begin)
+            & (F.col("hour") < hour_end),
+            F.lit(place),
+        )
+        for place, (day_begin, day_end, hour_begin, hour_end) in enumerate(slots)
+    ]
+    return rows.withColumn("slot", F.explode(F.array_compact(F.array(*inside))))
+
+
 def drop_incomplete(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Drop rows with a null in any of the columns."""
     return rows.na.drop(subset=columns or rows.columns)

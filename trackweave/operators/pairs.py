@@ -50,54 +50,54 @@ def split_user_days(rows: DataFrame, hot: Dimension) -> tuple[DataFrame, DataFra
     return cold, join_null_safe(rows, keys, USER_DAY, "left_semi")
 
 
-def _last_by_second(rows: DataFrame, state: str) -> DataFrame:
+def _last_by_second(rows: DataFrame, state: str, within: tuple[str, ...] = ()) -> DataFrame:
     last = F.max_by(state, F.struct("ts", state)).alias("_last")
-    return rows.groupBy(*USER_SECOND).agg(last)
+    return rows.groupBy(*USER_SECOND, *within).agg(last)
 
 
 def lag_state_by_day(
-    trajectory: DataFrame, state: str = "cell_no", unique_times: bool = False
+    trajectory: DataFrame,
+    state: str = "cell_no",
+    unique_times: bool = False,
+    within: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add ``prev_<state>``: the user's previous state on the same date, if any.
 
     ``unique_times`` promises at most one row per user and instant, so that time
-    alone orders them and rows already sorted by it need no second sort.
+    alone orders them and rows already sorted by it need no second sort. ``within``
+    are columns that have to be equal as well, such as a slot.
     """
     order = ["ts"] if unique_times else ["ts", state]
-    by_day = Window.partitionBy(*USER_DAY).orderBy(*order)
+    by_day = Window.partitionBy(*USER_DAY, *within).orderBy(*order)
     lagged = with_day(trajectory).withColumn(f"prev_{state}", F.lag(state).over(by_day))
     return lagged.drop("_day")
 
 
-def lag_state_by_second(trajectory: DataFrame, state: str = "cell_no") -> DataFrame:
+def lag_state_by_second(
+    trajectory: DataFrame, state: str = "cell_no", within: tuple[str, ...] = ()
+) -> DataFrame:
     """The same for hot user-days.
 
     Rows look back within their second; the first of a second takes the last
     state of the user's previous second that day.
     """
     rows = with_day(trajectory).withColumn("_second", epoch_second("ts"))
-    in_second = Window.partitionBy(*USER_SECOND).orderBy("ts", state)
-    over_seconds = Window.partitionBy(*USER_DAY).orderBy("_second")
-    carried = _last_by_second(rows, state).select(
-        *USER_SECOND, F.lag("_last").over(over_seconds).alias("_carried")
+    in_second = Window.partitionBy(*USER_SECOND, *within).orderBy("ts", state)
+    over_seconds = Window.partitionBy(*USER_DAY, *within).orderBy("_second")
+    carried = _last_by_second(rows, state, within).select(
+        *USER_SECOND, *within, F.lag("_last").over(over_seconds).alias("_carried")
     )
     numbered = rows.withColumn("_row", F.row_number().over(in_second)).withColumn(
         "_within", F.lag(state).over(in_second)
     )
     previous = F.when(F.col("_row") == 1, F.col("_carried")).otherwise(F.col("_within"))
     return (
-        join_null_safe(numbered, carried, USER_SECOND, "inner")
+        join_null_safe(numbered, carried, [*USER_SECOND, *within], "inner")
         .withColumn(f"prev_{state}", previous)
         .drop("_row", "_within", "_carried", "_second", "_day")
     )
 
 
-def lag_state_by_step(walks: DataFrame, state: str = "cell_no") -> DataFrame:
-    """Add ``prev_<state>``: the state one step earlier. A walk has a set length."""
-    by_step = Window.partitionBy("user_id").orderBy("i")
-    return walks.withColumn(f"prev_{state}", F.lag(state).over(by_step))
-
-
 def od_destination(
     trajectory: DataFrame, state: str = "cell_no", horizon: int = OD_HORIZON_SECONDS
 ) -> DataFrame:

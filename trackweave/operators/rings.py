@@ -24,23 +24,51 @@ def _mass(order: int) -> float:
 
 
 def records_from_adjacency(adjacency: DataFrame) -> DataFrame:
-    """Records (ring_order, cell_id, n, members) from one row per neighbour."""
-    return (
-        adjacency.filter(F.col("ring_order") >= 1)
-        .groupBy("ring_order", "cell_id")
-        .agg(
+    """Records (ring_order, cell_id, n, members) from one row per neighbour.
+
+    Every cell has a record of every order; an empty ring has no members.
+    """
+    listed = adjacency.filter(F.col("ring_order") >= 1)
+    return complete_records(
+        listed.groupBy("ring_order", "cell_id").agg(
             F.count("*").cast("int").alias("n"),
             F.sort_array(F.collect_list("neighbor_id")).alias("members"),
-        )
+        ),
+        adjacency.select("cell_id"),
     )
 
 
+def complete_records(records: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """The records and, for orders that a cell lacks, empty ones.
+
+    The cells are those of the records and of ``cells``. Placeholders join the records
+    in one aggregate per cell and order.
+    """
+    known = records.select("cell_id") if cells is None else records.select("cell_id").union(cells.select("cell_id"))
+    empty = known.distinct().select(
+        F.explode(F.array(*[F.lit(k) for k in ORDERS])).alias("ring_order"),
+        "cell_id",
+        F.lit(0).alias("n"),
+        F.array().cast("array<string>").alias("members"),
+    )
+    given = records.select("ring_order", "cell_id", "n", "members")
+    return (
+        given.unionByName(empty)
+        .groupBy("ring_order", "cell_id")
+        .agg(F.max(F.struct("n", "members")).alias("_record"))
+        .select("ring_order", "cell_id", "_record.n", "_record.members")
+    )
+
+
+def _aligned(records: DataFrame, column: str) -> DataFrame:
+    """``column`` of the three orders of each cell, side by side."""
+    wide = [F.max(F.when(F.col("ring_order") == k, F.col(column))).alias(f"{column}_{k}") for k in ORDERS]
+    return complete_records(records).groupBy("cell_id").agg(*wide)
+
+
 def align_ring_counts(records: DataFrame) -> DataFrame:
-    """Member counts n_1, n_2, n_3 of the cells listed in all three rings."""
-    counts = [
-        F.max(F.when(F.col("ring_order") == k, F.col("n"))).alias(f"n_{k}") for k in ORDERS
-    ]
-    return records.groupBy("cell_id").agg(*counts).na.drop()
+    """Member counts n_1, n_2, n_3 of each cell; a ring without a record is empty."""
+    return _aligned(records, "n")
 
 
 def ring_probability(counts: DataFrame) -> DataFrame:
@@ -52,12 +80,8 @@ def ring_probability(counts: DataFrame) -> DataFrame:
 
 
 def align_ring_members(records: DataFrame) -> DataFrame:
-    """Member lists members_1, members_2, members_3 of the cells in all three rings."""
-    lists = [
-        F.max(F.when(F.col("ring_order") == k, F.col("members"))).alias(f"members_{k}")
-        for k in ORDERS
-    ]
-    return records.groupBy("cell_id").agg(*lists).na.drop()
+    """Member lists members_1, members_2, members_3 of each cell; empty rings are empty lists."""
+    return _aligned(records, "members")
 
 
 def join_ring_parts(counts: DataFrame, members: DataFrame) -> DataFrame:

@@ -172,32 +172,49 @@ def count_walk_pairs(walks: DataFrame) -> DataFrame:
 def step_mean(rows: DataFrame, links: DataFrame | Dimension) -> DataFrame:
     """Mean state over the walkers of each step as (i, cell_no, p).
 
-    Walkers are counted per step and cell before their states are spread.
-    ``rows`` are the steps in cells with a ring.
+    Walkers are counted per step and cell before their states are spread. Those in a
+    cell without links have no state and do not count.
     """
+    links = measure(links)
+    linked = Dimension(links.df.select("cell_no").distinct(), links.rows)
     counts = rows.groupBy("i", "cell_no").agg(F.count("*").alias("_n"))
+    known = lookup_join(counts, linked, ["cell_no"], "left_semi")
     share = F.col("_n") / F.sum("_n").over(Window.partitionBy("i"))
-    spread = lookup_join(counts.withColumn("_share", share), links, ["cell_no"])
+    spread = lookup_join(known.withColumn("_share", share), links, ["cell_no"])
     return spread.groupBy("i", F.col("link_no").alias("cell_no")).agg(
         F.sum(F.col("_share") * F.col("prop")).alias("p")
     )
 
 
-def running_mean(means: DataFrame, last_step: int) -> DataFrame:
-    """Mean of the step means 1..i for every step i, where it is not zero.
+def running_sums(means: DataFrame, last_step: int) -> DataFrame:
+    """Sums of the step means as intervals (cell_no, begin, until, total).
 
-    A cell missing at a step counts as 0, so its sum stays while i grows.
+    A cell missing at a step counts as 0, so its sum stays from one of its steps to
+    the next: a row per step and cell of ``means``, however long the steps between.
     """
     cell = Window.partitionBy("cell_no").orderBy("i")
-    so_far = means.select(
+    so_far = cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return means.select(
         "cell_no",
-        "i",
-        F.coalesce(F.lead("i").over(cell) - 1, F.lit(last_step)).alias("_until"),
-        F.sum("p").over(cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_sum"),
+        F.col("i").alias("begin"),
+        F.coalesce(F.lead("i").over(cell) - 1, F.lit(last_step)).alias("until"),
+        F.sum("p").over(so_far).alias("total"),
     )
-    return so_far.select(
-        "cell_no", "_sum", F.explode(F.sequence("i", "_until")).alias("i")
-    ).select("i", "cell_no", (F.col("_sum") / F.col("i")).alias("p"))
+
+
+def running_mean(means: DataFrame, last_step: int) -> DataFrame:
+    """Mean of the step means 1..i for every step i, where it is not zero."""
+    steps = F.explode(F.sequence("begin", "until")).alias("i")
+    return running_sums(means, last_step).select("cell_no", "total", steps).select(
+        "i", "cell_no", (F.col("total") / F.col("i")).alias("p")
+    )
+
+
+def running_mean_at(means: DataFrame, step: int) -> DataFrame:
+    """The running mean (cell_no, p) at one step, read from the intervals."""
+    return running_sums(means.filter(F.col("i") <= step), step).filter(
+        F.col("until") == step
+    ).select("cell_no", (F.col("total") / step).alias("p"))
 
 
 def last_step_distribution(means: DataFrame, last_step: int) -> DataFrame:

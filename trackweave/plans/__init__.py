@@ -1,9 +1,13 @@
 """Pipelines from observations to matrices, distributions and walks."""
 
 from .distributions import slot_phases, starting_distribution
+from .layout import StoredTrajectory, store_trajectory
 from .matrices import (
     matrix_from_pairs,
     od_matrix,
+    sequence,
+    slot_matrices,
+    slot_pairs,
     trajectory,
     transition_matrix,
     transition_matrix_steps,
@@ -15,10 +19,15 @@ from .simulation import observed_walks
 
 __all__ = [
     "Network",
+    "StoredTrajectory",
     "matrix_from_pairs",
     "observed_walks",
     "od_matrix",
+    "sequence",
+    "slot_matrices",
+    "slot_pairs",
     "slot_phases",
+    "store_trajectory",
     "starting_distribution",
     "trajectory",
     "transition_matrix",

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..lineage import store
 from ..operators.markov import chain_phases, initial_distribution
 from ..operators.trajectories import start_cells
-from .matrices import Slot, trajectory, transition_matrix
+from .layout import Slot, StoredTrajectory, store_trajectory
+from .matrices import slot_matrices, trajectory
 from .network import Network
 
 
 def starting_distribution(
-    observations: DataFrame, network: Network, order: int = 0, slot: Slot | None = None
+    observations: DataFrame | StoredTrajectory, network: Network, order: int = 0, slot: Slot | None = None
 ) -> DataFrame:
     """Mean first state of the users as (cell_no, p)."""
     starts = start_cells(trajectory(observations, network, order, slot))
@@ -20,7 +22,7 @@ def starting_distribution(
 
 
 def slot_phases(
-    observations: DataFrame,
+    observations: DataFrame | StoredTrajectory,
     network: Network,
     slots: list[Slot],
     rows: list[int],
@@ -28,10 +30,12 @@ def slot_phases(
 ) -> DataFrame:
     """Propagate the first slot's start through one matrix per slot.
 
-    Returns (phase, step, cell_no, p).
+    Returns (phase, step, cell_no, p). The matrices of all slots come from one scan of
+    the stored trajectory; raw observations are stored that way first.
     """
+    if not isinstance(observations, StoredTrajectory):
+        observations = store_trajectory(observations, network)
     start = store(starting_distribution(observations, network, order, slots[0]))
-    phases = [
-        (transition_matrix(observations, network, order, slot), n) for slot, n in zip(slots, rows)
-    ]
+    matrices = store(slot_matrices(observations, slots, order))
+    phases = [(matrices.filter(F.col("slot") == place), n) for place, n in enumerate(rows)]
     return chain_phases(start, phases)

@@ -10,31 +10,40 @@ from pyspark.sql import functions as F
 from ..operators.cells import locate_observations
 from ..operators.dimensions import Dimension, lookup_join
 from ..operators.matrix import count_pairs, row_normalize, spread_pairs
-from ..operators.observations import dedup_observations, drop_incomplete, filter_time_slot
+from ..operators.observations import (
+    dedup_observations,
+    drop_incomplete,
+    filter_time_slot,
+    tag_slots,
+)
 from ..operators.pairs import (
     hot_user_days,
     lag_state_by_day,
     lag_state_by_second,
-    lag_state_by_step,
     od_destination,
     od_destination_by_second,
     split_user_days,
     with_day,
 )
+from ..operators.sequences import lag_state_by_step, number_steps
 from ..operators.walks import count_walk_pairs, walk_to_rows
 from ..settings import HOT_USER_DAY_ROWS, OD_HORIZON_SECONDS
+from .layout import Slot, StoredTrajectory
 from .network import Network
 
-Slot = tuple[int, int, int, int]
-
 
 def trajectory(
-    observations: DataFrame, network: Network, order: int = 0, slot: Slot | None = None
+    observations: DataFrame | StoredTrajectory,
+    network: Network,
+    order: int = 0,
+    slot: Slot | None = None,
 ) -> DataFrame:
     """Deduplicated, located rows, restricted to cells with a ring if rings count.
 
     Ringless cells are taken out of the cell table, not looked up per row.
     """
+    if isinstance(observations, StoredTrajectory):
+        return observations.rows(order, slot)
     cells = network.ringed_cells() if order else network.cells
     placed = locate_observations(dedup_observations(observations), cells)
     return filter_time_slot(placed, *slot) if slot else placed
@@ -70,14 +79,85 @@ def _by_user_day(
     return ordinary(cold.repartition("user_id", "_day")).unionByName(crowded(busy))
 
 
+def _in_place(
+    stored: StoredTrajectory,
+    order: int,
+    ordinary: Callable[[DataFrame], DataFrame],
+    crowded: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Apply a pairing to a stored trajectory: its ordinary rows do not move."""
+    rows, busy = stored.parts(order)
+    paired = ordinary(rows)
+    return paired if busy is None else paired.unionByName(crowded(busy))
+
+
+def slot_pairs(
+    stored: StoredTrajectory, slots: list[Slot], order: int = 0
+) -> DataFrame:
+    """Counts (slot, from_no, to_no, weight) for several slots from one scan.
+
+    ``slot`` is the place in the list. Pairs are formed among the rows of a slot only;
+    a row that lies in two slots is counted in both.
+    """
+    unique = not stored.network.shared_coordinates
+    keep = ["user_id", "_day", "ts", "slot", "cell_no"]
+    lagged = _in_place(
+        stored,
+        order,
+        lambda rows: lag_state_by_day(
+            tag_slots(rows, slots).select(*keep), unique_times=unique, within=("slot",)
+        ),
+        lambda rows: lag_state_by_second(tag_slots(rows, slots).select(*keep), within=("slot",)),
+    )
+    return count_pairs(drop_incomplete(lagged), "prev_cell_no", "cell_no", within=("slot",))
+
+
+def slot_matrices(
+    stored: StoredTrajectory, slots: list[Slot], order: int = 0
+) -> DataFrame:
+    """Transition matrices (slot, from_no, to_no, weight, prob) of several slots at once."""
+    counts = slot_pairs(stored, slots, order)
+    if order:
+        counts = spread_pairs(counts, stored.network.links(order), within=("slot",))
+    return row_normalize(counts, within=("slot",))
+
+
+def sequence(stored: StoredTrajectory) -> DataFrame:
+    """Every user's observed rows in order, as (user_id, i, cell_no)."""
+    numbered = _in_place(
+        stored,
+        0,
+        lambda rows: number_steps(rows, stored.shifts).select("user_id", "i", "cell_no"),
+        lambda rows: number_steps(rows, stored.shifts, crowded=True).select(
+            "user_id", "i", "cell_no"
+        ),
+    )
+    return numbered
+
+
 def transition_pairs(
-    observations: DataFrame,
+    observations: DataFrame | StoredTrajectory,
     network: Network,
     order: int = 0,
     slot: Slot | None = None,
     hot_rows: int | None = HOT_USER_DAY_ROWS,
 ) -> DataFrame:
-    """Counts (from_no, to_no, weight) of consecutive same-day cells."""
+    """Counts (from_no, to_no, weight) of consecutive same-day cells.
+
+    A stored trajectory is read in place, and raw observations are not touched.
+    """
+    unique = not network.shared_coordinates
+    if isinstance(observations, StoredTrajectory):
+        if slot:
+            return slot_pairs(observations, [slot], order).drop("slot")
+        keep = ["user_id", "_day", "ts", "hour", "cell_no"]
+        lagged = _in_place(
+            observations,
+            order,
+            lambda rows: lag_state_by_day(rows.select(*keep), unique_times=unique),
+            lambda rows: lag_state_by_second(rows.select(*keep)),
+        )
+        return count_pairs(drop_incomplete(lagged), "prev_cell_no", "cell_no")
 
     def place(rows: DataFrame) -> DataFrame:
         placed = trajectory(rows, network, order, slot)
@@ -88,14 +168,14 @@ def transition_pairs(
     lagged = _by_user_day(
         timed,
         hot_rows,
-        lambda rows: lag_state_by_day(place(rows), unique_times=not network.shared_coordinates),
+        lambda rows: lag_state_by_day(place(rows), unique_times=unique),
         lambda rows: lag_state_by_second(place(rows)),
     )
     return count_pairs(drop_incomplete(lagged), "prev_cell_no", "cell_no")
 
 
 def transition_matrix(
-    observations: DataFrame,
+    observations: DataFrame | StoredTrajectory,
     network: Network,
     order: int = 0,
     slot: Slot | None = None,
@@ -111,7 +191,7 @@ def transition_matrix(
 
 
 def od_matrix(
-    observations: DataFrame,
+    observations: DataFrame | StoredTrajectory,
     network: Network,
     order: int = 0,
     horizon: int = OD_HORIZON_SECONDS,
@@ -119,6 +199,19 @@ def od_matrix(
     hot_rows: int | None = HOT_USER_DAY_ROWS,
 ) -> DataFrame:
     """Origin-destination matrix (from_no, to_no, weight, prob)."""
+    if isinstance(observations, StoredTrajectory):
+
+        def kept(rows: DataFrame) -> DataFrame:
+            rows = filter_time_slot(rows, *slot) if slot else rows
+            return rows.select("user_id", "_day", "ts", "cell_no")
+
+        found = _in_place(
+            observations,
+            order,
+            lambda rows: od_destination(kept(rows), horizon=horizon),
+            lambda rows: od_destination_by_second(kept(rows), horizon=horizon),
+        )
+        return matrix_from_pairs(count_pairs(found, "cell_no", "dest_cell_no"), network, order)
 
     def place(rows: DataFrame) -> DataFrame:
         placed = trajectory(rows, network, order, slot)

@@ -30,6 +30,7 @@ class Network:
         self.adjacency = None if adjacency is None else store(adjacency)
         self._links: dict[int, Dimension] = {}
         self._states: dict[int, Dimension] = {}
+        self._distributions: dict[int, Dimension] = {}
         self._ringed: Dimension | None = None
 
     def links(self, order: int) -> Dimension:
@@ -39,6 +40,12 @@ class Network:
             self._links[order] = measure(store(spread))
         return self._links[order]
 
+    def distribution(self, order: int) -> Dimension:
+        """Ring distribution on cell ids (cell_id, neighbor_id, prop)."""
+        if order not in self._distributions:
+            self._distributions[order] = measure(store(ring_distribution(self.adjacency, order)))
+        return self._distributions[order]
+
     def states(self, order: int) -> Dimension:
         """Ring states (cell_id, states)."""
         if order not in self._states:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from ..lineage import store
 from ..operators.trajectories import start_cells
 from ..operators.walks import synthesize_walks
-from .matrices import Slot, trajectory, transition_matrix
+from .layout import Slot
+from .matrices import trajectory, transition_matrix
 from .network import Network
 
 

@@ -13,8 +13,11 @@ BROADCAST_ROWS = 1_000_000
 SALTS = 16
 # User-days with more rows than this are split by second before windowing.
 HOT_USER_DAY_ROWS = 1_000_000
-# Tables below this many rows may be numbered through one sorted partition.
-ONE_PARTITION_ROWS = 1_000_000
+# Rows of a bucket of a stored trajectory, and the most buckets a table gets.
+ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 50_000
+# Steps of a sequence that one window handles; longer sequences are split.
+STEPS_PER_BLOCK = 100_000
 # Iterative jobs store a table after this many steps.
 WALK_STEPS_PER_CHECKPOINT = 20
 PROPAGATE_STEPS_PER_CHECKPOINT = 5

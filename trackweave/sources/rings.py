@@ -40,7 +40,8 @@ def parse_ring_lines(lines: DataFrame) -> DataFrame:
     """Records (ring_order, cell_id, n, members) from (ring_order, file, line_no, value).
 
     Line 0 of a file is a header. Blank member lines stay in place, so a cell without
-    neighbours does not shift the records after it.
+    neighbours does not shift the records after it. A record whose count is not the
+    number of its members is an error when it is read.
     """
     body = lines.filter(F.col("line_no") > 0).select(
         "ring_order",
@@ -54,12 +55,18 @@ def parse_ring_lines(lines: DataFrame) -> DataFrame:
         F.max(F.when(F.col("_half") == 1, F.col("_text"))).alias("_tail"),
     )
     head = F.split("_head", r"\s+")
-    members = F.filter(F.split("_tail", r"\s+"), lambda m: m != "")
+    listed = F.filter(F.split("_tail", r"\s+"), lambda m: m != "")
+    members = F.coalesce(listed, F.array().cast("array<string>"))
+    stated = F.try_element_at(head, F.lit(2)).try_cast("int")
+    message = F.concat(
+        F.lit("ring "), F.col("ring_order").cast("string"), F.lit(": members do not match the record "), "_head"
+    )
+    right = F.coalesce(stated == F.size(members), F.lit(False))
     return records.filter(F.col("_head") != "").select(
         "ring_order",
         head.getItem(0).alias("cell_id"),
-        F.try_element_at(head, F.lit(2)).cast("int").alias("n"),
-        F.coalesce(members, F.array().cast("array<string>")).alias("members"),
+        F.when(right, stated).otherwise(F.raise_error(message).cast("int")).alias("n"),
+        F.when(right, members).otherwise(F.raise_error(message).cast("array<string>")).alias("members"),
     )
 
 
