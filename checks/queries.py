@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trackweave import operators as ops
 from trackweave import plans, sources
 from trackweave.functions import outer_product, sort_states, zip_states
-from trackweave.lineage import shared_folder
+from trackweave.lineage import session_folder
 from trackweave.settings import HOT_USER_DAY_ROWS
 
 from . import inputs
@@ -61,7 +61,7 @@ def _timed(df: DataFrame) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return os.path.join(shared_folder(spark), f"check-{uuid.uuid4().hex}")
+    return os.path.join(session_folder(spark), f"check-{uuid.uuid4().hex}")
 
 
 def _trajectory(spark: SparkSession, sf_dir: str, order: int = 0) -> DataFrame:

@@ -32,6 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     return current
 
 
+def session_folder(spark: SparkSession) -> str:
+    """The folder for the tables of this application. They are kept, as results read
+    them; when the application is done, the folder can be deleted."""
+    return os.path.join(shared_folder(spark), f"trackweave-{spark.sparkContext.applicationId}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and go on from a checkpoint, which keeps its partitioning."""
     shared_folder(df.sparkSession)
@@ -45,7 +51,7 @@ def store(df: DataFrame) -> DataFrame:
     chain of stored tables needs is that of its largest step.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"table-{uuid.uuid4().hex}")
+    path = os.path.join(session_folder(spark), f"table-{uuid.uuid4().hex}")
     conf = spark.conf
     before = conf.get(SHUFFLE_CLEANUP, None)
     conf.set(SHUFFLE_CLEANUP, "true")

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import shared_folder, store
+from ..lineage import session_folder, store
 from ..operators.cells import locate_observations
 from ..operators.dimensions import Dimension, join_null_safe, lookup_join
 from ..operators.observations import dedup_observations, filter_time_slot
@@ -61,7 +61,7 @@ def _stored_by_user_day(rows: DataFrame, buckets: int) -> DataFrame:
     """A bucketed table of rows that are partitioned that way already."""
     spark = rows.sparkSession
     name = f"trackweave_{uuid.uuid4().hex}"
-    path = os.path.join(shared_folder(spark), name)
+    path = os.path.join(session_folder(spark), name)
     writer = rows.write.format("parquet").option("path", path)
     writer.bucketBy(buckets, *USER_DAY).sortBy(*USER_DAY, "ts").saveAsTable(name)
     return spark.table(name)
