@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Separators of the word pattern [^\x20\x09-\x0D]+, as a regular expression and as text.
@@ -84,3 +85,29 @@ def free_name(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+_CARRIED = "_carried_columns"
+
+
+def carries_other_columns(*needed: str) -> Callable:
+    """For functions that keep or change rows of documents: all columns but the
+    ``needed`` ones travel in one struct, so that no name of theirs can meet a name
+    that the function uses, and come back with their values and in their places."""
+
+    def decorate(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(function)
+        def run(documents: DataFrame, *args, **options) -> DataFrame:
+            others = [c for c in documents.columns if c not in needed]
+            if not others:
+                return function(documents, *args, **options)
+            quoted = {c: f"`{c.replace('`', '``')}`" for c in documents.columns}
+            packed = documents.select(*needed, F.struct(*(F.col(quoted[c]) for c in others)).alias(_CARRIED))
+            done = function(packed, *args, **options)
+            return done.select(
+                *(F.col(c) if c in needed else F.col(f"{_CARRIED}.{quoted[c]}").alias(c) for c in documents.columns)
+            )
+
+        return run
+
+    return decorate

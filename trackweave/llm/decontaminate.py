@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import store
+from .columns import carries_other_columns
 
 # Words are runs of characters outside this class, after lower-casing A-Z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -199,6 +200,7 @@ def decontamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFr
     return report.withColumn("_copy", repeated).drop("_copy", "copies", "text_key")
 
 
+@carries_other_columns("doc_id", "text")
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a benchmark passage, all columns as they came."""
     bad = contamination(documents, benchmark).filter("contaminated").select(

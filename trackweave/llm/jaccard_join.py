@@ -50,6 +50,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import store
 from . import hashing
+from .columns import carries_other_columns
 from .components import connected_components
 
 # A subset is one partition of its group (SECOND - SECOND_ERRORS); ``thin`` counts on it.
@@ -384,6 +385,7 @@ def labelled_rows(documents: DataFrame, words: int, percent: int, blocks: int) -
     return found.select(columns).unionByName(empty.select(columns))
 
 
+@carries_other_columns("doc_id", "text")
 def keep_one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, that of its smallest id and, of rows that share it,
     of the smallest text, with the columns as they came. Rows are told apart by id and

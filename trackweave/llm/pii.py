@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import let, matches, without
+from .columns import carries_other_columns, let, matches, without
 
 ACCEPT = 0.5
 CONTEXT_BONUS = 0.3
@@ -203,6 +203,7 @@ def personal_data(documents: DataFrame) -> DataFrame:
     )
 
 
+@carries_other_columns("text")
 def mask(documents: DataFrame) -> DataFrame:
     """documents with every span in ``text`` replaced by its kind in angle brackets;
     overlapping spans become one, named after the first."""

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import store
-from .columns import WHITE, free_name, neighbours, white_words, without
+from .columns import WHITE, carries_other_columns, free_name, neighbours, white_words, without
 
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
@@ -136,6 +136,7 @@ def quality_verdicts(documents: DataFrame, keep: list[str], name: str = "quality
     return joined.select(*keep, verdict.alias(name))
 
 
+@carries_other_columns("source", "text")
 def keep_good(documents: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns as they came."""
     judged = quality_verdicts(documents, documents.columns)

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..lineage import shared_folder
+from ..lineage import session_folder
 from .chat_format import conversation_digests, format_conversations
 from .decontaminate import decontamination_report
 from .html_extract import main_text
@@ -89,7 +89,7 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = os.path.join(shared_folder(spark), f"warc-{uuid.uuid4().hex}")
+    folder = os.path.join(session_folder(spark), f"warc-{uuid.uuid4().hex}")
     write_archives(_table(spark, sf_dir, "pages"), folder)
     read = read_records(spark, folder)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
