@@ -22,4 +22,4 @@ STEPS_PER_BLOCK = 100_000
 WALK_STEPS_PER_CHECKPOINT = 20
 PROPAGATE_STEPS_PER_CHECKPOINT = 5
 # Rows of the matrix that one task of an iterative job handles.
-ROWS_PER_LOOP_TASK = 50_000
+ROWS_PER_LOOP_TASK = 100_000
