@@ -19,7 +19,7 @@ sentence through a logistic curve fitted to documents and such forms.
 
 A word is worth its kernels only if it has all letters of a landmark but one and
 most of its pairs of letters, tests of bit masks; so few words need them, each
-once per task. Single letters
+once per task, and the kernels of all its beginnings come from one table. Single letters
 with spaces between them are read as one word. Words of more than ``LONG`` bytes
 are read through overlapping windows.
 
@@ -73,30 +73,52 @@ def _padded(strings: list[bytes], fill: int) -> np.ndarray:
     return out
 
 
-def kernels(left: list[bytes], right: list[bytes] | None = None) -> np.ndarray:
-    """The subsequence kernel of every pair, by dynamic programming over both strings;
-    without ``right``, of every string with itself."""
+def _common(left: list[bytes], right: list[bytes] | None = None) -> np.ndarray:
+    """The common subsequences of every pair by the places of their last characters
+    (left, right), by dynamic programming over both strings; without ``right``, of
+    every string with itself."""
     a = _padded(left, -1)
     b = _padded(left, -2)[:, None, :] if right is None else _padded(right, -2)[None, :, :]
     n, m, la, lb = len(left), b.shape[1], a.shape[1], b.shape[2]
-    same = [[a[:, i, None] == b[:, :, j] for j in range(lb)] for i in range(la)]
-    prefix = np.ones((la + 1, lb + 1, n, m), np.float32)
+    same = np.stack([np.stack([a[:, i, None] == b[:, :, j] for j in range(lb)]) for i in range(la)])
+    prefix = np.ones((la, lb, n, m), np.float32)
     for order in range(1, ORDER):
         following = np.zeros_like(prefix)
-        for i in range(1, la + 1):
+        for i in range(1, la):
             run = np.zeros((n, m), np.float32)
-            for j in range(1, lb + 1):
-                run = DECAY * run + np.where(same[i - 1][j - 1], DECAY**2 * prefix[i - 1, j - 1], 0)
+            for j in range(1, lb):
+                run = DECAY * run + DECAY**2 * same[i - 1, j - 1] * prefix[i - 1, j - 1]
                 following[i, j] = DECAY * following[i - 1, j] + run
         prefix = following
-    total = np.zeros((n, m), np.float32)
-    for i in range(la):
-        for j in range(lb):
-            total += np.where(same[i][j], DECAY**2 * prefix[i, j], 0)
-    return total
+    return DECAY**2 * same * prefix
+
+
+def kernels(left: list[bytes], right: list[bytes] | None = None) -> np.ndarray:
+    """The subsequence kernel of every pair; without ``right``, of every string with itself."""
+    return _common(left, right).sum(axis=(0, 1))
+
+
+def beginnings(strings: list[bytes], landmarks: list[bytes], roots: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """Per string the largest similarity (see ``similarities``) with each landmark of
+    the string and its beginnings of ``lengths``.
+
+    What two strings have in common ends at a place of each, so one table gives the
+    kernels of all beginnings as its partial sums.
+    """
+    shared = _common(strings, landmarks).sum(axis=1).cumsum(axis=0)
+    own = _common(strings)[..., 0].cumsum(axis=0).cumsum(axis=1)
+    sizes = np.array([len(s) for s in strings])
+    out = np.zeros((len(strings), len(landmarks)), np.float32)
+    for k in {*lengths, int(sizes.max())}:
+        # A string that is shorter counts as a whole.
+        if ORDER <= k <= len(own):
+            root = np.sqrt(np.maximum(own[k - 1, k - 1][:, None], 1e-12))
+            np.maximum(out, (shared[k - 1] / root / roots) ** 2, out=out)
+    return out
 
 
 _IS_LETTER = _LETTER > 0
+_SIGNS = bytes(np.flatnonzero(~_IS_LETTER).astype(np.uint8))
 
 
 def _pair_bits(lowered: np.ndarray) -> np.ndarray:
@@ -154,27 +176,24 @@ class Evidence:
         )
         self.known: dict[bytes, np.ndarray | None] = {}
 
-    def views(self, word: bytes) -> list[bytes]:
-        """The word without signs, and its beginnings of the landmarks' lengths; a long
-        word, every window of ``LONG``."""
-        plain = bytes(c for c in word if _LETTER[c])
-        parts = [plain[i : i + LONG] for i in range(0, max(len(plain) - LONG // 2, 1), LONG // 2)]
-        return sorted({v for p in parts for v in (p, *(p[:k] for k in self.lengths)) if len(v) >= ORDER})
+    def parts(self, word: bytes) -> list[bytes]:
+        """The word without signs; a long word, every window of ``LONG``."""
+        plain = word.translate(None, _SIGNS)
+        windows = (plain[i : i + LONG] for i in range(0, max(len(plain) - LONG // 2, 1), LONG // 2))
+        return [w for w in windows if len(w) >= ORDER]
 
     def of(self, words: set[bytes]) -> None:
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
-        new = sorted(words - self.known.keys(), key=lambda w: (len(w), w))
-        for begin in range(0, len(new), 256):
-            part = new[begin : begin + 256]
-            views = [self.views(w) for w in part]
-            owner = np.repeat(np.arange(len(part)), [len(v) for v in views])
-            values = np.zeros((len(part), len(self.landmarks)), np.float32)
-            if len(owner):
-                flat = [v for each in views for v in each]
-                np.maximum.at(values, owner, similarities(flat, self.landmarks, self.roots))
-            for word, value in zip(part, values):
-                self.known[word] = value if value.max() >= LEAST_KERNEL else None
+        new = words - self.known.keys()
+        owned = sorted(((p, w) for w in new for p in self.parts(w)), key=lambda pair: (len(pair[0]), pair))
+        self.known.update(dict.fromkeys(new))
+        for begin in range(0, len(owned), 256):
+            some = owned[begin : begin + 256]
+            values = beginnings([p for p, _ in some], self.landmarks, self.roots, self.lengths)
+            for k in np.flatnonzero(values.max(axis=1) >= LEAST_KERNEL):
+                before = self.known[some[k][1]]
+                self.known[some[k][1]] = values[k] if before is None else np.maximum(before, values[k])
 
     def sentences(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts of sentences with evidence, and the largest kernels in each sentence."""
