@@ -8,7 +8,8 @@ same everywhere has importance near 0, one that differs everywhere near 1; on
 fewer than ``MIN_PAGES`` pages nothing can be said and it counts as important.
 Branches below ``RATIO`` times the importance of the host's body are removed
 from each page. Elements whose tag or class says what they are (menus, forms,
-adverts, comments, ...) have importance 0. Inside an ``article`` or ``main`` the
+adverts, comments, ...) have importance 0; names of inline elements and headings say
+nothing, and in or around an article only whole names or strong words do. Inside an ``article`` or ``main`` the
 tree decides as it does elsewhere, but over pages whose articles differ, so copies
 of one article on a host do not remove each other.
 
@@ -23,13 +24,15 @@ Edge cases: a null or empty page has an empty text, as has one without an
 article's text. A null or strange url has no host and no style tree. Repeated
 pages count and come back. Broken markup is read as browsers mostly do: unknown
 end tags are ignored, paragraphs and list items close each other, unclosed
-elements end with the page, a tag that never ends is dropped.
+elements end with the page, a tag that never ends is dropped if no other follows and
+else is text. Reading takes time linear in the page, also of such tags and quotes.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -45,10 +48,9 @@ STYLE_SHARE = 0.3
 # Removed paths (8 bytes each) that may be broadcast.
 BROADCAST_PATHS = 1_000_000
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
-    re.S,
-)
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)|(!--)|[!?/])")
+_EVENT = re.compile(r"[>\"']")
+_ANGLE = re.compile(r"[<>]")
 _MARKS = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -67,9 +69,79 @@ NOISE_MARKS = frozenset(
     "newsletter subscribe subscription share sharing social comment comments reply replies respond disqus related "
     "recommended popup modal overlay widget login signup search toolbar pagination skip".split()
 )
+# Those that also count as a part of a longer name, wherever they are.
+STRONG_MARKS = frozenset("ad ads advert adverts advertisement comments disqus newsletter".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROOTS = ("article", "main")
 
 
+class Tags:
+    """Tags of a source, found from left to right in time linear in its length.
+
+    A tag ends at the first ``>`` outside quotes. Where that search has failed once it
+    is not tried again: every quote is followed at most once, and places before the
+    next quote or end share it.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.event: tuple[int, int] = (0, -1)  # the next event of all places in this range
+        self.followed: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``; -1 if never."""
+        low, high = self.event
+        if not low <= at <= high:
+            found = _EVENT.search(self.source, at)
+            self.event = low, high = at, found.start() if found else len(self.source)
+        while high < len(self.source):
+            if self.source[high] == ">":
+                return high
+            if high in self.followed:
+                return -1
+            self.followed.add(high)
+            close = self.source.find(self.source[high], high + 1)
+            found = _EVENT.search(self.source, close + 1) if close >= 0 else None
+            high = found.start() if found else len(self.source)
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, str, str, str]:
+        """The next tag, comment or declaration: start, end, "/" of an end tag, name and attributes."""
+        source, size = self.source, len(self.source)
+        while opened := _OPEN.search(source, at):
+            start, at = opened.span()
+            if opened[2] and (end := self.end(at)) >= 0:
+                return start, end + 1, opened[1], opened[2].lower(), source[at:end]
+            if not opened[2] or opened[1]:
+                close = "-->" if opened[3] else ">"
+                end = source.find(close, at)
+                return start, end + len(close) if end >= 0 else size, "", "", ""
+            if not _ANGLE.search(source, at):
+                return start, size, "", "", ""
+        return size, size, "", "", ""
+
+
+def _names(attributes: str) -> tuple[str, ...]:
+    """Class, id and role names, in lower case, their words (of letters) joined by hyphens."""
+    values = [next(filter(None, m[1:]), "") for m in _MARKS.findall(attributes)]
+    names = re.sub("([a-z])([A-Z])", r"\1-\2", " ".join(values)).lower().split()
+    return tuple(name for n in names if (name := "-".join(re.findall("[a-z]+", n))))
+
+
+def _noisy(tag: str, names: tuple[str, ...], content: bool) -> bool:
+    """Whether names say that an element is no part of an article. Those of a heading say
+    nothing; in an article or main, or around one (``content``), only whole names do, or
+    strong words of longer ones, and ``header`` may be an article's own."""
+    if tag in HEADINGS or tag in ("html", "body"):
+        return False
+    for name in names:
+        if name in NOISE_MARKS and not (content and name == "header"):
+            return True
+        if not (STRONG_MARKS if content else NOISE_MARKS).isdisjoint(name.split("-")):
+            return True
+    return False
+
+
 class Page:
     """Elements of a page and its texts, in order.
 
@@ -85,34 +157,34 @@ class Page:
     def _read(self, source: str) -> None:
         nodes, parts = self.nodes, self.parts
         open_: list[tuple[str, int]] = [("", 0)]  # tag and node of open elements
+        counts: Counter[str] = Counter()  # of open elements
         at, end = 0, len(source)
 
         def pop_to(depth: int) -> None:
             while len(open_) > depth:
                 tag, node = open_.pop()
+                counts[tag] -= 1
                 if tag not in INLINE:
                     parts.append((node, None))
 
         def find(tags: tuple[str, ...], until: tuple[str, ...]) -> int:
-            for depth in range(len(open_) - 1, 0, -1):
-                if open_[depth][0] in tags:
-                    return depth
-                if open_[depth][0] in until:
-                    break
+            if any(counts[t] for t in tags):
+                for depth in range(len(open_) - 1, 0, -1):
+                    if open_[depth][0] in tags:
+                        return depth
+                    if open_[depth][0] in until:
+                        break
             return 0
 
+        tags = Tags(source)
         while at < end:
-            token = _TOKEN.search(source, at)
-            stop = token.start() if token else end
+            stop, next_, closing, tag, attributes = tags.after(at)
             if stop > at:
                 parts.append((open_[-1][1], source[at:stop]))
-            if not token:
-                break
-            at = token.end()
-            tag = (token[2] or "").lower()
+            at = next_
             if not tag:
                 continue
-            if token[1]:
+            if closing:
                 depth = find((tag,), ())
                 if depth:
                     pop_to(depth)
@@ -122,22 +194,20 @@ class Page:
             if tag in VOID:
                 parts.append((open_[-1][1], " " if tag in INLINE else None))
                 continue
-            if tag not in INLINE:
-                if depth := find(("p",), ("table", "button", "div", "section", "article", "aside", "form", "td")):
-                    pop_to(depth)
-                if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                    same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-                    if depth := find(same, ("ul", "ol", "dl", "table", "select")):
-                        pop_to(depth)
-            marks = [next(filter(None, m[1:]), "") for m in _MARKS.findall(token[3])]
-            marks = tuple(re.findall(r"[a-z]+", " ".join(re.sub("([a-z])([A-Z])", r"\1 \2", m) for m in marks).lower()))
-            if tag in INLINE and not NOISE_MARKS.intersection(marks):
+            if tag in INLINE:
+                counts[tag] += 1
                 open_.append((tag, open_[-1][1]))
-            else:
-                if tag not in INLINE:
-                    parts.append((open_[-1][1], None))
-                nodes.append((open_[-1][1], tag, marks))
-                open_.append((tag, len(nodes) - 1))
+                continue
+            if depth := find(("p",), ("table", "button", "div", "section", "article", "aside", "form", "td")):
+                pop_to(depth)
+            if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
+                if depth := find(same, ("ul", "ol", "dl", "table", "select")):
+                    pop_to(depth)
+            counts[tag] += 1
+            parts.append((open_[-1][1], None))
+            nodes.append((open_[-1][1], tag, _names(attributes)))
+            open_.append((tag, len(nodes) - 1))
             if tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
                 at = close.start() if close else end
@@ -155,12 +225,17 @@ class Page:
         """Per node: whether it is cut out, and the root (article, main or none) it is in."""
         cut: list[bool] = []
         root: list[str] = []
+        holds = [False] * len(self.nodes)
+        for number in range(len(self.nodes) - 1, 0, -1):
+            parent, tag, _ = self.nodes[number]
+            holds[number] |= tag in ROOTS
+            holds[parent] |= holds[number]
         paths = self.paths() if removed else []
         for number, (parent, tag, marks) in enumerate(self.nodes):
             above = cut[parent] if parent >= 0 else False
             inside = root[parent] if parent >= 0 else ""
             noise = tag in NOISE_TAGS and not (tag == "header" and inside == "article")
-            noise = noise or bool(NOISE_MARKS.intersection(marks)) and tag not in ("html", "body")
+            noise = noise or _noisy(tag, marks, bool(inside) or holds[number])
             cut.append(above or noise or bool(removed) and tag not in ROOTS and paths[number] in removed)
             root.append("article" if "article" in (tag, inside) else tag if tag in ROOTS else inside)
         return cut, root
