@@ -176,16 +176,17 @@ def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
     return documents.select("doc_id", text_key(), "text").mapInArrow(work, SETS)
 
 
-def signature_rows(documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """node, key: every signature of every document. They are many, so they are made
-    again where they are needed rather than stored."""
+def signature_rows(documents: DataFrame, words: int, percent: int, block: int = 0, blocks: int = 1) -> DataFrame:
+    """node, key: the signatures of every document whose keys fall into one of so many
+    blocks. They are many, so they are made again where they are needed rather than stored."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in hashing.pieces(batches):
             values, counts, nodes = _sets(rows, data, offsets, words)
             keys, each = signatures(values, counts, percent)
+            here = keys % np.uint64(blocks) == block
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(nodes, each)), pa.array(keys.view(np.int64))], names=["node", "key"]
+                [pa.array(np.repeat(nodes, each)[here]), pa.array(keys[here].view(np.int64))], names=["node", "key"]
             )
 
     return documents.select("text").mapInArrow(work, "node long, key long")
@@ -339,10 +340,14 @@ def labelled_rows(documents: DataFrame, words: int, percent: int, blocks: int) -
         .groupBy("node")
         .agg(F.min("doc_id").alias("doc_id"))
     )
-    keys = signature_rows(documents, words, percent)
-    # Stored, so that the shuffle of the counts is gone before that of the join.
-    shared = store(keys.groupBy("key").count().filter("count > 1").select("key"))
-    crowded = store(keys.join(shared, "key").distinct())
+
+    def crowded_keys(block: int) -> DataFrame:
+        keys = signature_rows(documents, words, percent, block, blocks)
+        # Stored, so that the shuffle of the counts is gone before that of the join.
+        shared = store(keys.groupBy("key").count().filter("count > 1").select("key"))
+        return keys.join(shared, "key").distinct()
+
+    crowded = stored_union(crowded_keys(i) for i in range(blocks))
     # The leader of a signature is the set that meets most others: in a group of
     # copies of one text that is the text itself, which all are similar to.
     met = crowded.groupBy("key").count()
