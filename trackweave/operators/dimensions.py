@@ -42,7 +42,8 @@ def lookup_join(
 
     A small lookup table is broadcast, so the large side never moves. A larger
     one is copied ``SALTS`` times and met by rows spread over the salts, so that
-    one frequent key is shared by several tasks.
+    one frequent key is shared by several tasks. The hint keeps Spark, which takes
+    the copies for one row, from collecting and broadcasting all of them.
     """
     table = measure(table)
     if table.fits_broadcast:
@@ -51,7 +52,7 @@ def lookup_join(
     copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     return (
         facts.withColumn("_salt", spread)
-        .join(table.df.withColumn("_salt", copies), [*on, "_salt"], how)
+        .join(table.df.withColumn("_salt", copies).hint("merge"), [*on, "_salt"], how)
         .drop("_salt")
     )
 

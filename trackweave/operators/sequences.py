@@ -46,8 +46,9 @@ def number_steps(
     else:
         place = F.row_number().over(Window.partitionBy(*USER_DAY).orderBy("ts", state))
     numbered = rows.withColumn("_place", place)
+    # A row per user-day is too much to broadcast, even where its file is small.
     return (
-        join_null_safe(numbered, shifts, USER_DAY, "inner")
+        join_null_safe(numbered, shifts.hint("merge"), USER_DAY, "inner")
         .withColumn("i", (F.col("_shift") + F.col("_place")).cast("int"))
         .drop("_place", "_shift", "_second", "_begin", "_day")
     )
