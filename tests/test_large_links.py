@@ -1,14 +1,19 @@
 """Lookup tables and links that are too many to broadcast."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from trackweave.operators import dimensions
+from trackweave import operators as ops
+from trackweave.operators import dimensions, matrix
 from trackweave.operators.dimensions import Dimension, lookup_join
 
 
 @pytest.fixture
 def no_broadcast(monkeypatch):
     monkeypatch.setattr(dimensions, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(matrix, "LINKS_PER_BLOCK", 20)
 
 
 def executed(df):
@@ -22,3 +27,43 @@ def test_copies_of_a_large_table_are_not_broadcast(spark, no_broadcast, how):
     joined = lookup_join(facts, Dimension(table, 3), ["k"], how)
     assert "BroadcastHashJoin" not in executed(joined)
     assert sorted(joined.collect(), key=str) == sorted(facts.join(table, "k", how).collect(), key=str)
+
+
+def small_network(spark, key):
+    chance = random.Random(2)
+    links = [(key(c), key(n), chance.random()) for c in range(60) for n in range(c - 3, c + 4) if c % 9]
+    slots = [(s, key(a), key(b), float(1 + a % 3)) for s in (0, 1) for a in range(0, 62, 2) for b in range(61)]
+    return links, slots
+
+
+def expected(links, slots):
+    rows = {}
+    reach = {}
+    for cell, link, prop in links:
+        reach.setdefault(cell, []).append((link, prop))
+    for slot, a, b, weight in slots:
+        for x, p in reach.get(a, []):
+            for y, q in reach.get(b, []):
+                rows[slot, x, y] = rows.get((slot, x, y), 0.0) + weight * p * q
+    return rows
+
+
+def test_pairs_are_spread_in_blocks(spark, no_broadcast):
+    links, slots = small_network(spark, int)
+    table = Dimension(spark.createDataFrame(links, "cell_no int, link_no int, prop double"), len(links))
+    counts = spark.createDataFrame([*slots, (0, None, 1, 1.0), (0, 1, None, 1.0)], "slot int, from_no int, to_no int, weight double")
+    spread = ops.spread_pairs(counts, table, within=("slot",))
+    got = {(r.slot, r.from_no, r.to_no): r.weight for r in spread.collect()}
+    assert got == pytest.approx(expected(links, slots))
+    # The products are summed where they arise: nothing moves after the last expansion.
+    plan = executed(spread)
+    assert "Exchange" not in plan[: plan.index("Generate")]
+
+
+def test_pairs_of_ids_are_spread_in_blocks(spark, no_broadcast):
+    links, slots = small_network(spark, lambda k: f"c{k}")
+    table = Dimension(spark.createDataFrame(links, "cell_id string, neighbor_id string, prop double"), len(links))
+    counts = spark.createDataFrame(slots, "slot int, from_cell string, to_cell string, weight double").filter(F.col("slot") == 0)
+    spread = ops.spread_pairs_by_id(counts.drop("slot"), table)
+    got = {(0, r.from_cell, r.to_cell): r.weight for r in spread.collect()}
+    assert got == pytest.approx(expected(links, [s for s in slots if s[0] == 0]))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import outer_product
+from ..lineage import store
+from ..settings import LINKS_PER_BLOCK
 from .dimensions import Dimension, lookup_join, measure
 
 
@@ -43,6 +45,8 @@ def _spread(
     counts: DataFrame, links: Dimension, cell: str, link: str, ends: tuple[str, str], within: tuple[str, ...]
 ) -> DataFrame:
     """Both ends of counted pairs spread over the links of their cells, one after the other."""
+    if not links.fits_broadcast:
+        return _spread_in_blocks(counts, links, cell, link, ends, within)
     first, second = ends
     origins = Dimension(links.df.withColumnRenamed(cell, first), links.rows)
     destinations = Dimension(links.df.withColumnRenamed(cell, second), links.rows)
@@ -57,6 +61,47 @@ def _spread(
     return collect_pairs(both, first, second, within)
 
 
+def _spread_in_blocks(
+    counts: DataFrame, links: Dimension, cell: str, link: str, ends: tuple[str, str], within: tuple[str, ...]
+) -> DataFrame:
+    """The same with links that are too many to broadcast.
+
+    Cells are dealt to blocks, ranges of their keys. While one end is spread, pairs lie
+    by the block of the other end and the cell that is spread: each such group is a row
+    and meets the links of its cell, also one row, so neither products nor copies of
+    the links per pair are shuffled. Sums stay within their block. Cells with near keys
+    are often neighbours and share a block; where they are not, a block meets more links.
+    """
+    first, second = ends
+    blocks = 1 + links.rows // LINKS_PER_BLOCK
+    ranges = links.df.select(cell).distinct().repartitionByRange(blocks, cell)
+    placed = store(ranges.select(cell, F.spark_partition_id().alias("_block")))
+    home = placed.withColumnsRenamed({cell: link, "_block": "_at"}).hint("merge")
+    unlisted = F.pmod(F.xxhash64(link), F.lit(blocks)).cast("int")
+    entry = F.struct(link, F.coalesce("_at", unlisted).alias("_at"), "prop")
+    packed = store(
+        links.df.join(home, link, "left").groupBy(cell).agg(F.collect_list(entry).alias("_links"))
+    )
+
+    def spread(rows: DataFrame, end: str, other: str) -> DataFrame:
+        listed = F.collect_list(F.struct(other, "weight")).alias("_ends")
+        met = (
+            rows.groupBy(*within, "_block", end)
+            .agg(listed)
+            .join(packed.withColumnRenamed(cell, end).hint("merge"), end)
+            .repartition(blocks, "_block")
+        )
+        pairs = met.select(*within, "_block", "_links", F.inline("_ends")).select(
+            *within, "_block", other, "weight", F.inline("_links")
+        )
+        total = F.sum(F.col("weight") * F.col("prop")).alias("weight")
+        return pairs.groupBy(*within, "_block", F.col(link).alias(end), "_at", other).agg(total)
+
+    by_second = counts.join(placed.withColumnRenamed(cell, second).hint("merge"), second)
+    by_first = spread(by_second, first, second).drop("_block").withColumnRenamed("_at", "_block")
+    return spread(by_first, second, first).select(*within, first, second, "weight")
+
+
 def spread_pairs(
     counts: DataFrame, links: DataFrame | Dimension, within: tuple[str, ...] = ()
 ) -> DataFrame:

@@ -9,6 +9,8 @@ OD_HORIZON_SECONDS = 2 * 60 * 60
 # Size limits: they change the physical plan only, never the result.
 # Lookup tables above this many rows are joined by a salted shuffle.
 BROADCAST_ROWS = 1_000_000
+# Links of a block, where pairs are spread over links that are too many to broadcast.
+LINKS_PER_BLOCK = 20_000
 # How many ways a salted join spreads one key.
 SALTS = 16
 # User-days with more rows than this are split by second before windowing.
