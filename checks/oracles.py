@@ -227,6 +227,21 @@ _LAG = _lagged("lagged")
 _TM1 = (_ring(1), _LAG, _tm("tm", "lagged", 1))
 _WALKS = (*_TM1, _first("first_rows"), _CDF, _WALK)
 _SEQ = (_ring(1), _SEQUENCE)
+# Observed sequences and drawn walks.
+_STEPS = (
+    *_WALKS,
+    _SEQUENCE,
+    """
+steps AS MATERIALIZED (
+  SELECT false AS drawn, user_id, i, cell_no FROM seq
+  UNION ALL
+  SELECT true, user_id, i, cell_no FROM walk
+)""",
+    """
+step_pairs AS MATERIALIZED (
+  SELECT *, lag(cell_no) OVER (PARTITION BY drawn, user_id ORDER BY i) AS prev_cell_no FROM steps
+)""",
+)
 _MEANS = (*_SEQ, _STEP_MEANS)
 _UPDATES = (
     _ring(1),
@@ -340,9 +355,9 @@ GROUP BY ALL""",
     ),
     "start_cell_lookup": _sql("SELECT user_id, cell_no FROM first_rows", _first("first_rows")),
     "add_ring_noise": _sql(
-        """SELECT user_id, i, cell_no, neighbor_id, round(prop + 5e-12, 9) AS prop
-FROM seq JOIN cells USING (cell_no) JOIN ring1 USING (cell_id)""",
-        *_SEQ,
+        """SELECT drawn, user_id, i, cell_no, neighbor_id, round(prop + 5e-12, 9) AS prop
+FROM steps JOIN cells USING (cell_no) JOIN ring1 USING (cell_id)""",
+        *_STEPS,
     ),
     "deterministic_states": _sql(
         "SELECT user_id, epoch_us(ts) AS ts_us, weekday, hour, cell_id AS neighbor_id, "
@@ -379,12 +394,16 @@ FROM ring2""",
 FROM start_v""",
         *_START,
     ),
-    "step_mean": _sql("SELECT i, cell_no, round(p + 5e-12, 9) AS p FROM step_means", *_MEANS),
+    "step_mean": _sql(
+        """SELECT s.drawn, s.i, l.link_no AS cell_no, round(sum(l.prop) / any_value(t.n) + 5e-12, 9) AS p
+FROM steps s JOIN links1 l USING (cell_no)
+JOIN (SELECT drawn, i, count(*) AS n FROM steps GROUP BY ALL) t ON t.drawn = s.drawn AND t.i = s.i
+GROUP BY s.drawn, s.i, l.link_no""",
+        *_STEPS,
+    ),
     "lag_state_by_day": _sql(f"SELECT {_TRAJ_COLUMNS}, prev_cell_no FROM lagged", _LAG),
     "lag_state_by_step": _sql(
-        "SELECT user_id, i, cell_no, lag(cell_no) OVER (PARTITION BY user_id ORDER BY i) "
-        "AS prev_cell_no FROM seq",
-        *_SEQ,
+        "SELECT drawn, user_id, i, cell_no, prev_cell_no FROM step_pairs", *_STEPS
     ),
     "number_steps": _sql("SELECT user_id, i, cell_no FROM seq", *_SEQ),
     "od_destination": _sql(f"SELECT {_TRAJ_COLUMNS}, dest_cell_no FROM trips", _DESTINATIONS),
@@ -415,13 +434,12 @@ FROM start_v""",
         _MATRIX_ROWS, _ring(1), _lagged("lagged", _slot(SLOT_1)), _tm("tm", "lagged", 1)
     ),
     "transition_matrix_walks": _sql(
-        _MATRIX_ROWS,
-        *_SEQ,
-        """
-step_pairs AS (
-  SELECT *, lag(cell_no) OVER (PARTITION BY user_id ORDER BY i) AS prev_cell_no FROM seq
-)""",
-        _matrix("tm", "step_pairs", 1, where="WHERE p.prev_cell_no IS NOT NULL"),
+        _MATRIX_ROWS.replace("SELECT", "SELECT false AS drawn,").replace("FROM tm", "FROM seq_tm")
+        + " UNION ALL "
+        + _MATRIX_ROWS.replace("SELECT", "SELECT true AS drawn,").replace("FROM tm", "FROM walk_tm"),
+        *_STEPS,
+        _matrix("seq_tm", "step_pairs", 1, where="WHERE p.prev_cell_no IS NOT NULL AND NOT p.drawn"),
+        _matrix("walk_tm", "step_pairs", 1, where="WHERE p.prev_cell_no IS NOT NULL AND p.drawn"),
     ),
     "transition_matrix_by_second": _sql(_MATRIX_ROWS, *_TM1),
     "transition_matrix_raw": _sql(_MATRIX_ROWS, *_TM1),
@@ -492,9 +510,9 @@ LEFT JOIN cdf c ON c.from_no = f.cell_no AND f.r > c.lo AND f.r <= c.hi""",
         _RUNNING,
     ),
     "walk_vectors": _sql(
-        """SELECT user_id, i, neighbor_id AS cell_id, round(prop + 5e-12, 9) AS prop
-FROM seq JOIN cells USING (cell_no) JOIN ring1 USING (cell_id)""",
-        *_SEQ,
+        """SELECT drawn, user_id, i, neighbor_id AS cell_id, round(prop + 5e-12, 9) AS prop
+FROM steps JOIN cells USING (cell_no) JOIN ring1 USING (cell_id)""",
+        *_STEPS,
     ),
     "random_states": _sql(
         f"""SELECT user_id, CAST(i AS INTEGER) AS i,

@@ -137,9 +137,23 @@ def _last_step(rows: DataFrame) -> int:
     return rows.agg(F.max("i")).first()[0]
 
 
+def _both(spark: SparkSession, sf_dir: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The work over the observed sequences and over the drawn walks, told apart by ``drawn``."""
+    observed = work(_sequence(spark, sf_dir))
+    drawn = work(ops.walk_to_rows(_walks(spark, sf_dir)))
+    return _told_apart(observed, drawn)
+
+
+def _told_apart(observed: DataFrame, drawn: DataFrame) -> DataFrame:
+    marked = [df.withColumn("drawn", F.lit(flag)) for df, flag in ((observed, False), (drawn, True))]
+    return marked[0].unionByName(marked[1])
+
+
 def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = inputs.network(spark, sf_dir)
-    return ops.add_ring_noise(_sequence(spark, sf_dir), network.cells, network.states(1))
+    return _both(
+        spark, sf_dir, lambda rows: ops.add_ring_noise(rows, network.cells, network.states(1))
+    )
 
 
 def _step_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,7 +364,7 @@ def start_cell_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def add_ring_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_state_rows(_noisy(spark, sf_dir), "user_id", "i", "cell_no"), "prop")
+    return _rounded(_state_rows(_noisy(spark, sf_dir), "drawn", "user_id", "i", "cell_no"), "prop")
 
 
 # --- states ------------------------------------------------------------------
@@ -417,7 +431,8 @@ def vector_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def step_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_step_means(spark, sf_dir), "p")
+    links = inputs.network(spark, sf_dir).links(1)
+    return _rounded(_both(spark, sf_dir, lambda rows: ops.step_mean(rows, links)), "p")
 
 
 # --- windows -----------------------------------------------------------------
@@ -430,7 +445,7 @@ def lag_state_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lag_state_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.lag_state_by_step(_sequence(spark, sf_dir))
+    return _both(spark, sf_dir, ops.lag_state_by_step)
 
 
 @query
@@ -539,8 +554,9 @@ def transition_matrix_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def transition_matrix_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = inputs.network(spark, sf_dir)
-    matrix = plans.transition_matrix_steps(_sequence(spark, sf_dir), network)
-    return _rounded(matrix, "weight", "prob")
+    observed = plans.transition_matrix_steps(_sequence(spark, sf_dir), network)
+    drawn = plans.transition_matrix_walks(_walks(spark, sf_dir), network)
+    return _rounded(_told_apart(observed, drawn), "weight", "prob")
 
 
 @query
@@ -629,7 +645,7 @@ def last_step_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def walk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ops.walk_vectors(_noisy(spark, sf_dir)), "prop")
+    return _rounded(ops.walk_vectors(_noisy(spark, sf_dir), "drawn"), "prop")
 
 
 @query

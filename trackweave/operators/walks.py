@@ -152,9 +152,9 @@ def add_ring_noise(
     return lookup_join(placed, states, ["cell_id"]).select("user_id", "i", "cell_no", "states")
 
 
-def walk_vectors(noisy: DataFrame) -> DataFrame:
-    """The noisy steps as rows (user_id, i, cell_id, prop)."""
-    return noisy.select("user_id", "i", F.inline("states"))
+def walk_vectors(noisy: DataFrame, *carried: str) -> DataFrame:
+    """The noisy steps as rows (user_id, i, cell_id, prop), after ``carried`` columns."""
+    return noisy.select(*carried, "user_id", "i", F.inline("states"))
 
 
 def count_walk_pairs(walks: DataFrame) -> DataFrame:
