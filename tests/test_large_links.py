@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackweave import operators as ops
-from trackweave.operators import dimensions, matrix
+from trackweave.operators import dimensions, markov, matrix, pairs
 from trackweave.operators.dimensions import Dimension, lookup_join
 
 
@@ -67,3 +67,31 @@ def test_pairs_of_ids_are_spread_in_blocks(spark, no_broadcast):
     spread = ops.spread_pairs_by_id(counts.drop("slot"), table)
     got = {(0, r.from_cell, r.to_cell): r.weight for r in spread.collect()}
     assert got == pytest.approx(expected(links, [s for s in slots if s[0] == 0]))
+
+
+@pytest.fixture
+def walked(spark):
+    rows = [(user, f"2024-01-0{1 + k // 3} 08:00:0{k % 3}", k + user) for user in (1, 2) for k in range(6)]
+    return spark.createDataFrame(rows, "user_id bigint, ts string, cell_no int").withColumn("ts", F.to_timestamp("ts"))
+
+
+def test_many_hot_user_days_are_not_broadcast(spark, no_broadcast, walked):
+    hot = Dimension(pairs.with_day(walked).select(*pairs.USER_DAY).distinct().limit(3), 3)
+    cold, busy = pairs.split_user_days(walked, hot)
+    assert "BroadcastHashJoin" not in executed(cold) + executed(busy)
+    assert (cold.count(), busy.count()) == (3, 9)
+
+
+@pytest.mark.parametrize(
+    "second, ordinary",
+    [
+        (ops.lag_state_by_second, ops.lag_state_by_day),
+        (ops.od_destination_by_second, ops.od_destination),
+    ],
+)
+def test_a_row_per_second_is_not_broadcast(spark, walked, second, ordinary):
+    found = second(walked)
+    expected = ordinary(walked)
+    assert sorted(found.collect(), key=str) == sorted(expected.select(found.columns).collect(), key=str)
+    # The plan as it was run.
+    assert "BroadcastHashJoin" not in executed(found)

@@ -23,6 +23,10 @@ class Dimension:
     def fits_broadcast(self) -> bool:
         return self.rows <= BROADCAST_ROWS
 
+    def joinable(self) -> DataFrame:
+        """The table with the join that its counted rows allow, whatever the size of its file."""
+        return F.broadcast(self.df) if self.fits_broadcast else by_shuffle(self.df)
+
 
 def measure(table: DataFrame | Dimension) -> Dimension:
     """Count a lookup table, unless that was done before."""
@@ -57,6 +61,11 @@ def lookup_join(
     )
 
 
+def by_shuffle(table: DataFrame) -> DataFrame:
+    """Keep Spark from broadcasting a table of many rows because its file is small."""
+    return table.hint("merge")
+
+
 def join_null_safe(
     left: DataFrame, right: DataFrame, keys: list[str], how: str
 ) -> DataFrame:

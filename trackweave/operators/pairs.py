@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import epoch_second
 from ..lineage import store
 from ..settings import HOT_USER_DAY_ROWS, OD_HORIZON_SECONDS
-from .dimensions import Dimension, join_null_safe, measure
+from .dimensions import Dimension, by_shuffle, join_null_safe, measure
 
 USER_DAY = ["user_id", "_day"]
 USER_SECOND = ["user_id", "_day", "_second"]
@@ -45,9 +45,8 @@ def hot_user_days(rows: DataFrame, limit: int = HOT_USER_DAY_ROWS) -> Dimension
 def split_user_days(rows: DataFrame, hot: Dimension) -> tuple[DataFrame, DataFrame]:
     """The rows outside and inside the hot user-days."""
     rows = with_day(rows)
-    keys = F.broadcast(hot.df) if hot.fits_broadcast else hot.df
-    cold = join_null_safe(rows, keys, USER_DAY, "left_anti")
-    return cold, join_null_safe(rows, keys, USER_DAY, "left_semi")
+    cold = join_null_safe(rows, hot.joinable(), USER_DAY, "left_anti")
+    return cold, join_null_safe(rows, hot.joinable(), USER_DAY, "left_semi")
 
 
 def _last_by_second(rows: DataFrame, state: str, within: tuple[str, ...] = ()) -> DataFrame:
@@ -92,7 +91,7 @@ def lag_state_by_second(
     )
     previous = F.when(F.col("_row") == 1, F.col("_carried")).otherwise(F.col("_within"))
     return (
-        join_null_safe(numbered, carried, [*USER_SECOND, *within], "inner")
+        join_null_safe(numbered, by_shuffle(carried), [*USER_SECOND, *within], "inner")
         .withColumn(f"prev_{state}", previous)
         .drop("_row", "_within", "_carried", "_second", "_day")
     )
@@ -145,4 +144,4 @@ def od_destination_by_second(
         .filter("_ask = 1")
         .select(*USER_DAY, (F.col("_at") - horizon).alias("_second"), f"dest_{state}")
     )
-    return join_null_safe(rows, answers, USER_SECOND, "inner").drop("_day", "_second")
+    return join_null_safe(rows, by_shuffle(answers), USER_SECOND, "inner").drop("_day", "_second")

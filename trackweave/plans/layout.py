@@ -95,9 +95,8 @@ def store_trajectory(
     if hot is None:
         cold, crowded = timed, None
     else:
-        keys = F.broadcast(hot.df) if hot.fits_broadcast else hot.df
-        cold = join_null_safe(timed, keys, USER_DAY, "left_anti")
-        crowded = store(placed(join_null_safe(timed, keys, USER_DAY, "left_semi")))
+        cold = join_null_safe(timed, hot.joinable(), USER_DAY, "left_anti")
+        crowded = store(placed(join_null_safe(timed, hot.joinable(), USER_DAY, "left_semi")))
     located = placed(cold.repartition(buckets, *USER_DAY))
     if not network.cells.fits_broadcast:
         # The lookup moved the rows.
