@@ -95,3 +95,11 @@ def test_a_row_per_second_is_not_broadcast(spark, walked, second, ordinary):
     assert sorted(found.collect(), key=str) == sorted(expected.select(found.columns).collect(), key=str)
     # The plan as it was run.
     assert "BroadcastHashJoin" not in executed(found)
+
+
+def test_a_row_per_block_of_steps_is_not_broadcast(spark):
+    steps = spark.createDataFrame([(u, i, u + i) for u in (1, 2) for i in range(1, 8)], "user_id int, i int, cell_no int")
+    lagged = ops.lag_state_by_step(steps, block_steps=3)
+    assert all(r.prev_cell_no == (r.cell_no - 1 if r.i > 1 else None) for r in lagged.collect())
+    # The plan as it was run.
+    assert "BroadcastHashJoin" not in executed(lagged)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import epoch_second
 from ..settings import STEPS_PER_BLOCK
-from .dimensions import join_null_safe
+from .dimensions import by_shuffle, join_null_safe
 from .pairs import USER_DAY, USER_SECOND, with_day
 
 
@@ -48,7 +48,7 @@ def number_steps(
     numbered = rows.withColumn("_place", place)
     # A row per user-day is too much to broadcast, even where its file is small.
     return (
-        join_null_safe(numbered, shifts.hint("merge"), USER_DAY, "inner")
+        join_null_safe(numbered, by_shuffle(shifts), USER_DAY, "inner")
         .withColumn("i", (F.col("_shift") + F.col("_place")).cast("int"))
         .drop("_place", "_shift", "_second", "_begin", "_day")
     )
@@ -74,7 +74,7 @@ def lag_state_by_step(
     )
     previous = F.when(F.col("_row") == 1, F.col("_carried")).otherwise(F.col("_within"))
     return (
-        join_null_safe(numbered, carried, keys, "inner")
+        join_null_safe(numbered, by_shuffle(carried), keys, "inner")
         .withColumn(f"prev_{state}", previous)
         .drop("_row", "_within", "_carried", "_block")
     )
