@@ -103,3 +103,11 @@ def test_a_row_per_block_of_steps_is_not_broadcast(spark):
     assert all(r.prev_cell_no == (r.cell_no - 1 if r.i > 1 else None) for r in lagged.collect())
     # The plan as it was run.
     assert "BroadcastHashJoin" not in executed(lagged)
+
+
+def test_a_large_draw_table_is_not_broadcast(spark, no_broadcast):
+    moves = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "from_no int, to_no int, prob double")
+    starts = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "user_id bigint, cell_no int")
+    drawn = ops.next_state_draw(starts, ops.transition_cdf(moves))
+    assert "BroadcastHashJoin" not in executed(drawn)
+    assert sorted(drawn.collect(), key=str) == sorted([(1, 1, 2), (2, 2, 1), (3, 3, None)], key=str)

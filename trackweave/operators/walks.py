@@ -81,11 +81,10 @@ def _origins(table: Dimension) -> Dimension:
 
 def _draw(walkers: DataFrame, table: Dimension, number: Column) -> DataFrame:
     """Add (to_no, to_slots) to walkers with (cell_no, slots); null where stuck."""
-    choices = F.broadcast(table.df) if table.fits_broadcast else table.df
     hit = F.expr(
         "cell_no = from_no AND CAST(floor(_r * slots) AS INT) = slot AND _r > lo AND _r <= hi"
     )
-    return walkers.withColumn("_r", number).join(choices, hit, "left")
+    return walkers.withColumn("_r", number).join(table.joinable(), hit, "left")
 
 
 def next_state_draw(
