@@ -111,3 +111,15 @@ def test_a_large_draw_table_is_not_broadcast(spark, no_broadcast):
     drawn = ops.next_state_draw(starts, ops.transition_cdf(moves))
     assert "BroadcastHashJoin" not in executed(drawn)
     assert sorted(drawn.collect(), key=str) == sorted([(1, 1, 2), (2, 2, 1), (3, 3, None)], key=str)
+
+
+def test_vectors_of_a_block_count_together(spark, monkeypatch):
+    used = []
+    for name in ("_broadcast_step", "_shuffled_step"):
+        real = getattr(markov, name)
+        monkeypatch.setattr(markov, name, lambda *a, real=real, name=name: (used.append(name), real(*a))[1])
+    start = spark.createDataFrame([(1, 1.0)], "cell_no int, p double")
+    moves = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "from_no int, to_no int, prob double")
+    got = [ops.propagate(start, moves, 4, every=3, broadcast_rows=limit).collect() for limit in (6, 5)]
+    assert used == ["_broadcast_step"] * 3 + ["_shuffled_step"] * 3
+    assert sorted(got[0]) == sorted(got[1])

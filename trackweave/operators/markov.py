@@ -170,7 +170,8 @@ def _evolve(
 
     With a ``tolerance`` the step whose total change is not above it is the last.
     """
-    evolution = _Evolution(start, matrix, broadcast_rows)
+    # The vectors of a block are broadcast in one query and held by the driver together.
+    evolution = _Evolution(start, matrix, broadcast_rows // every)
     first = evolution.frame
     parts = [_listed(first, 0, [0])]
     done = 0
