@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trackweave.llm import jaccard_join
 from trackweave.llm.attention import Attention
 from trackweave.llm.html_extract import Page, main_text
 from trackweave.llm.jaccard_join import jaccard_components, keep_one_of_each
@@ -85,6 +86,31 @@ def test_keep_one_of_each_judges_rows_not_ids(spark):
     assert kept == Counter([(3, same), (5, "quite another text"), (5, "one more of the same id"), (None, lone)])
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_blocks_of_checked_pairs_move_their_own_sets(spark, monkeypatch, few):
+    sets = {n: list(range(n % 4, n % 4 + 10)) for n in range(40)}
+    pairs = {(a, b) for a in (0, 1, 2, 39) for b in range(20, 40) if a != b}
+    moved, checked = [], jaccard_join.confirmed
+
+    def confirmed(part, left, right, percent):
+        asked = {n for row in part.select("a", "b").collect() for n in row}
+        moved.append(({r.node for r in left.collect()} | {r.node for r in right.collect()}, asked | {r.node for r in right.collect()}))
+        return checked(part, left, right, percent)
+
+    monkeypatch.setattr(jaccard_join, "confirmed", confirmed)
+    if not few:
+        monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    rows = spark.createDataFrame([(a, b, True) for a, b in pairs], "a long, b long, several boolean")
+    shingles = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
+    got = jaccard_join.checked_pairs(rows, shingles, 80, 3).collect()
+    assert {(r.a, r.b) for r in got} == pairs and len(got) == len(pairs)
+    for r in got:
+        left, right = set(sets[r.a]), set(sets[r.b])
+        assert r.linked == (100 * len(left & right) >= 80 * len(left | right)) and r.apart == len(left ^ right)
+    assert len(moved) == 3 and all(found <= wanted for found, wanted in moved)
+    assert jaccard_join.checked_pairs(rows.limit(0), shingles, 80, 3).count() == 0
+
+
 def test_pages(spark):
     page = (
         "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><a>Menu</a></nav>"

@@ -226,16 +226,27 @@ def stored_union(tables: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [store(t) for t in tables])
 
 
+def _block_of(blocks: int, *columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(blocks))
+
+
 def _block(number: int, blocks: int, *columns: str):
-    return F.pmod(F.xxhash64(*columns), F.lit(blocks)) == number
+    return _block_of(blocks, *columns) == number
 
 
 def checked_pairs(pairs: DataFrame, shingles: DataFrame, percent: int, blocks: int) -> DataFrame:
-    """``confirmed`` of all pairs, stored, in blocks of b."""
-    return stored_union(
-        confirmed(pairs.filter(_block(i, blocks, "b")), shingles, shingles.filter(_block(i, blocks, "node")), percent)
-        for i in range(blocks)
-    )
+    """``confirmed`` of all pairs, stored, in blocks of b. A block moves the sets of its
+    own pairs only; its leaders, if they are few, come to their sets."""
+    leaders = store(pairs.select(_block_of(blocks, "b").alias("block"), F.col("a").alias("node")).distinct())
+    most = leaders.groupBy("block").count().agg(F.max("count")).first()[0]
+
+    def checked(i: int) -> DataFrame:
+        own = leaders.filter(F.col("block") == i).select("node")
+        left = shingles.join(F.broadcast(own) if (most or 0) <= BROADCAST_IDS else own, "node", "left_semi")
+        right = shingles.filter(_block(i, blocks, "node"))
+        return confirmed(pairs.filter(_block(i, blocks, "b")), left, right, percent)
+
+    return stored_union(checked(i) for i in range(blocks))
 
 
 def confirmed(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
