@@ -6,13 +6,22 @@ A distribution is rows (cell_no, p); a cell without a row has probability 0.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..lineage import store
-from ..settings import BROADCAST_ROWS, PROPAGATE_STEPS_PER_CHECKPOINT, ROWS_PER_LOOP_TASK
+from ..settings import (
+    BROADCAST_ROWS,
+    PACKED_CELLS_PER_ROW,
+    PROPAGATE_STEPS_PER_CHECKPOINT,
+    ROWS_PER_LOOP_TASK,
+)
 from .dimensions import Dimension, lookup_join, measure
+from .packed import PackedEvolution
 
 
 def simplify_vector_ids(vector: DataFrame, cells: DataFrame | Dimension) -> DataFrame:
@@ -75,6 +84,24 @@ def _broadcast_step(frame: DataFrame, moves: DataFrame, moved: str, carried: lis
     )
 
 
+def _prepared(start: DataFrame, matrix: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored start and matrix, and all their cells (cell_no)."""
+    start = store(start.select("cell_no", F.col("p").cast("double")))
+    matrix = store(matrix.select("from_no", "to_no", "prob"))
+    known = start.select("cell_no").union(matrix.select("from_no")).union(matrix.select("to_no"))
+    return start, matrix, store(known.distinct())
+
+
+def _first(start: DataFrame, known: DataFrame) -> DataFrame:
+    """The stored first frame (from_no, peak, p_0) of all cells."""
+    p = F.coalesce("p", F.lit(0.0))
+    return store(
+        known.join(start, "cell_no", "left").select(
+            F.col("cell_no").alias("from_no"), p.alias("peak"), p.alias("p_0")
+        )
+    )
+
+
 class _Evolution:
     """A distribution under a matrix, in blocks of steps.
 
@@ -86,16 +113,13 @@ class _Evolution:
     which changes and the greatest probability of a cell are taken on the way.
     """
 
-    def __init__(self, start: DataFrame, matrix: DataFrame, broadcast_rows: int) -> None:
-        start = store(start.select("cell_no", F.col("p").cast("double")))
-        matrix = store(matrix.select("from_no", "to_no", "prob", F.lit(False).alias("stays")))
-        known = store(
-            start.select("cell_no")
-            .union(matrix.select("from_no"))
-            .union(matrix.select("to_no"))
-            .distinct()
-        )
+    def __init__(
+        self, start: DataFrame, matrix: DataFrame, broadcast_rows: int, known: DataFrame | None = None
+    ) -> None:
+        if known is None:
+            start, matrix, known = _prepared(start, matrix)
         cells = known.count()
+        matrix = matrix.withColumn("stays", F.lit(False))
         self.step = _broadcast_step if cells <= broadcast_rows else _shuffled_step
         stay = known.select(
             F.col("cell_no").alias("from_no"),
@@ -112,13 +136,7 @@ class _Evolution:
         self.moves = moves.persist()
         # Once the cache is filled its partitioning is known, and steps rely on it.
         self.moves.count()
-        self.frame = store(
-            known.join(start, "cell_no", "left").select(
-                F.col("cell_no").alias("from_no"),
-                F.coalesce("p", F.lit(0.0)).alias("peak"),
-                F.coalesce("p", F.lit(0.0)).alias("p_0"),
-            )
-        )
+        self.frame = _first(start, known)
 
     def advance(self, steps: int) -> DataFrame:
         """The stored columns p_0..p_steps; the last is the next block's p_0."""
@@ -158,6 +176,16 @@ def _listed(block: DataFrame, first: int, steps: list[int]) -> DataFrame:
     return rows.select("step", "cell_no", "p", "change")
 
 
+class _Evolved(NamedTuple):
+    """All (step, cell_no, p, change); the last distribution (cell_no, p), zeros included;
+    and the cells (cell_no) that are above zero at some step, or those that never are."""
+
+    steps: DataFrame
+    last: DataFrame
+    visited: DataFrame | None = None
+    unvisited: Dimension | None = None
+
+
 def _evolve(
     start: DataFrame,
     matrix: DataFrame,
@@ -165,13 +193,17 @@ def _evolve(
     every: int,
     broadcast_rows: int,
     tolerance: float | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """All (step, cell_no, p, change), and (cell_no, peak) of the cells.
+) -> _Evolved:
+    """A distribution and its next ones, ``rows`` in all.
 
     With a ``tolerance`` the step whose total change is not above it is the last.
     """
+    start, matrix, known = _prepared(start, matrix)
+    whole = all(isinstance(table.schema[0].dataType, T.IntegralType) for table in (start, known))
+    if whole and known.count() <= PACKED_CELLS_PER_ROW * broadcast_rows:
+        return _evolve_packed(PackedEvolution(start, matrix, known), _first(start, known), rows, tolerance)
     # The vectors of a block are broadcast in one query and held by the driver together.
-    evolution = _Evolution(start, matrix, broadcast_rows // every)
+    evolution = _Evolution(start, matrix, broadcast_rows // every, known)
     first = evolution.frame
     parts = [_listed(first, 0, [0])]
     done = 0
@@ -185,15 +217,38 @@ def _evolve(
                 kept = kept[: settled[0]]
                 peak = F.greatest(*(F.col(f"p_{k}") for k in range(settled[0] + 1)), first["peak"])
                 seen = block.drop("peak").join(first.select("from_no", "peak"), "from_no")
-                evolution.frame = store(seen.select("from_no", peak.alias("peak")))
+                last = F.col(f"p_{kept[-1]}").alias("p_0")
+                evolution.frame = store(seen.select("from_no", peak.alias("peak"), last))
                 parts.append(_listed(block, done, kept))
                 break
         parts.append(_listed(block, done, kept))
         first = evolution.frame
         done += steps
     evolution.close()
-    peaks = evolution.frame.select(F.col("from_no").alias("cell_no"), "peak")
-    return reduce(DataFrame.unionByName, parts), peaks
+    ended = evolution.frame.select(F.col("from_no").alias("cell_no"), "peak", F.col("p_0").alias("p"))
+    return _Evolved(
+        reduce(DataFrame.unionByName, parts),
+        ended.select("cell_no", "p"),
+        visited=ended.filter("peak > 0").select("cell_no"),
+    )
+
+
+def _evolve_packed(
+    evolution: PackedEvolution, first: DataFrame, rows: int, tolerance: float | None
+) -> _Evolved:
+    parts, done, settled = [_listed(first, 0, [0])], 0, False
+    while done < rows - 1 and not settled:
+        block, steps, settled = evolution.advance(rows - 1 - done, tolerance)
+        parts.append(_listed(block, done, list(range(1, steps + 1))))
+        done += steps
+    evolution.close()
+    steps = reduce(DataFrame.unionByName, parts)
+    last = first.select(F.col("from_no").alias("cell_no"), F.col("p_0").alias("p"))
+    if done:
+        last = evolution.table({"p": evolution.vector}).withColumnRenamed("from_no", "cell_no")
+    never = np.flatnonzero(~evolution.visited)
+    absent = evolution.table({}, never).withColumnRenamed("from_no", "cell_no")
+    return _Evolved(steps, last, unvisited=Dimension(absent, len(never)))
 
 
 def propagate_all(
@@ -208,7 +263,7 @@ def propagate_all(
     A cell without outgoing moves passes nothing on, so its mass leaves.
     ``broadcast_rows`` changes the plan only, see ``_Evolution``.
     """
-    return _evolve(start, matrix, rows, every, broadcast_rows)[0].drop("change")
+    return _evolve(start, matrix, rows, every, broadcast_rows).steps.drop("change")
 
 
 def propagate(
@@ -231,9 +286,10 @@ def chain_phases(
     """
     parts = []
     for phase, (matrix, rows) in enumerate(phases, start=1):
-        traced = propagate(start, matrix, rows, every)
+        evolved = _evolve(start, matrix, rows, every, BROADCAST_ROWS)
+        traced = evolved.steps.filter(F.col("p") != 0)
         parts.append(traced.select(F.lit(phase).alias("phase"), "step", "cell_no", "p"))
-        start = traced.filter(F.col("step") == rows - 1).select("cell_no", "p")
+        start = evolved.last.filter((F.col("p") != 0) & F.lit(rows > 0))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -249,11 +305,13 @@ def convergence_trace(
     ``change`` is how far the probability moved since the step before. With a
     ``tolerance`` the trace ends at the first step whose total change is not above it.
     """
-    steps, peaks = _evolve(start, matrix, rows, every, BROADCAST_ROWS, tolerance)
-    visited = peaks.filter("peak > 0").select("cell_no")
-    return lookup_join(steps, visited, ["cell_no"], "left_semi").select(
-        "step", "cell_no", "p", "change"
-    )
+    evolved = _evolve(start, matrix, rows, every, BROADCAST_ROWS, tolerance)
+    steps = evolved.steps.filter("cell_no is not null")
+    if evolved.visited is not None:
+        steps = lookup_join(steps, evolved.visited, ["cell_no"], "left_semi")
+    elif evolved.unvisited.rows:
+        steps = lookup_join(steps, evolved.unvisited, ["cell_no"], "left_anti")
+    return steps.select("step", "cell_no", "p", "change")
 
 
 def convergence_distance(trace: DataFrame) -> DataFrame:
