@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import store
+from ..lineage import release, store
 from . import hashing
 from .columns import carries_other_columns
 from .components import connected_components
@@ -64,6 +64,8 @@ BROADCAST_IDS = 2_000_000
 # Large joins of the near duplicates, at a low similarity, run in so many blocks, one after the other, so that only one of them
 # has its shuffle files at a time. A block is a part of the keys, not of the rows.
 BLOCKS = 6
+# Times as many blocks for the late pairs, which spread sets by their elements.
+LATE = 3
 
 _KEY = "_text_key"
 SETS = "doc_id long, text_key long, n_shingles long, node long"
@@ -221,9 +223,8 @@ def _differences(total, percent: int):
     return F.floor(total * (100 - percent) / (100 + percent))
 
 
-def stored_union(tables: Iterable[DataFrame]) -> DataFrame:
-    """The tables, stored one after the other, as one."""
-    return reduce(DataFrame.unionByName, [store(t) for t in tables])
+def union(tables: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def _block_of(blocks: int, *columns: str):
@@ -235,7 +236,12 @@ def _block(number: int, blocks: int, *columns: str):
 
 
 def checked_pairs(pairs: DataFrame, shingles: DataFrame, percent: int, blocks: int) -> DataFrame:
-    """``confirmed`` of all pairs, stored, in blocks of b. A block moves the sets of its
+    """``confirmed`` of all pairs, stored."""
+    return union(checked_blocks(pairs, shingles, percent, blocks))
+
+
+def checked_blocks(pairs: DataFrame, shingles: DataFrame, percent: int, blocks: int) -> list[DataFrame]:
+    """``confirmed`` of all pairs, a stored table for each block of b. A block moves the sets of its
     own pairs only; its leaders, if they are few, come to their sets."""
     leaders = store(pairs.select(_block_of(blocks, "b").alias("block"), F.col("a").alias("node")).distinct())
     most = leaders.groupBy("block").count().agg(F.max("count")).first()[0]
@@ -246,7 +252,7 @@ def checked_pairs(pairs: DataFrame, shingles: DataFrame, percent: int, blocks: i
         right = shingles.filter(_block(i, blocks, "node"))
         return confirmed(pairs.filter(_block(i, blocks, "b")), left, right, percent)
 
-    return stored_union(checked(i) for i in range(blocks))
+    return [store(checked(i)) for i in range(blocks)]
 
 
 def confirmed(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
@@ -287,7 +293,7 @@ def confirmed(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int)
     )
 
 
-def late_pairs(checked: DataFrame, labels: DataFrame, percent: int, blocks: int) -> DataFrame:
+def late_pairs(checked: list[DataFrame], labels: DataFrame, percent: int, blocks: int) -> DataFrame:
     """Pairs of sets with a common leader but of different components that may be
     similar.
 
@@ -298,17 +304,31 @@ def late_pairs(checked: DataFrame, labels: DataFrame, percent: int, blocks: int)
     put at least one into the prefixes of both, and only such pairs are made.
     Copies edited independently share few differences, so a large group of them
     makes few pairs.
+
+    ``checked`` are the tables of blocks of b; each is removed when its sets are taken
+    over, without prefixes being shuffled for labels and groups.
     """
     here = labels.select(F.col("node").alias("b"), F.col("label").alias("b_label"))
     there = labels.select(F.col("node").alias("a"), F.col("label").alias("a_label"))
-    several = checked.filter(F.size("prefix") > 0)
-    placed = several.join(here, "b", "left").join(there, "a", "left").select(
-        "a", "b", "b_size", "apart", "prefix",
-        F.coalesce("b_label", "b").alias("label"),
-        (F.coalesce("b_label", "b") != F.coalesce("a_label", "a")).alias("far"),
+    several = [part.filter(F.size("prefix") > 0) for part in checked]
+    placed = store(
+        union(several).select("a", "b").join(here, "b", "left").join(there, "a", "left").select(
+            "a",
+            "b",
+            F.coalesce("b_label", "b").alias("label"),
+            (F.coalesce("b_label", "b") != F.coalesce("a_label", "a")).alias("far"),
+        )
     )
     open_ = placed.groupBy("a").agg(F.max("far").alias("any"), F.count("*").alias("n")).filter("any and n > 1")
-    members = placed.join(open_.select("a"), "a", "left_semi")
+    wanted = store(placed.join(open_.select("a"), "a", "left_semi"))
+    release(placed)
+    taken = []
+    for i, (part, sets) in enumerate(zip(checked, several)):
+        own = wanted.filter(_block(i, len(checked), "b"))
+        taken.append(store(sets.select("a", "b", "b_size", "apart", "prefix").join(own, ["a", "b"])))
+        release(part)
+    release(wanted)
+    members = union(taken)
     columns = ("a", "b", "b_size", "apart", "label", "far")
 
     def found(i: int) -> DataFrame:
@@ -330,8 +350,11 @@ def late_pairs(checked: DataFrame, labels: DataFrame, percent: int, blocks: int)
             .distinct()
         )
 
-    every = stored_union(found(i) for i in range(blocks))
-    return every.distinct().withColumn("several", F.lit(False))
+    parts = [store(found(i)) for i in range(blocks)]
+    every = store(union(parts).distinct().withColumn("several", F.lit(False)))
+    for table in (*taken, *parts):
+        release(table)
+    return every
 
 
 def jaccard_components(
@@ -367,6 +390,8 @@ def labelled_rows(documents: DataFrame, words: int, percent: int, blocks: int) -
         .groupBy(F.col("leader").alias("a"), F.col("node").alias("b"))
         .agg(F.max("several").alias("several"))
     )
+    release(shared)
+    release(crowded)
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # A node whose only texts have null ids is read by its null id.
     wanted = store(involved.join(classes, "node").select("node", "doc_id"))
@@ -378,11 +403,13 @@ def labelled_rows(documents: DataFrame, words: int, percent: int, blocks: int) -
         shingles = store(shingles.groupBy("node").agg(F.first("shingles").alias("shingles")))
     else:
         shingles = store(node_shingles(documents, wanted, words))
-    checked = checked_pairs(pairs, shingles, percent, blocks)
-    links = checked.filter("linked").select("a", "b")
+    checked = checked_blocks(pairs, shingles, percent, blocks)
+    release(pairs)
+    links = store(union(checked).filter("linked").select("a", "b"))
     labels = connected_components(links)
-    late = checked_pairs(store(late_pairs(checked, labels, percent, blocks)), shingles, percent, blocks)
-    late = late.filter("linked").select("a", "b")
+    again = late_pairs(checked, labels, percent, blocks if blocks == 1 else LATE * blocks)
+    late = checked_pairs(again, shingles, percent, blocks).filter("linked").select("a", "b")
+    release(shingles)
     labels = connected_components(links.union(late))
 
     named = classes.join(labels, "node", "left").select(
