@@ -23,7 +23,8 @@ def test_a_vector_beyond_the_broadcast_of_a_block_is_not_shuffled(spark, chain,
         raise AssertionError("shuffled")
 
     monkeypatch.setattr(markov, "_shuffled_step", never)
-    steps = ops.propagate(vector(spark, start), frame(spark, matrix), 7, 5, broadcast_rows=8)
+    monkeypatch.setattr(markov, "BROADCAST_ROWS", 8)
+    steps = ops.convergence_trace(vector(spark, start), frame(spark, matrix), 7)
     np.testing.assert_allclose(dense_steps(steps, 7), powers(start, matrix, 7), atol=1e-14)
 
 
@@ -47,7 +48,7 @@ def test_odd_rows_as_with_shuffled_steps(spark, small_tasks):
         "from_no int, to_no int, prob double",
     )
     found = [
-        sorted(map(tuple, ops.propagate(start, matrix, 5, 2, broadcast_rows=n).collect())) for n in (0, 100)
+        sorted(map(tuple, ops.propagate(start, matrix, 5, 2, broadcast_rows=n).collect())) for n in (0, None)
     ]
     assert found[0] == found[1]
     assert found[1][:2] == [(0, 1, 0.25), (0, 1, 0.5)]

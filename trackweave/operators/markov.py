@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..lineage import store
 from ..settings import (
     BROADCAST_ROWS,
-    PACKED_CELLS_PER_ROW,
+    PACKED_CELLS,
     PROPAGATE_STEPS_PER_CHECKPOINT,
     ROWS_PER_LOOP_TASK,
 )
@@ -191,7 +191,7 @@ def _evolve(
     matrix: DataFrame,
     rows: int,
     every: int,
-    broadcast_rows: int,
+    broadcast_rows: int | None = None,
     tolerance: float | None = None,
 ) -> _Evolved:
     """A distribution and its next ones, ``rows`` in all.
@@ -200,10 +200,11 @@ def _evolve(
     """
     start, matrix, known = _prepared(start, matrix)
     whole = all(isinstance(table.schema[0].dataType, T.IntegralType) for table in (start, known))
-    if whole and known.count() <= PACKED_CELLS_PER_ROW * broadcast_rows:
+    if broadcast_rows is None and whole and known.count() <= PACKED_CELLS:
         return _evolve_packed(PackedEvolution(start, matrix, known), _first(start, known), rows, tolerance)
     # The vectors of a block are broadcast in one query and held by the driver together.
-    evolution = _Evolution(start, matrix, broadcast_rows // every, known)
+    limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    evolution = _Evolution(start, matrix, limit // every, known)
     first = evolution.frame
     parts = [_listed(first, 0, [0])]
     done = 0
@@ -256,12 +257,13 @@ def propagate_all(
     matrix: DataFrame,
     rows: int,
     every: int = PROPAGATE_STEPS_PER_CHECKPOINT,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """v, vP, ... as (step, cell_no, p): ``rows`` steps, zeros included.
 
     A cell without outgoing moves passes nothing on, so its mass leaves.
-    ``broadcast_rows`` changes the plan only, see ``_Evolution``.
+    ``broadcast_rows`` changes the plan only: with it the matrix is not packed, see
+    ``_Evolution``.
     """
     return _evolve(start, matrix, rows, every, broadcast_rows).steps.drop("change")
 
@@ -271,7 +273,7 @@ def propagate(
     matrix: DataFrame,
     rows: int,
     every: int = PROPAGATE_STEPS_PER_CHECKPOINT,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """v, vP, ... as (step, cell_no, p): ``rows`` steps, without zeros."""
     return propagate_all(start, matrix, rows, every, broadcast_rows).filter(F.col("p") != 0)
@@ -286,7 +288,7 @@ def chain_phases(
     """
     parts = []
     for phase, (matrix, rows) in enumerate(phases, start=1):
-        evolved = _evolve(start, matrix, rows, every, BROADCAST_ROWS)
+        evolved = _evolve(start, matrix, rows, every)
         traced = evolved.steps.filter(F.col("p") != 0)
         parts.append(traced.select(F.lit(phase).alias("phase"), "step", "cell_no", "p"))
         start = evolved.last.filter((F.col("p") != 0) & F.lit(rows > 0))
@@ -305,7 +307,7 @@ def convergence_trace(
     ``change`` is how far the probability moved since the step before. With a
     ``tolerance`` the trace ends at the first step whose total change is not above it.
     """
-    evolved = _evolve(start, matrix, rows, every, BROADCAST_ROWS, tolerance)
+    evolved = _evolve(start, matrix, rows, every, tolerance=tolerance)
     steps = evolved.steps.filter("cell_no is not null")
     if evolved.visited is not None:
         steps = lookup_join(steps, evolved.visited, ["cell_no"], "left_semi")

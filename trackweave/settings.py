@@ -25,8 +25,8 @@ WALK_STEPS_PER_CHECKPOINT = 20
 PROPAGATE_STEPS_PER_CHECKPOINT = 5
 # Rows of the matrix that one task of an iterative job handles.
 ROWS_PER_LOOP_TASK = 100_000
-# Times ``BROADCAST_ROWS`` cells that a packed vector may have, at 8 bytes each.
-PACKED_CELLS_PER_ROW = 8
+# Cells of a packed vector at most, 8 bytes each.
+PACKED_CELLS = 8_000_000
 # Entries of a packed matrix that one task and one of its rows have, and the values of
 # vectors that the driver holds before they are stored.
 ENTRIES_PER_PACKED_TASK = 4_000_000
